@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.op4_query import op4_language_id
+from lodestone.llm.op7_query import op7_url_filter
 from lodestone.llm.op9_query import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op9_token_files)}
+    return {f.__name__: f for f in (op4_language_id, op7_url_filter, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
