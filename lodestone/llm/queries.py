@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.op4_query import op4_language_id
+from lodestone.llm.op6_query import op6_fingerprints
 from lodestone.llm.op7_query import op7_url_filter
 from lodestone.llm.op8_query import op8_quality_rules
 from lodestone.llm.op9_query import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op7_url_filter, op8_quality_rules, op9_token_files)}
+    return {f.__name__: f for f in (op4_language_id, op6_fingerprints, op7_url_filter, op8_quality_rules, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
