@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.op10_query import op10_mix_sources
+from lodestone.llm.op1_query import op1_substring_dedup
 from lodestone.llm.op4_query import op4_language_id
 from lodestone.llm.op6_query import op6_fingerprints
 from lodestone.llm.op7_query import op7_url_filter
@@ -15,7 +16,7 @@ from lodestone.llm.op9_query import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op6_fingerprints, op7_url_filter, op8_quality_rules, op9_token_files, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_language_id, op6_fingerprints, op7_url_filter, op8_quality_rules, op9_token_files, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
