@@ -1 +1,70 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: documents in, sampled piece ids out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.jaccard_join import keep_one
+from lodestone.llm.language_id import UNDETERMINED, identify, learn
+from lodestone.llm.mixing import mix
+from lodestone.llm.op3_query import model_path
+from lodestone.llm.piece_sampling import encode
+from lodestone.llm.shared import is_training_row, written
+from lodestone.llm.substring_dedup import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Nearness to the best profile below which a document is in none of the learned languages.
+MIN_NEARNESS = 0.2
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; those without a letter and those near to no profile go."""
+    found = identify(docs, learn(docs, is_training_row(F.col("doc_id"))))
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_NEARNESS)).select(*docs.columns)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts."""
+    return keep_one(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that occur more than once; texts that lose nothing stay as they are."""
+    cut = remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, in the order of the mix."""
+    return mix(docs).select(*docs.columns)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each document."""
+    return encode(docs.select("doc_id", "text"), model_path()).select("doc_id", "n_pieces", "ids")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("jaccard_join", join_stage),
+    ("substring_dedup", repeats_stage),
+    ("mixing", mixing_stage),
+    ("piece_sampling", pieces_stage),
+]
+
+#: SQL expresses none of these stages' methods; the tests hold them against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

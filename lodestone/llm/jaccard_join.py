@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
@@ -299,6 +299,29 @@ def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return written(links.join(roots.withColumnRenamed("node", "set"), "set"), "join-linked")
 
 
+def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with their sets' digests and sketches, and the ids, keys and texts alone."""
+    plain = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = plain.mapInArrow(describe, f"doc_id {kind}, _key long, set long, n long, sketch binary")
+    return written(rows, "join-rows"), plain
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of docs that are linked, the one with the least doc_id; see join_similar() for the cases.
+    Texts without words stay."""
+    rows, plain = described(docs)
+    linked = link_classes(rows, plain.select("_key", "text")).select("set", "root")
+    least = rows.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    groups = least.join(linked, "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("first").alias("first"))
+    bare = rows.filter("n = 0").select("_key", F.lit(True).alias("_bare")).distinct()
+    stay = written(groups.select("first._key", F.lit(False).alias("_bare")).union(bare), "join-stay")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.select(*own, F.xxhash64("doc_id", "text").alias("_key")).join(stay, "_key")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_bare"))
+    return found.withColumn("_place", place).filter((F.col("_place") == 1) | F.col("_bare")).select(*own)
+
+
 def join_similar(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, class_id, n_links, n_copies, n_shingles.
 
@@ -308,9 +331,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     copies of each other. Null ids are carried, and are nobody's class_id unless a class has no other. Other columns
     are not read, and an empty table gives an empty one.
     """
-    plain = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(plain.mapInArrow(describe, f"doc_id {kind}, _key long, set long, n long, sketch binary"), "join-rows")
+    rows, plain = described(docs)
     linked = link_classes(rows, plain.select("_key", "text"))
     sets = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     named = sets.join(linked, "set", "left").withColumn("root", F.coalesce("root", "set"))
