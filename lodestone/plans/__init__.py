@@ -1 +1,6 @@
-"""Part of the lodestone engine."""
+"""Registered queries."""
+
+from lodestone.plans import retrieval_queries  # noqa: F401
+from lodestone.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

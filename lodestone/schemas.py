@@ -1,0 +1,31 @@
+"""Declared schemas of the stored tables, as DDL, and what must be unique in them."""
+
+from __future__ import annotations
+
+LOCATOR = "struct<page: int, section: string, line_start: int, line_end: int, part: int>"
+
+TABLES = {
+    "users": "id string, username string, password_hash string, is_administrator boolean, is_enabled boolean, session_version int, created_at timestamp, updated_at timestamp",
+    "knowledge_bases": "id string, name string, description string, created_at timestamp, updated_at timestamp",
+    "knowledge_base_access": "user_id string, knowledge_base_id string, created_at timestamp",
+    "documents": "id string, knowledge_base_id string, original_name string, storage_key string, sha256 string, media_type string, size_bytes bigint, page_count int, status string, safe_error string, created_at timestamp, updated_at timestamp",
+    "upload_sessions": "id string, knowledge_base_id string, initiated_by_id string, original_name string, suffix string, declared_sha256 string, total_bytes bigint, received_bytes bigint, part_size_bytes int, temporary_storage_key string, final_storage_key string, status string, safe_error string, resulting_document_id string, expires_at timestamp, created_at timestamp, updated_at timestamp",
+    "upload_part_receipts": "upload_session_id string, offset_bytes bigint, length_bytes int, sha256 string, created_at timestamp",
+    "chunks": f"id string, document_id string, ordinal int, text string, locator {LOCATOR}, embedding array<float>, embedding_model string, created_at timestamp, updated_at timestamp",
+    "conversations": "id string, owner_id string, knowledge_base_id string, title string, created_at timestamp, updated_at timestamp",
+    "messages": "id string, conversation_id string, sequence int, role string, status string, content string, model_metadata struct<outcome: string, embedding_model: string, generation_model: string, evidence_count: int, usage: map<string, int>>, created_at timestamp",
+    "citations": f"id string, message_id string, document_id string, document_name string, locator {LOCATOR}, excerpt string, retrieval_rank int, citation_number int, retrieval_score double",
+    "provider_configurations": "id string, kind string, endpoint string, model_id string, encrypted_api_key binary, is_validated boolean, validated_at timestamp",
+}
+
+#: Columns whose values must not repeat, with the rows that this holds for.
+UNIQUE = {
+    "users": [("lower(username)", None)],
+    "knowledge_bases": [("name", None)],
+    "knowledge_base_access": [("user_id, knowledge_base_id", None)],
+    "documents": [("storage_key", None), ("knowledge_base_id, sha256", None)],
+    "upload_sessions": [("knowledge_base_id, declared_sha256", "status = 'open'")],
+    "upload_part_receipts": [("upload_session_id, offset_bytes", None)],
+    "chunks": [("document_id, ordinal", None)],
+    "messages": [("conversation_id, sequence", None), ("conversation_id", "role = 'assistant' AND status = 'streaming'")],
+}
