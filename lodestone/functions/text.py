@@ -53,4 +53,4 @@ def file_size(size: Column) -> Column:
 
 def progress(received: Column, total: Column) -> Column:
     """Whole percent received, at most 100; 0 of nothing."""
-    return F.coalesce(F.least(F.lit(100), F.floor(100 * received / F.nullif(total, F.lit(0)))), F.lit(0)).cast("int")
+    return F.when(total > 0, F.least(F.lit(100), F.floor(100 * received / F.nullif(total, F.lit(0))))).otherwise(0).cast("int")

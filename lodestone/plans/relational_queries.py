@@ -149,7 +149,7 @@ def upload_offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_parts"), F.count_if("in_order").alias("n_in_order"), F.sum("length_bytes").alias("received_bytes"))
 
 
-@query(f"WITH {UPLOADS} SELECT upload_id, coalesce(least(100, 100 * received_bytes // nullif(total_bytes, 0)), 0)::INTEGER AS percent FROM uploads")
+@query(f"WITH {UPLOADS} SELECT upload_id, CASE WHEN total_bytes > 0 THEN least(100, 100 * received_bytes // total_bytes) ELSE 0 END::INTEGER AS percent FROM uploads")
 def upload_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_uploads(spark, sf_dir).select("upload_id", progress(F.col("received_bytes"), F.col("total_bytes")).alias("percent"))
 

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.config import DEFAULTS
 from lodestone.functions.text import strip
@@ -38,7 +39,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _docx_error(contents: pd.Series) -> pd.Series:
     def check(content: bytes) -> str | None:
         try:
