@@ -288,7 +288,7 @@ def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     wanted = written(members.join(sizes, "cluster").select("_key", "set", "cluster", blocks.alias("blocks")), "join-members")
-    sets = docs.join(wanted, "_key").select("text", "set", "cluster", "blocks").mapInArrow(full_sets, "cluster long, set long, blocks int, shingles binary")
+    sets = docs.join(wanted.hint("merge"), "_key").select("text", "set", "cluster", "blocks").mapInArrow(full_sets, "cluster long, set long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("cluster", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "set", "shingles")
