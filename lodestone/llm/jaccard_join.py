@@ -30,7 +30,7 @@ BINS = 64
 EMPTY = 0xFFFFFFFF
 RUNS = 12
 BRUTE_FORCE = 128
-LEVELS = 6
+LEVELS = 3
 #: Blocks of a cluster: at most about this many classes and shingles each.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
@@ -245,34 +245,22 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["set", "root", "links"])
 
 
-def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(path, set) of all small buckets that hold more than one class."""
+def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, set) of all small buckets that hold more than one class, and the edges (a, b) of those that stay large:
+    their classes share LEVELS sampled tokens, and each is tied to the least of them without a look at its sketch."""
     rows = written(classes.select("set", "sketch").mapInArrow(first_paths, "path long, set long"), "join-paths")
     leaves = None
     for level in range(LEVELS):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("least")).filter("size > 1")
         sized = rows.join(sizes, "path")
-        last = level == LEVELS - 1
         small = sized.filter(F.col("size") <= BRUTE_FORCE).select("path", "set")
         leaves = small if leaves is None else leaves.union(small)
-        large = written(sized.filter(F.col("size") > BRUTE_FORCE).select("path", "set"), "join-large")
-        if large.isEmpty():
+        large = written(sized.filter(F.col("size") > BRUTE_FORCE).select("path", "set", "least"), "join-large")
+        if level == LEVELS - 1 or large.isEmpty():
             break
-        if last:  # cut what is left into runs of equal size; the first of a bucket is in each
-            return leaves.union(halves(large))
-        rows = large.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
-        rows = written(rows.mapInArrow(next_paths, "path long, set long"), "join-paths")
-    return leaves
-
-
-def halves(large: DataFrame) -> DataFrame:
-    """Buckets that no path splits, in parts by a hash, with the least class of the bucket in every part."""
-    sizes = large.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("least"))
-    parts = F.ceil(F.col("size") / (BRUTE_FORCE / 2)).cast("int")
-    part = large.join(sizes, "path").withColumn("part", F.pmod(F.xxhash64("set"), parts))
-    own = part.select(F.xxhash64("path", "part").alias("path"), "set")
-    firsts = sizes.select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "path", F.col("least").alias("set"))
-    return own.union(firsts.select(F.xxhash64("path", F.col("part").cast("long")).alias("path"), "set")).distinct()
+        found = large.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
+        rows = written(found.mapInArrow(next_paths, "path long, set long"), "join-paths")
+    return leaves, large.filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -280,9 +268,10 @@ def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     grouped = rows.filter("n > 0").groupBy("set").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped, "join-classes")
-    paired = bucket_rows(classes).join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
+    leaves, tied = buckets(classes)
+    paired = leaves.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
     paired = paired.repartition(partitions(spark), "path").sortWithinPartitions("path")
-    edges = written(paired.mapInArrow(candidate_edges, "a long, b long"), "join-candidates")
+    edges = written(paired.mapInArrow(candidate_edges, "a long, b long").union(tied), "join-candidates")
     clusters = components(edges).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
     members = classes.select("set", "_key", "n").join(clusters, "set")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
