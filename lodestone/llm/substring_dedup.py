@@ -7,7 +7,8 @@ anchors are then compared whole, by 96 bits: first those that begin at a repeate
 long matches, then every other window that could still remove a word.
 
 Each of the three rounds counts hashes in the same way. A task first compares what it holds itself, so that it sends a
-hash once however often it has it, and a hash that is everywhere costs the reducer one row for each task.
+hash once however often it has it, and a hash that is everywhere costs its reducer one entry for each task. Hashes are
+dealt out in packed buckets, a small fixed share of all to each.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import Words, mixed
@@ -29,11 +30,12 @@ COVER = (0, 1, 4, 14, 16)  # the differences of its members give every residue m
 ANCHOR = LENGTH - PERIOD + 1
 #: Hashes that a task gathers before it compares them among themselves.
 GATHERED = 2_000_000
-#: A row: two parts of a hash, and the document and place that ask about it; `at` is four times the place and a kind:
-#: SINGLE rows ask, SETTLED rows have their answer, COUNTED rows only make others' hashes occur more than once.
-ROWS = "a long, b int, key long, at int"
-SINGLE, SETTLED, COUNTED = 0, 1, 2
-
+#: A row: what a task sends of the hashes in one bucket. a, b: their two parts (b is empty where one does); key, at: the
+#: documents and places of those that ask whether theirs occurs again, which come first in a and b (the others only make
+#: hashes occur more than once); done_key, done_at: the documents and places that the task has answered itself.
+ROWS = "bucket int, a binary, b binary, key binary, at binary, done_key binary, done_at binary"
+#: Buckets for each shuffle partition.
+BUCKETS = 8
 
 #: Places among the words of a step, the two parts of their hashes, and whether an answer is needed.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -60,16 +62,16 @@ def anchors(table: pa.Table, words: Words) -> Found:
     of, place = words.places()
     n = np.diff(words.starts)[of]
     chosen = np.flatnonzero(np.isin(place % PERIOD, COVER) & (place + ANCHOR <= n) & (n >= LENGTH))
-    return chosen, words.runs(ANCHOR)[chosen], np.zeros(len(chosen), np.int32), np.ones(len(chosen), bool)
+    return chosen, words.runs(ANCHOR)[chosen], np.zeros(len(chosen), np.uint32), np.ones(len(chosen), bool)
 
 
 def windows(at: np.ndarray, asked: np.ndarray, words: Words) -> Found:
-    return at, words.runs(LENGTH)[at], (words.runs(LENGTH, seed=3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), asked
+    return at, words.runs(LENGTH)[at], (words.runs(LENGTH, seed=3)[at] >> np.uint64(32)).astype(np.uint32), asked
 
 
 def aligned(table: pa.Table, words: Words) -> Found:
     """Round 2: the windows that begin at repeated anchors."""
-    at = marked(table, "repeated", words)
+    at = marked(table, "_repeated", words)
     of, place = words.places()
     at = at[place[at] + LENGTH <= np.diff(words.starts)[of[at]]]
     return windows(at, np.ones(len(at), bool), words)
@@ -82,11 +84,11 @@ def others(table: pa.Table, words: Words) -> Found:
     total = len(of)
     near = np.zeros(total + PERIOD + 1, np.int32)
     anchored = np.zeros(total, bool)
-    anchored[marked(table, "repeated", words)] = True
+    anchored[marked(table, "_repeated", words)] = True
     near[1 : total + 1] = np.cumsum(anchored)
     near[total + 1 :] = near[total]
     bare = np.zeros(total + LENGTH + 1, np.int32)
-    bare[1 : total + 1] = np.cumsum(~covered(marked(table, "known", words), total))
+    bare[1 : total + 1] = np.cumsum(~covered(marked(table, "_known", words), total))
     bare[total + 1 :] = bare[total]
     here = np.arange(total)
     fits = place + LENGTH <= np.diff(words.starts)[of] if total else np.zeros(0, bool)
@@ -94,31 +96,41 @@ def others(table: pa.Table, words: Words) -> Found:
     return windows(at, bare[at + LENGTH] > bare[at], words)
 
 
-def gathered(pick: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of hashes, compared within the task: one row goes on for a hash that it has more than once, to be COUNTED,
-    and those that asked about it are SETTLED."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("key", pa.int64()), ("at", pa.int32())])
-
-    def compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        a, b, asked, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        if not len(a):
-            return
-        order = np.lexsort((b, a)) if b.any() else np.argsort(a)
-        a, b, asked, key, at = a[order], b[order], asked[order], key[order], at[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        many = np.diff(np.append(np.flatnonzero(new), len(a)))[np.cumsum(new) - 1] > 1
-        asks = (asked & ~many)[new]
-        over = many & asked
-        spread = mixed(key[over].view(np.uint64) + at[over].astype(np.uint64)).view(np.int64)
-        columns = [
-            np.concatenate([a[new], spread]), np.concatenate([b[new], np.zeros(len(spread), np.int32)]),
-            np.concatenate([np.where(asks, key[new], 0), key[over]]),
-            np.concatenate([np.where(asks, 4 * at[new] + SINGLE, COUNTED), 4 * at[over] + SETTLED]).astype(np.int32),
-        ]
-        whole = pa.record_batch([pa.array(x) for x in columns], schema=schema)
-        for first in range(0, whole.num_rows, 100_000):
-            yield whole.slice(first, 100_000)
-
+def packed(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Compares hashes within the task. One goes on for those that it has more than once, and all that asked have their
+    answer; these are spread over the buckets, so that a hash that is everywhere fills none."""
+    a, b, asked, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    two = bool(b.any())
+    order = np.lexsort((b, a)) if two else np.argsort(a)
+    a, b, asked, key, at = a[order], b[order], asked[order], key[order], at[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    many = np.diff(np.append(np.flatnonzero(new), len(a)))[np.cumsum(new) - 1] > 1
+    over = many & asked
+    done_key, done_at = key[over], at[over]
+    a, b, asked, key, at = a[new], b[new], (asked & ~many)[new], key[new], at[new]
+    bucket = (a % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((key, ~asked, bucket))
+    a, b, asked, key, at, bucket = a[order], b[order], asked[order], key[order], at[order], bucket[order]
+    done = (mixed(done_key.view(np.uint64) + done_at.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((done_key, done))
+    done_key, done_at = done_key[order], done_at[order]
+    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    asks = np.concatenate([[0], np.cumsum(asked)])
+    done_ends = np.searchsorted(done[order], np.arange(buckets + 1))
+    rows = []
+    for k in range(buckets):
+        x, y, u, v = ends[k], ends[k + 1], done_ends[k], done_ends[k + 1]
+        if y > x or v > u:
+            z = x + asks[y] - asks[x]
+            rows.append((k, a[x:y].tobytes(), b[x:y].tobytes() if two else b"", key[x:z].tobytes(), at[x:z].tobytes(), done_key[u:v].tobytes(), done_at[u:v].tobytes()))
+    names = [f.split()[0] for f in ROWS.split(", ")]
+    kinds = [pa.int32()] + [pa.binary()] * 6
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def gathered(pick: Callable, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for table in steps(batches):
@@ -126,24 +138,40 @@ def gathered(pick: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             found, a, b, asked = pick(table, words)
             of, place = words.places()
             keys = table["_key"].to_numpy().astype(np.int64)[of[found]]
-            held.append((a.view(np.int64), b, asked, keys, place[found].astype(np.int32)))
+            held.append((a, b, asked, keys, place[found].astype(np.int32)))
             size += len(found)
             if size >= GATHERED:
-                yield from compare(held)
+                yield from packed(held, buckets)
                 held, size = [], 0
         if held:
-            yield from compare(held)
+            yield from packed(held, buckets)
 
     return run
 
 
+def answered(table: pa.Table) -> pa.Table:
+    """The documents and places of a bucket whose hashes occur more than once."""
+    flat = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    a, b, key, at = flat("a", np.uint64), flat("b", np.uint32), flat("key", np.int64), flat("at", np.int32)
+    b = b if len(b) else np.zeros(len(a), np.uint32)
+    sizes = np.array([len(x) // 8 for x in table["a"].to_pylist()], np.int64)
+    asks = np.array([len(x) // 8 for x in table["key"].to_pylist()], np.int64)
+    asking = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(asks) - asks), asks) + np.arange(int(asks.sum()))
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    again = np.zeros(len(a), bool)
+    again[order] = np.diff(np.append(np.flatnonzero(new), len(a)))[np.cumsum(new) - 1] > 1
+    yes = again[asking]
+    keys, places = np.concatenate([key[yes], flat("done_key", np.int64)]), np.concatenate([at[yes], flat("done_at", np.int32)])
+    return pa.table({"_key": keys, "at": places})
+
+
 def repeats(rows: DataFrame, pick: Callable, name: str) -> DataFrame:
     """(_key, <name>: list of places) of what `pick` hashes in rows and what occurs more than once."""
-    found = rows.mapInArrow(gathered(pick), ROWS)
-    counted = found.withColumn("_n", F.count("*").over(Window.partitionBy("a", "b")))
-    kind = F.col("at") % 4
-    again = counted.filter((kind == SETTLED) | ((kind == SINGLE) & (F.col("_n") > 1)))
-    places = again.select(F.col("key").alias("_key"), F.shiftright("at", 2).alias("at"))
+    buckets = BUCKETS * partitions(rows.sparkSession)
+    sent = rows.mapInArrow(gathered(pick, buckets), ROWS)
+    places = sent.groupBy("bucket").applyInArrow(answered, "_key long, at int")
     return places.groupBy("_key").agg(F.collect_list("at").alias(name))
 
 
@@ -159,13 +187,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     words keep all. Repeated rows are copies of each other. Other columns stay; older ones of these names are replaced.
     """
     new = ("n_words", "n_removed", "kept_text")
-    own = [c for c in docs.columns if c not in (*new, "_key")]
+    own = [c for c in docs.columns if c not in (*new, "_key", "_repeated", "_known", "_more", "_cut")]
     rows = docs.select(*(F.col(f"`{c}`") for c in own), row_key(own).alias("_key"))
     rows = rows.repartition(partitions(docs.sparkSession), "_key")
-    slim = lambda df, *more: df.select("_key", "text", *more)
-    repeated = repeats(slim(rows), anchors, "repeated")
-    known = repeats(slim(rows.join(repeated, "_key"), "repeated"), aligned, "known")
-    more = repeats(slim(rows.join(repeated, "_key").join(known, "_key", "left"), "repeated", "known"), others, "more")
+    # All rounds read the same columns, so that they share one shuffle of the texts.
+    repeated = repeats(rows, anchors, "_repeated")
+    known = repeats(rows.join(repeated, "_key"), aligned, "_known")
+    more = repeats(rows.join(repeated, "_key").join(known, "_key", "left"), others, "_more")
     found = rows.join(known, "_key", "left").join(more, "_key", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
@@ -182,4 +210,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=list(new))
 
     keep = [F.col(f"`{c}`") for c in own]
-    return found.select(*keep, cut("text", "known", "more").alias("_cut")).select(*keep, "_cut.*")
+    return found.select(*keep, cut("text", "_known", "_more").alias("_cut")).select(*keep, "_cut.*")
