@@ -39,7 +39,8 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     compared by 64-bit hashes within their document. Older columns of these names are replaced.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_capitals")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    own = ("_words", "_lines", "_symbols", "_capitals", "_grams", "_ordered", "_places")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*new, *own)]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     first = docs.select(*keep, words_of(F.col("text")).alias("_words"), lines.alias("_lines"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("_symbols"), F.regexp_count(text, F.lit("\\p{Lu}")).alias("_capitals"))
@@ -128,17 +129,15 @@ def judge(docs: DataFrame) -> DataFrame:
     are replaced.
     """
     stats = base_statistics(docs.drop("distance2", "kept"))
-    own = stats.columns
-    rows = written(stats.drop("text") if "text" in own else stats, "quality-statistics")
+    keep = [c for c in stats.columns if c not in ("text", "n_capitals")]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    named = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("lang", "source")))
+    rows = written(stats.select(row, named.alias("_named"), "base_failed", *(c.alias(n) for n, c in vector().items())), "quality-statistics")
     good = rows.filter(~F.col("base_failed"))
-    by = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("lang", "source")]
-    named = F.concat_ws("\x01", *by)
-    sizes = good.select(named.alias("_named")).groupBy("_named").agg(F.count("*").alias("_size")).filter(F.col("_size") >= MIN_GROUP)
+    sizes = good.groupBy("_named").agg(F.count("*").alias("_size")).filter(F.col("_size") >= MIN_GROUP)
     sizes = written(sizes, "quality-groups")
     few = sizes.count() < BROADCAST_GROUPS
-    joined = good.withColumn("_named", named).join(F.broadcast(sizes) if few else sizes, "_named", "left")
-    group = F.when(F.col("_size").isNotNull(), F.col("_named")).otherwise(POOLED)
-    bare = written(joined.select(group.alias("_group"), *(c.alias(n) for n, c in vector().items())), "quality-vectors")
+    bare = written(grouped(good, sizes, few).select("_group", *PARTS), "quality-vectors")
     estimate = written(start(bare, few), "quality-estimate")
     for _ in range(CONCENTRATIONS):
         far = distance(with_groups(bare, estimate, few))
@@ -148,15 +147,13 @@ def judge(docs: DataFrame) -> DataFrame:
     far = distance(with_groups(bare, estimate, few))
     scale = far.groupBy("_group").agg(F.greatest(F.percentile_approx("d2", 0.5) / MEDIAN_CHI2, F.lit(1.0)).alias("_scale"))
     final = written(estimate.join(scale, "_group"), "quality-estimate")
-    return _verdicts(rows, sizes, final, few, named)
+    placed = grouped(rows, sizes, few).join(F.broadcast(final) if few else final, "_group", "left")
+    away = distance(placed).select("row", "base_failed", F.when(~F.col("base_failed"), F.col("d2") / F.col("_scale")).alias("_d2"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUT, F.lit(False))
+    return away.select("row.*", F.col("_d2").alias("distance2"), kept.alias("kept"))
 
 
-def _verdicts(rows: DataFrame, sizes: DataFrame, final: DataFrame, few: bool, named: Column) -> DataFrame:
-    own = rows.columns
-    joined = rows.withColumn("_named", named).join(F.broadcast(sizes) if few else sizes, "_named", "left")
-    group = F.when(F.col("_size").isNotNull(), F.col("_named")).otherwise(POOLED)
-    placed = joined.select(*(F.col(f"`{c}`") for c in own), group.alias("_group"), *(c.alias(n) for n, c in vector().items()))
-    placed = placed.join(F.broadcast(final) if few else final, "_group", "left")
-    away = distance(placed).withColumn("_d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("_scale")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUT, F.lit(False))
-    return away.select(*(F.col(f"`{c}`") for c in own), F.col("_d2").alias("distance2"), kept.alias("kept"))
+def grouped(rows: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+    """rows with _group: their language and source, or POOLED where that has few rows."""
+    joined = rows.join(F.broadcast(sizes) if few else sizes, "_named", "left")
+    return joined.withColumn("_group", F.when(F.col("_size").isNotNull(), F.col("_named")).otherwise(POOLED)).drop("_named", "_size")
