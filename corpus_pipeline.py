@@ -19,7 +19,7 @@ from lodestone.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Nearness to the best profile below which a document is in none of the learned languages.
-MIN_NEARNESS = 0.2
+MIN_NEARNESS = 0.1
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
