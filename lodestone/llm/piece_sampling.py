@@ -33,6 +33,8 @@ OFFSET = 10.0
 LONGEST = 64
 #: Weights grow by this factor for each code point, the same for all ways to a place, against underflow.
 LIFT = 100.0
+#: Bytes of text whose lattices are in memory at once; a longer text is cut at blanks.
+STEP_BYTES = 1 << 19
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -178,12 +180,37 @@ class Lattice:
         return out, counts
 
 
+def blank_cuts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about `size` characters, each up to a blank, which is dropped."""
+    at = 0
+    while len(text) - at > size and (end := text.find(" ", at + size)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
 class Sampler:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. keys: the texts' seeds."""
+        longest = pc.max(pc.binary_length(texts)).as_py() or 0
+        if longest <= STEP_BYTES:
+            return self.encode_step(texts, keys)[:2]
+        out, counts = [], np.zeros(len(texts), np.int64)
+        for row, text in enumerate(texts.to_pylist()):
+            before = 0
+            for part in blank_cuts(text, STEP_BYTES // 4):
+                ids, count, places = self.encode_step(pa.array([part], pa.string()), keys[row : row + 1], before)
+                out.append(ids)
+                counts[row] += count[0]
+                before += places
+        return np.concatenate(out), counts
+
+    def encode_step(self, texts: pa.Array, keys: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """The same of texts whose lattices fit in memory, and the number of places drawn at. before: those of the first
+        text's beginning, which came before."""
         pieces, rows = self.pieces, len(texts)
         chunks = pc.split_pattern(texts.cast(pa.large_string()), " ")
         coded = chunks.flatten().dictionary_encode()
@@ -207,13 +234,13 @@ class Sampler:
         chosen = np.repeat(first_part - (np.cumsum(n_parts) - n_parts), n_parts) + np.arange(total)
         in_text = np.bincount(text, minlength=rows)
         place = np.arange(total) - np.repeat(np.cumsum(in_text) - in_text, in_text)
-        seeds = mixed(keys.view(U)[text] ^ mixed(place.astype(U) + U(1)))
+        seeds = mixed(keys.view(U)[text] ^ mixed((place + before).astype(U) + U(1)))
         ids, counts = lattice.sample(chosen, seeds)
         owner = np.repeat(text, counts)
         odd = ids >= pieces.size
         if odd.any():
             ids, owner = self.with_bytes(ids, owner, odd)
-        return ids.astype(np.int32), np.bincount(owner, minlength=rows)
+        return ids.astype(np.int32), np.bincount(owner, minlength=rows), total
 
     def with_bytes(self, ids: np.ndarray, owner: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points without a piece replaced by their bytes."""
@@ -252,7 +279,7 @@ def encode(docs: DataFrame, model: str, key: Column | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = sampler(model)
-        for table in steps(batches):
+        for table in steps(batches, limit=STEP_BYTES):
             texts = table["text"].combine_chunks()
             missing = pc.is_null(texts).to_numpy(zero_copy_only=False)
             ids, counts = cut.encode(pc.fill_null(texts, ""), table["_seed"].to_numpy().astype(np.int64))
