@@ -35,7 +35,7 @@ GATHERED = 2_000_000
 #: hashes occur more than once); done_key, done_at: the documents and places that the task has answered itself.
 ROWS = "bucket int, a binary, b binary, key binary, at binary, done_key binary, done_at binary"
 #: Buckets for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 2
 
 #: Places among the words of a step, the two parts of their hashes, and whether an answer is needed.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
