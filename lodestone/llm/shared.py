@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,25 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these six ASCII white-space characters.
-SPACES = " \t\n\x0b\x0c\r"
+from lodestone.session import new_path
+
+#: Words are runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that one vectorised step works on at most (a longer text makes a step of its own).
-STEP_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (as in tests) one of our own."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+STEP_BYTES = 1 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # the differences of its members give every residue modulo 21
 ANCHOR = LENGTH - PERIOD + 1
 #: Hashes that a task gathers before it compares them among themselves.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: A row: what a task sends of the hashes in one bucket. a, b: their two parts (b is empty where one does); key, at: the
 #: documents and places of those that ask whether theirs occurs again, which come first in a and b (the others only make
 #: hashes occur more than once); done_key, done_at: the documents and places that the task has answered itself.
