@@ -35,7 +35,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that occur more than once; texts that lose nothing stay as they are."""
-    cut = remove_repeats(docs)
+    cut = remove_repeats(docs.drop("n_chars"))  # a column that nothing reads would cost a second shuffle of the texts
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return cut.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
