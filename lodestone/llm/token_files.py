@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from lodestone.llm.shared import partitions, steps
 
 SEQUENCE_LENGTH = 2048
 #: Words whose ids a worker process remembers; beyond that it starts afresh.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 800_000
+#: Looking words up costs time for each step, so the steps are longer here.
+STEP_BYTES = 6 << 20
 MANIFEST = "file string, docs long, tokens long, first_id long"
 
 
@@ -45,14 +48,17 @@ class WordEncoder:
     def forget(self) -> None:
         self.words = pa.array([], pa.large_string())
         self.ids = np.zeros(0, self.dtype)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = np.zeros(1, np.int32)
 
     def learn(self, words: pa.Array) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), self.dtype, int(counts.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        ids, counts = [self.ids], []
+        for first in range(0, len(words), 8192):  # the library's results are large
+            some = words.slice(first, 8192).to_pylist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), self.dtype, int(counts[-1].sum())))
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts), dtype=np.int32)])
         self.words = pa.concat_arrays([self.words, words])
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +71,18 @@ class WordEncoder:
         words = coded.dictionary
         if len(self.words) + len(words) > REMEMBERED_WORDS:
             self.forget()
-        new = words.filter(pc.is_null(pc.index_in(words, self.words)))
-        if len(new):
-            self.learn(new)
-        known = pc.index_in(words, self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(words, self.words)
+        known, new = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_null(found)
+        fresh = new.to_numpy(zero_copy_only=False)
+        if fresh.any():
+            known[fresh] = len(self.words) + np.arange(int(fresh.sum()))
+            self.learn(words.filter(new))
         at = known[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)]
+        ends = np.cumsum(counts, dtype=np.int32)
+        where = np.repeat(self.starts[at] - (ends - counts), counts)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = self.ids[where]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))])]
         return ids, np.diff(upto)
 
@@ -137,7 +146,7 @@ def write_token_files(
         ours = f"{folder}/_{name}.{task.taskAttemptId()}"
         sink = sequences = None
         ids_of, counts_of = [], []
-        for table in steps(batches):
+        for table in steps(batches, limit=STEP_BYTES):
             if sink is None:
                 files.create_dir(folder, recursive=True)
                 sink = files.open_output_stream(ours)
