@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.jaccard_join import keep_one
-from lodestone.llm.language_id import UNDETERMINED, identify, learn
+from lodestone.llm.language_id import UNDETERMINED, identify, learn, nearness_limits
 from lodestone.llm.mixing import mix
 from lodestone.llm.op3_query import model_path
 from lodestone.llm.piece_sampling import encode
@@ -18,14 +18,24 @@ from lodestone.llm.shared import is_training_row, written
 from lodestone.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Nearness to the best profile below which a document is in none of the learned languages.
+#: Nearness to the best profile below which a document is in none of the learned languages, whatever the training rows' scores.
 MIN_NEARNESS = 0.1
+#: Letters below which a text is too short for the limit of its language, so that only MIN_NEARNESS holds.
+SHORT_LETTERS = 40
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter and those near to no profile go."""
-    found = identify(docs, learn(docs, is_training_row(F.col("doc_id"))))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_NEARNESS)).select(*docs.columns)
+    """Documents in one of the learned languages; those without a letter and those nearer to no profile than its language's
+    training rows are go."""
+    train = is_training_row(F.col("doc_id"))
+    found = written(identify(docs, learn(docs, train)), "judged")
+    limits, other = nearness_limits(found.filter(train), MIN_NEARNESS)
+    limit = F.lit(other)
+    if limits:
+        limit = F.coalesce(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang_pred")], limit)
+    short = F.char_length(F.regexp_replace("text", r"\P{L}", "")) < SHORT_LETTERS
+    near = (F.col("score") >= limit) | ((F.col("score") >= MIN_NEARNESS) & short)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & near).select(*docs.columns)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

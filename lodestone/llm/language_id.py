@@ -27,6 +27,11 @@ DOCUMENT_SIZE = 300
 MAX_ROWS_PER_LANGUAGE = 8_000
 MAX_LANGUAGES = 5_000
 UNDETERMINED = "und"
+#: Training scores from which a language's limit is its own; with fewer it isn't above that of all languages together.
+OWN_LIMIT_ROWS = 100
+LOW_QUANTILE = 0.01
+#: How far below the low quantile a limit is, as a share of that quantile's distance from the median.
+REACH = 1.25
 BLANK = 32
 
 
@@ -126,3 +131,21 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*keep, judged("text").alias("_judged")).select(*keep, "_judged.lang_pred", "_judged.score")
+
+
+def nearness_limits(judged: DataFrame, least: float) -> tuple[dict[str, float], float]:
+    """For each language the score below which a text isn't in it, and the limit of all others, from training rows
+    (lang, lang_pred, score) that got their own language.
+
+    A limit is REACH times as far below the scores' low quantile as that is below their median, but `least` at least.
+    Copies have one score and count once. Where even all languages together have fewer than OWN_LIMIT_ROWS scores, all
+    limits are `least`.
+    """
+    own = judged.filter(F.col("lang_pred") == F.col("lang")).select("lang_pred", "score").distinct()
+    at = F.percentile(F.round("score", 3), F.array(F.lit(LOW_QUANTILE), F.lit(0.5)))  # a thousand values at most
+    found = {r.lang_pred: r for r in own.rollup("lang_pred").agg(at.alias("at"), F.count("*").alias("n")).collect()}
+    every = found.pop(None, None)
+    if every is None or every.n < OWN_LIMIT_ROWS:
+        return {}, least
+    limit = lambda r: max(least, r.at[0] - REACH * (r.at[1] - r.at[0]))
+    return {k: limit(r) if r.n >= OWN_LIMIT_ROWS else min(limit(r), limit(every)) for k, r in found.items()}, limit(every)

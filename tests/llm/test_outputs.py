@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -151,6 +153,24 @@ def test_pipeline(spark, odd, data):
     assert seen["piece_sampling"].count() == seen["mixing"].count()
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    rng = random.Random(1)
+    junk = {
+        "letters": " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(400)),
+        "hex": "\n".join(rng.randbytes(32).hex() for _ in range(60)),
+        "base64": base64.encodebytes(rng.randbytes(3000)).decode(),
+        "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    more = spark.createDataFrame([(-1 - i, t, None, k, len(t)) for i, (k, t) in enumerate(junk.items())], SCHEMA)
+    brief = spark.createDataFrame([(-100, "The end.", None, "brief", 8)], SCHEMA)
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more).unionByName(brief), "").collect()
+    assert not {r.source for r in kept} & set(junk)
+    assert {r.doc_id for r in kept} == {r.doc_id for r in docs.select("doc_id").collect()} | {-100}
+
+
 def test_pipeline_of_nothing(spark, empty, data):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
