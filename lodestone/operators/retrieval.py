@@ -109,24 +109,24 @@ def web_search(text: str) -> list[Terms]:
     return found
 
 
-def cover_rank(found: DataFrame, keys: list[str], wanted: Column, most: int) -> DataFrame:
-    """Cover-density rank of postings (keys, t, pos) of query terms alone; t numbers a query's terms from 0.
+def cover_rank(found: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
+    """Cover-density rank of postings (keys, t, pos) of query terms alone; t numbers a query's terms.
 
-    A cover is a least stretch in which all wanted terms occur (`wanted`: how many, `most` at most); each adds
+    A cover is a least stretch in which all wanted terms occur (`wanted`: how many there are); each adds
     0.1 / (1 + words in it that are no query terms). A row (keys, lexical_score) for each key that has all of them.
+
+    A posting begins a cover if each one before it comes again; that cover ends where the last of those has come, and
+    each term once, unless the posting's own term has come again by then. So the number of terms is no limit.
     """
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
-    latest = [F.max(F.when(F.col("t") == i, F.struct("pos", "n"))).over(order).alias(f"l{i}") for i in range(most)]
-    seen = numbered.select(*keys, "pos", "n", wanted.alias("wanted"), *latest)
-    there = [F.when(F.lit(i) < F.col("wanted"), F.col(f"l{i}")) for i in range(most)]
-    whole = F.lit(True)
-    for i in range(most):
-        whole = whole & ((F.lit(i) >= F.col("wanted")) | F.col(f"l{i}").isNotNull())
-    first = F.least(*there) if most > 1 else there[0]  # least() passes nulls over
-    ended = seen.filter(whole).select(*keys, first.alias("first"), F.struct("pos", "n").alias("last"))
-    covers = ended.groupBy(*keys, "first").agg(F.min("last").alias("last"))
-    noise = (F.col("last.pos") - F.col("first.pos")) - (F.col("last.n") - F.col("first.n"))
+    all_ = Window.partitionBy(*keys)
+    order, same = all_.orderBy("pos"), Window.partitionBy(*keys, "t").orderBy("pos")
+    before, here = order.rowsBetween(Window.unboundedPreceding, -1), F.struct("pos", "n")
+    numbered = found.withColumn("n", F.row_number().over(order))
+    seen = numbered.select(*keys, "pos", "n", wanted.alias("wanted"), F.lead(here).over(same).alias("again"), F.lag("pos").over(same).isNull().alias("is_first"))
+    last = F.greatest(here, F.max("again").over(before), F.max(F.when(F.col("is_first"), here)).over(all_))  # passes nulls over
+    whole = (F.count_if("is_first").over(all_) == F.col("wanted")) & (F.count_if(F.col("again").isNull()).over(before) == 0)
+    covers = seen.select(*keys, "pos", "n", "again", last.alias("last"), whole.alias("whole")).filter("whole AND (again IS NULL OR last < again)")
+    noise = (F.col("last.pos") - F.col("pos")) - (F.col("last.n") - F.col("n"))
     return covers.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("lexical_score"))
 
 
@@ -134,7 +134,7 @@ def _matches(posts: DataFrame, way: Terms) -> DataFrame:
     """(chunk_id, lexical_score) of one way to match."""
     wanted = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
     number = F.coalesce(*(F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(wanted)))
-    found = cover_rank(posts.filter(F.col("term").isin(wanted)).withColumn("t", number), ["chunk_id"], F.lit(len(wanted)), len(wanted))
+    found = cover_rank(posts.filter(F.col("term").isin(wanted)).withColumn("t", number), ["chunk_id"], F.lit(len(wanted)))
     for phrase in way.phrases:
         stands = posts.filter(F.col("term") == phrase[0]).select("chunk_id", "pos")
         for i, word in enumerate(phrase[1:], 1):
@@ -197,22 +197,21 @@ def sufficiency(evidence: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     return evidence.groupBy("query_id").agg(F.coalesce(F.bool_or(enough), F.lit(False)).alias("sufficient"), F.count("*").alias("n_evidence"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, most_terms: int = 8) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Evidence of all queries (query_id, knowledge_base, embedding, terms) from chunks (chunk_id, document_id,
     knowledge_base, embedding, text), which are what the asker may see and is ready.
 
-    Both are joined on the knowledge base ahead of any ranking. A query matches lexically where all its terms occur;
-    those beyond most_terms are not looked at. A query without a vector or without terms has the other kind of candidate
-    alone.
+    Both are joined on the knowledge base ahead of any ranking. A query matches lexically where all its terms occur,
+    however many. A query without a vector or without terms has the other kind of candidate alone.
     """
     pairs = chunks.select("chunk_id", "knowledge_base", "embedding").join(queries.select("query_id", "knowledge_base", F.col("embedding").alias("target")), "knowledge_base")
     near = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("target")), PLACES).alias("similarity"))
     semantic = ranked(near.filter("similarity IS NOT NULL"), "similarity", settings.semantic_candidates)
-    wanted = queries.withColumn("terms", F.slice(F.array_distinct("terms"), 1, most_terms))
+    wanted = queries.withColumn("terms", F.array_distinct("terms"))
     terms = wanted.select("query_id", "knowledge_base", F.size("terms").alias("wanted"), F.posexplode("terms").alias("t", "term"))
     posts = postings(chunks.select("chunk_id", "text")).join(chunks.select("chunk_id", "knowledge_base"), "chunk_id")
     found = posts.join(terms, ["knowledge_base", "term"]).select("query_id", "chunk_id", "wanted", "t", "pos")
-    scores = cover_rank(found, ["query_id", "chunk_id"], F.col("wanted"), most_terms)
+    scores = cover_rank(found, ["query_id", "chunk_id"], F.col("wanted"))
     scores = scores.withColumn("lexical_score", F.round("lexical_score", PLACES))
     lexical = ranked(scores, "lexical_score", settings.lexical_candidates)
     fused = fuse(semantic, lexical, settings.rrf_k).join(chunks.select("chunk_id", "document_id"), "chunk_id")

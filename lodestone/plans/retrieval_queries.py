@@ -134,7 +134,7 @@ evidence AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_s
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(hybrid_chunks(spark, sf_dir), hybrid_queries(spark, sf_dir), most_terms=2)
+    return retrieval.retrieve(hybrid_chunks(spark, sf_dir), hybrid_queries(spark, sf_dir))
 
 
 @query(RANKED_SQL + " SELECT query_id, chunk_id, document_id, similarity, lexical_score, fused_score, retrieval_rank, 'E' || retrieval_rank AS evidence_id FROM evidence")

@@ -81,3 +81,17 @@ def test_phrases_and_exclusions(spark):
     posts = retrieval.postings(spark.createDataFrame(texts, "chunk_id long, text string"))
     ids = lambda s: sorted(r.chunk_id for r in retrieval.lexical_topk(posts, s).collect())
     assert ids('"red car"') == [1, 3] and ids("red car -new") == [1, 2] and ids("the or new") == [1, 2, 3] and ids("") == []
+
+
+def test_queries_of_many_terms_are_matched_on_all_of_them(spark):
+    random.seed(4)
+    letters = "a b c d e f g h i j k".split()
+    texts = [(i, " ".join(random.choices([*letters, "x"], k=random.randint(20, 90)))) for i in range(40)]
+    texts += [(40, "a b c d e f g h"), (41, " ".join(letters))]  # the first lacks the last three terms
+    chunks = spark.createDataFrame([(i, i, "k", None, t) for i, t in texts], "chunk_id long, document_id long, knowledge_base string, embedding array<float>, text string")
+    asked = spark.createDataFrame([(1, "k", None, letters), (2, "k", None, ["b", "a", "b"])], "query_id long, knowledge_base string, embedding array<float>, terms array<string>")
+    got = {(r.query_id, r.chunk_id): r.lexical_score for r in retrieval.retrieve(chunks, asked, Settings(evidence_limit=20, lexical_candidates=100)).collect()}
+    for query, terms in ((1, letters), (2, ["a", "b"])):
+        scores = {i: s for i, t in texts if (s := model(t, terms)) is not None}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        assert {i: s for (q, i), s in got.items() if q == query} == {i: scores[i] for i in best}
