@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions.text import file_size, progress, safe_name, suffix
 from lodestone.operators import access, lifecycle, uploads
-from lodestone.plans.catalog import query, table
+from lodestone.plans.catalog import ORACLES, query, table
 from lodestone.sources.formats import decoded, markdown_sections, media_type, sniff
 from lodestone.sources.formats import text_sections as sections_of
 
@@ -185,13 +185,23 @@ early AS (SELECT a.*, CASE WHEN name = 'a.html' THEN 'format' WHEN a.size > 5242
 firsts AS (SELECT min(request_id) AS request_id FROM early WHERE e IS NULL GROUP BY kb, sha), placed AS (SELECT request_id, row_number() OVER (ORDER BY request_id) AS p FROM firsts)
 SELECT request_id, kb AS knowledge_base_id, sha AS sha256, coalesce(e, CASE WHEN n + p <= 20 THEN 'created' ELSE 'capacity' END) AS outcome FROM early LEFT JOIN placed USING (request_id), n""")
 def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of many requests get an upload session, and why the others don't."""
+    """Which of many requests get an upload session, and why the others don't; a few uploads are under way."""
+    return admitted(spark, sf_dir, all_uploads(spark, sf_dir).filter("upload_id % 997 = 1"))
+
+
+@query(ORACLES["upload_admission"].replace(" AND upload_id % 997 = 1", ""))
+def upload_admission_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests against all uploads under way."""
+    return admitted(spark, sf_dir, all_uploads(spark, sf_dir))
+
+
+def admitted(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
     page = F.col("page_id")
     name = F.when(page % 6 == 0, "a.html").when(page % 6 == 1, "b.PDF").otherwise("c.txt")
     asked = table(spark, sf_dir, "pages").select(page.alias("request_id"), F.concat(F.lit("src"), (page % 20).cast("string")).alias("knowledge_base_id"), sha(page % 700).alias("sha256"), (F.char_length("html") * 20000).alias("size_bytes"), name.alias("original_name"))
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("knowledge_base_id"), sha(F.col("doc_id") % 300).alias("sha256"))
-    return uploads.create_sessions(asked, docs, all_uploads(spark, sf_dir).filter("upload_id % 997 = 1"))
+    return uploads.create_sessions(asked, docs, sessions)
 
 
 THROTTLE = Settings(login_window_seconds=3600, login_attempt_limit=5)

@@ -60,3 +60,21 @@ def test_history_and_turns(spark):
     free = conversations.create_turns(owned, frame, asked, "2024-01-01 00:20:00").first()
     assert (busy.outcome, busy.title) == ("busy", "New Conversation")
     assert tuple(free) == (1, "created", 15, 16, 14, "Why?")
+
+
+def test_admission_comes_to_every_outcome(spark):
+    asked = [(1, "a.html", "x", 1), (2, "a.txt", "x", 99 << 20), (3, "a.txt", "there", 5), (4, "a.pdf", "open", 7), (5, "a.pdf", "open", 8), (6, "a.md", "new", 5), (7, "b.md", "new", 5), (8, "c.md", "newer", 5)]
+    requests = spark.createDataFrame([(i, "k", n, s, b) for i, n, s, b in asked], "request_id long, knowledge_base_id string, original_name string, sha256 string, size_bytes long")
+    docs = spark.createDataFrame([("k", "there")], "knowledge_base_id string, sha256 string")
+    sessions = spark.createDataFrame([("k", "open", 7, "open"), ("k", "new", 5, "completed")], "knowledge_base_id string, declared_sha256 string, total_bytes long, status string")
+    found = uploads.create_sessions(requests, docs, sessions, Settings(max_active_upload_sessions=2)).collect()
+    want = ["format", "too large", "duplicate document", "resumed", "other file", "created", "capacity", "capacity"]
+    assert [r.outcome for r in sorted(found, key=lambda r: r.request_id)] == want
+
+
+def test_admission_is_judged_against_all_uploads(spark):
+    from lodestone.plans import QUERIES
+
+    tally = lambda name: {r.outcome: r["count"] for r in QUERIES[name](spark, "/root/testdata/sf0.1").groupBy("outcome").count().collect()}
+    few, full = tally("upload_admission"), tally("upload_admission_full")
+    assert full["other file"] > 4 * few["other file"] and full["capacity"] < few["capacity"] / 4
