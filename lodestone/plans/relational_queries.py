@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
@@ -104,6 +104,12 @@ def grant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("knowledge_base_id").agg(F.array_join(keys, " ").alias("keys"), F.count("*").alias("n"))
 
 
+@query(f"WITH {USERS} SELECT knowledge_base_id, user_id, knowledge_base_id || ':' || user_id AS key FROM grants")
+def grant_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all grants, a row each."""
+    return grants(spark, sf_dir).select("knowledge_base_id", "user_id", F.concat("knowledge_base_id", F.lit(":"), F.col("user_id").cast("string")).alias("key"))
+
+
 # Uploads are orders: their price in hundreds of bytes is the size, and what has arrived goes by their status.
 UPLOADS = f"""uploads AS (SELECT o_orderkey AS upload_id, 'src' || (o_orderkey % 20) AS knowledge_base_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS initiated_by_id, floor(o_totalprice * 100)::BIGINT AS total_bytes,
   CASE o_orderstatus WHEN 'F' THEN floor(o_totalprice * 100)::BIGINT WHEN 'O' THEN floor(o_totalprice * 50)::BIGINT ELSE 0 END AS received_bytes, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' ELSE 'open' END AS status,
@@ -207,17 +213,33 @@ def admitted(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> DataFrame
 THROTTLE = Settings(login_window_seconds=3600, login_attempt_limit=5)
 
 
-def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events as failed logins; users are taken ten to a key, so that runs occur."""
+def throttle_key() -> Column:
+    """Ten users to a key, so that runs occur and keys grow with the users."""
+    return F.expr("user_id div 10").alias("key")
+
+
+def failures(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    """Error events as failed logins."""
     rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    return rows.select((F.col("user_id") % 10).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return rows.select(key, F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 @query("""WITH f AS (SELECT user_id % 10 AS key, ts, lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS before, event_id FROM events WHERE event_type = 'error'),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 3600 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM f)
 SELECT key, min(ts) AS first_failure, max(ts) AS last_failure, count(*) AS failures, count(*) >= 5 AS blocked FROM g GROUP BY key, run""")
 def login_throttle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = uploads.throttle_sessions(failures(spark, sf_dir), THROTTLE)
+    """Runs of failures where all users share ten keys."""
+    return throttled(spark, sf_dir, (F.col("user_id") % 10).alias("key"))
+
+
+@query(ORACLES["login_throttle_sessions"].replace("user_id % 10", "user_id // 10"))
+def login_throttle_by_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of failures with ten users to a key."""
+    return throttled(spark, sf_dir, throttle_key())
+
+
+def throttled(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    found = uploads.throttle_sessions(failures(spark, sf_dir, key), THROTTLE)
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_failure", "last_failure")})
 
 

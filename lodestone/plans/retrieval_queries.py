@@ -241,8 +241,22 @@ def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS chunk_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 8)::INTEGER AS place FROM documents")
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request that each text goes into, and its place there: eight of a knowledge base together, in order."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(n / DEFAULTS.embedding_batch_size).cast("long").alias("batch"), "source", (n % DEFAULTS.embedding_batch_size).cast("int").alias("place"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    n = F.col("place")
+    return numbered(docs).select("chunk_id", F.floor(n / DEFAULTS.embedding_batch_size).cast("long").alias("batch"), "source", (n % DEFAULTS.embedding_batch_size).cast("int").alias("place"))
+
+
+def numbered(chunks: DataFrame, block_bits: int = 12) -> DataFrame:
+    """chunks (chunk_id, source) with place, from 0 in the order of chunk_id in each source. They are numbered in blocks of
+    2 ** block_bits ids, after which the rows of the source's earlier blocks are added, so that no task takes a whole
+    source."""
+    rows = chunks.withColumn("_block", F.shiftright("chunk_id", block_bits))
+    counts = rows.groupBy("source", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = counts.select(F.col("source").alias("_source"), F.col("_block").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy("source", "_block").orderBy("chunk_id")) - 1)
+    joined = inside.join(starts, F.col("source").eqNullSafe(F.col("_source")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return joined.select("chunk_id", "source", (F.col("_start") + F.col("_in")).alias("place"))
 
 
 @query(f"""SELECT source AS knowledge_base, sha256(text) AS sha256, count(*) AS n_documents, min(doc_id) AS first_document FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.catalog import query
-from lodestone.plans.relational_queries import THROTTLE
+from lodestone.plans.relational_queries import THROTTLE, throttle_key
 from lodestone.streaming import events
 
 
@@ -17,7 +17,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed runs of failures. Those that the watermark hasn't passed stay open, so SQL over all events has more."""
-    failed = stream(spark, sf_dir).filter("event_type = 'error'").select((F.col("user_id") % 10).alias("key"), "ts")
+    failed = stream(spark, sf_dir).filter("event_type = 'error'").select(throttle_key(), "ts")
     return events.run_available(events.throttle_windows(failed, THROTTLE), "throttle-windows")
 
 
@@ -25,7 +25,7 @@ def stream_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_login_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors as failed logins and purchases as good ones: whether each attempt is let through."""
     tried = stream(spark, sf_dir).filter("event_type IN ('error', 'purchase')")
-    attempts = tried.select((F.col("user_id") % 10).alias("key"), "ts", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "purchase").alias("ok"))
+    attempts = tried.select(throttle_key(), "ts", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "purchase").alias("ok"))
     return events.run_available(events.throttle_decisions(attempts, THROTTLE), "throttle-decisions")
 
 

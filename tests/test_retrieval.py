@@ -95,3 +95,15 @@ def test_queries_of_many_terms_are_matched_on_all_of_them(spark):
         scores = {i: s for i, t in texts if (s := model(t, terms)) is not None}
         best = sorted(scores, key=lambda i: (-scores[i], i))[:20]
         assert {i: s for (q, i), s in got.items() if q == query} == {i: scores[i] for i in best}
+
+
+def test_places_go_on_from_block_to_block(spark):
+    from lodestone.plans.retrieval_queries import numbered
+
+    random.seed(6)
+    rows = [(i, random.choice(["a", "b", None])) for i in random.sample(range(-50, 400), 200)]
+    found = numbered(spark.createDataFrame(rows, "chunk_id long, source string"), 4)
+    want = {i: sum(j < i for j, s in rows if s == source) for i, source in rows}
+    assert {r.chunk_id: r.place for r in found.collect()} == want
+    windows = [w for w in str(found._jdf.queryExecution().optimizedPlan()).splitlines() if "row_number()" in w and "Window" in w]
+    assert windows and all("_block" in w.split("windowspecdefinition(")[1].split(" ASC")[0] for w in windows)

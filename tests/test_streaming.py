@@ -44,3 +44,14 @@ def test_parts_are_taken_once(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
     got = events.run_available(events.deduplicated_parts(stream), "parts").select("upload_id", "offset_bytes").collect()
     assert sorted(map(tuple, got)) == [(1, 0), (1, 5), (2, 0)]
+
+
+def test_throttle_keys_grow_with_the_users(spark):
+    from lodestone.plans import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    tried = spark.read.parquet(f"{sf}/events.parquet").filter("event_type IN ('error', 'purchase')")
+    users = tried.select((F.floor(F.col("user_id") / 10)).alias("key")).distinct().count()
+    found = QUERIES["stream_login_decisions"](spark, sf)
+    assert found.select("key").distinct().count() == users > 10 and found.count() == tried.count()
+    assert QUERIES["stream_login_throttle"](spark, sf).select("key").distinct().count() > 10
