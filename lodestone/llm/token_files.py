@@ -9,9 +9,10 @@ lists the files in order with the number of tokens before each.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,67 +25,130 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import partitions, steps
 
 SEQUENCE_LENGTH = 2048
-#: Words whose ids a worker process remembers; beyond that it starts afresh.
-REMEMBERED_WORDS = 800_000
+#: Bytes of words (and of what keeps them) that a worker process remembers; beyond that it forgets the rarer ones.
+REMEMBERED_BYTES = 160 << 20
+#: About what a remembered word takes beside its own characters.
+WORD_OVERHEAD = 160
+#: Words that the tokenizer gets at once, one to a line.
+LEARNED_AT_ONCE = 16_384
 #: Looking words up costs time for each step, so the steps are longer here.
 STEP_BYTES = 6 << 20
 MANIFEST = "file string, docs long, tokens long, first_id long"
+#: Characters of many kinds, of which all pairs are tried with blanks between them and around them.
+PROBES = "a Z 0 9 . , ' \u2019 - _ # < > | \u00e9 e\u0301 \u00df \u0130 \u4e2d \u3042 \u0301 \u00a0 \u2003 \ufeff \U0001f600 \x00".split(" ")
+
+
+def works_by_words(tokenizer) -> bool:
+    """Whether the ids of a text are those of its chunks between spaces and line breaks, one after the other, as far as
+    the tokenizer's parts and probes tell: it normalizes by kinds that don't look across blanks, has no added token with
+    a blank, and gives a pair of characters the same ids with a blank or line break between them as each alone."""
+    parts = json.loads(tokenizer.to_str())
+    found = parts["normalizer"]
+    normalizers = [] if found is None else found["normalizers"] if found["type"] == "Sequence" else [found]
+    plain = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+    white = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if not all(n["type"] in plain or n == white for n in normalizers) or parts["pre_tokenizer"] is None:
+        return False
+    if any(" " in t["content"] or "\n" in t["content"] for t in parts["added_tokens"]):
+        return False
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    alone = {c: ids(c) for c in PROBES}
+    return not ids(" \n  ") and all(ids(f" {a}{blank}{b}\n") == alone[a] + alone[b] for a in PROBES for b in PROBES for blank in (" ", "\n"))
+
+
+class Growing:
+    """An array that grows in place, doubling its room."""
+
+    def __init__(self, dtype: type, first: int = 1 << 16) -> None:
+        self.room, self.size = np.zeros(first, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            wider = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            wider[: self.size] = self.room[: self.size]
+            self.room = wider
+        self.room[self.size : end] = values
+        self.size = end
 
 
 class WordEncoder:
-    """Encodes texts by their distinct words, each once.
-
-    The tokenizers' patterns never match across a space or a line break, so the ids of a text are those of its chunks
-    between them, one after the other.
-    """
+    """Encodes texts by their distinct words, each once for as long as it is remembered; whole texts where the tokenizer
+    does not work by words."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.forget()
+        self.by_words = works_by_words(self.tokenizer)
+        self.start()
+
+    def start(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.bytes = 0
+        self.ids, self.starts, self.seen = Growing(self.dtype), Growing(np.int64), Growing(np.int32)
+        self.starts.extend(np.zeros(1, np.int64))
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
-        self.ids = np.zeros(0, self.dtype)
-        self.starts = np.zeros(1, np.int32)
-
-    def learn(self, words: pa.Array) -> None:
-        ids, counts = [self.ids], []
-        for first in range(0, len(words), 8192):  # the library's results are large
-            some = words.slice(first, 8192).to_pylist()
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, found), np.int32, len(found)))
-            ids.append(np.fromiter(chain.from_iterable(found), self.dtype, int(counts[-1].sum())))
-        self.ids = np.concatenate(ids)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts), dtype=np.int32)])
-        self.words = pa.concat_arrays([self.words, words])
+        """Forgets the words of a single step, or all if those are few."""
+        known, words = np.flatnonzero(self.seen.room[: self.seen.size] > 1), list(self.numbers)
+        starts, ids = self.starts.room, self.ids.room
+        sizes = starts[known + 1] - starts[known]
+        held = ids[np.repeat(starts[known] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        kept = [words[k] for k in known.tolist()]
+        self.start()
+        size = sum(map(len, kept)) + WORD_OVERHEAD * len(kept)
+        if size < REMEMBERED_BYTES // 2:
+            self.add(kept, held, np.cumsum(sizes))
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.starts.extend(self.ids.size + ends)
+        self.ids.extend(ids)
+        self.seen.extend(np.zeros(len(words), np.int32))
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.bytes += sum(map(len, words)) + WORD_OVERHEAD * len(words)
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of words without a space or a line break. The tokenizer takes many as lines of one text; an id
+        belongs to the line in which its characters begin."""
+        for first in range(0, len(words), LEARNED_AT_ONCE):
+            some = words[first : first + LEARNED_AT_ONCE]
+            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            ids = np.fromiter(found.ids, self.dtype, len(found.ids))
+            begin = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids))[::2]
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            self.add(some, ids, np.searchsorted(begin, ends))
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has (a null text: none)."""
+        if not self.by_words:
+            found = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), self.dtype, int(counts.sum())), counts
         filled = pc.fill_null(texts, "").cast(pa.large_string()).combine_chunks()
         if isinstance(filled, pa.ChunkedArray):
             filled = pa.concat_arrays(filled.chunks)
         chunks = pc.split_pattern(pc.replace_substring(filled, "\n", " "), " ")
         coded = chunks.flatten().dictionary_encode()
-        words = coded.dictionary
-        if len(self.words) + len(words) > REMEMBERED_WORDS:
+        distinct = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct.cast(pa.string())), "\n")
+        words = joined[0].as_py().split("\n") if len(distinct) else []
+        if self.bytes > REMEMBERED_BYTES:
             self.forget()
-        found = pc.index_in(words, self.words)
-        known, new = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_null(found)
-        fresh = new.to_numpy(zero_copy_only=False)
-        if fresh.any():
-            known[fresh] = len(self.words) + np.arange(int(fresh.sum()))
-            self.learn(words.filter(new))
-        at = known[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(counts, dtype=np.int32)
-        where = np.repeat(self.starts[at] - (ends - counts), counts)
-        where += np.arange(len(where), dtype=np.int32)
-        ids = self.ids[where]
+        known = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(known < 0)
+        known[fresh] = len(self.numbers) + np.arange(len(fresh))
+        self.learn([words[k] for k in fresh.tolist()])
+        self.seen.room[known] += 1
+        starts, of = self.starts.room, coded.indices.to_numpy(zero_copy_only=False)
+        sizes = (starts[known + 1] - starts[known]).astype(np.int32)
+        counts = sizes[of]
+        ends = np.cumsum(counts, dtype=np.int64)
+        where = np.repeat(starts[known][of] - (ends - counts), counts)
+        where += np.arange(len(where))
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))])]
-        return ids, np.diff(upto)
+        return self.ids.room[where], np.diff(upto)
 
 
 @lru_cache(maxsize=2)
