@@ -16,9 +16,10 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null for a null or zero vector, or for vectors of unequal length."""
-    whole = F.nullif(norm(a) * norm(b), F.lit(0.0))
-    return F.when(F.size(a) == F.size(b), dot(a, b) / whole)
+    """Cosine similarity; null for a null or zero vector, one with a part that is null or not finite, or for vectors of
+    unequal length."""
+    value = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))  # a part that is infinite makes this NaN
+    return F.when((F.size(a) == F.size(b)) & ~F.isnan(value), value)
 
 
 def is_finite(vector: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,66 +15,89 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions.text import tokens
-from lodestone.functions.vectors import cosine
+from lodestone.functions.vectors import cosine, is_finite, norm
+from lodestone.session import new_path
 
 #: Query vectors that are broadcast at once; more go in several blocks.
 QUERY_BLOCK = 4_096
+#: Terms of all queries up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_TERMS = 500_000
 PLACES = 6
 
 
 def semantic_topk(chunks: DataFrame, vector: Sequence[float], k: int = DEFAULTS.semantic_candidates) -> DataFrame:
     """The k chunks (chunk_id, embedding) nearest to one vector by cosine, with similarity and rank. Exact.
 
-    Similarities are rounded before they are ranked, so that equal ones go by chunk_id everywhere. Zero vectors and
-    vectors of another length are left out.
+    Similarities are rounded before they are ranked, so that equal ones go by chunk_id everywhere. Zero vectors, vectors
+    of another length and those with a part that is null or not finite are left out.
     """
-    target = F.lit([float(x) for x in vector])
+    target = F.array(*(F.lit(float(x)) for x in vector)).cast("array<double>")
     scored = chunks.withColumn("similarity", F.round(cosine(F.col("embedding"), target), PLACES)).filter("similarity IS NOT NULL")
     best = scored.select("chunk_id", "similarity").orderBy(F.desc("similarity"), "chunk_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id")))
 
 
-def semantic_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS.semantic_candidates) -> DataFrame:
-    """For each query (query_id, embedding) the k nearest chunks, as query_id, chunk_id, similarity, rank.
+def semantic_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS.semantic_candidates, within: Sequence[str] = ()) -> DataFrame:
+    """For each query (query_id, embedding) the k nearest chunks, as query_id, chunk_id, similarity, rank; only those that
+    are equal to the query in the columns `within`. Vectors are left out as in semantic_topk().
 
-    Queries are broadcast in blocks of QUERY_BLOCK; each task multiplies its chunks with a block and keeps the best of
-    its own, so that what is shuffled is k rows a query and batch, whatever the number of chunks.
+    Queries are broadcast in blocks of about QUERY_BLOCK; each task multiplies its chunks with a block and keeps the best
+    of its own, so that what is shuffled is k rows a query and batch, whatever the number of chunks. Of several blocks,
+    each is worked on in a pass of its own, and what it finds is stored, so the driver never has more than one.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = [_block(chunks, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    some = [r for r in queries.select("query_id", "embedding").collect() if r.embedding]  # about QUERY_BLOCK rows
-    shared = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in some], [r.embedding for r in some]))
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if blocks == 1:
+        return best(_block(chunks, queries, k, within))
+    path = new_path(chunks.sparkSession, "semantic-blocks")
+    for b in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        best(_block(chunks, some, k, within)).write.mode("append").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def _block(chunks: DataFrame, queries: DataFrame, k: int, within: Sequence[str]) -> DataFrame:
+    whole = queries.filter(is_finite(F.col("embedding")) & (norm(F.col("embedding")) > 0))
+    groups: dict[tuple, dict[int, tuple[list, list]]] = {}
+    for r in whole.select("query_id", "embedding", *within).collect():  # about QUERY_BLOCK rows
+        ids, vectors = groups.setdefault(tuple(r[2:]), {}).setdefault(len(r.embedding), ([], []))
+        ids.append(r.query_id)
+        vectors.append(r.embedding)
+    for sizes in groups.values():
+        for size, (ids, vectors) in sizes.items():
+            matrix = np.array(vectors, np.float64)
+            sizes[size] = np.array(ids, np.int64), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = chunks.sparkSession.sparkContext.broadcast(groups)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        if not ids:
-            return
-        ids, targets = np.array(ids, np.int64), np.array(vectors, np.float64)
-        targets /= np.linalg.norm(targets, axis=1, keepdims=True)
         for batch in batches:
-            lists, chunk = batch["embedding"], batch["chunk_id"].to_numpy(zero_copy_only=False)
-            sized = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == targets.shape[1]
-            rows = lists.filter(pa.array(sized)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, targets.shape[1])
-            lengths = np.linalg.norm(rows, axis=1)
-            rows, chunk = rows[lengths > 0] / lengths[lengths > 0, None], chunk[sized][lengths > 0]
-            if not len(rows):
-                continue
-            near = np.round(targets @ rows.T, PLACES)
-            order = np.lexsort((np.broadcast_to(chunk, near.shape), -near), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(chunk[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())],
-                names=["query_id", "chunk_id", "similarity"],
-            )
-
-    return chunks.select("chunk_id", "embedding").mapInArrow(best, "query_id long, chunk_id long, similarity double")
+            sizes = batch["embedding"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            places: dict[tuple, list[int]] = {}
+            keys = zip(*(batch[c].to_pylist() for c in within), strict=True) if within else repeat((), batch.num_rows)
+            for row, key in enumerate(keys):
+                places.setdefault(key, []).append(row)
+            for key, rows in places.items():
+                for size, (ids, targets) in shared.value.get(key, {}).items():
+                    found = nearest(batch.take(pa.array(np.array(rows)[sizes[rows] == size], pa.int64())), ids, targets, k)
+                    if found is not None:
+                        yield found
+
+    return chunks.select("chunk_id", "embedding", *within).mapInArrow(best, "query_id long, chunk_id long, similarity double")
+
+
+def nearest(chunks: pa.RecordBatch, ids: np.ndarray, targets: np.ndarray, k: int) -> pa.RecordBatch | None:
+    """The k nearest of chunks, whose vectors have the targets' length, to each target."""
+    rows = np.asarray(chunks["embedding"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, targets.shape[1])
+    lengths = np.linalg.norm(rows, axis=1)
+    usable = np.isfinite(lengths) & (lengths > 0)
+    rows, chunk = rows[usable] / lengths[usable, None], chunks["chunk_id"].to_numpy(zero_copy_only=False)[usable]
+    if not len(rows):
+        return None
+    near = np.round(targets @ rows.T, PLACES)
+    order = np.lexsort((np.broadcast_to(chunk, near.shape), -near), axis=1)[:, :k]
+    columns = [pa.array(np.repeat(ids, order.shape[1])), pa.array(chunk[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "similarity"])
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -130,44 +155,116 @@ def cover_rank(found: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
     return covers.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("lexical_score"))
 
 
-def _matches(posts: DataFrame, way: Terms) -> DataFrame:
-    """(chunk_id, lexical_score) of one way to match."""
-    wanted = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
-    number = F.coalesce(*(F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(wanted)))
-    found = cover_rank(posts.filter(F.col("term").isin(wanted)).withColumn("t", number), ["chunk_id"], F.lit(len(wanted)))
-    for phrase in way.phrases:
-        stands = posts.filter(F.col("term") == phrase[0]).select("chunk_id", "pos")
-        for i, word in enumerate(phrase[1:], 1):
-            after = posts.filter(F.col("term") == word).select("chunk_id", (F.col("pos") - i).alias("pos"))
-            stands = stands.join(after, ["chunk_id", "pos"], "left_semi")
-        found = found.join(stands, "chunk_id", "left_semi")
+def cover_score(found: Column, wanted: int) -> Column:
+    """The same for one chunk's postings of query terms: found is an array of structs of t (from 0) and pos in order of
+    pos; null where a term is missing."""
+    place = "struct<pos: int, n: int>"
+    start = F.struct(F.array_repeat(F.lit(None).cast(place), wanted).alias("last"), F.lit(0).alias("n"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
+
+    def step(state: Column, x: Column) -> Column:
+        here = F.struct(x["pos"].alias("pos"), state["n"].alias("n"))
+        last = F.transform(state["last"], lambda old, t: F.when(t == x["t"], here).otherwise(old))
+        first = F.when(F.forall(last, lambda p: p.isNotNull()), F.array_min(last))
+        noise = (x["pos"] - first["pos"]) - (state["n"] - first["n"])
+        new = F.coalesce(first["pos"] > state["begin"], F.lit(False))
+        return F.struct(last.alias("last"), (state["n"] + 1).alias("n"), F.when(new, first["pos"]).otherwise(state["begin"]).alias("begin"), (state["score"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("score"))
+
+    return F.aggregate(found, start, step, lambda s: F.when(s["begin"] >= 0, s["score"]))
+
+
+def _score(way: Terms) -> Column:
+    """The score of one way to match by the array `_terms` of a chunk's terms, or null where it doesn't match."""
+    words = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
+    number = lambda term: F.coalesce(*(F.when(term == w, F.lit(i)) for i, w in enumerate(words)))
+    placed = F.transform("_terms", lambda term, i: F.struct(number(term).alias("t"), (i + 1).alias("pos")))
+    score = cover_score(F.filter(placed, lambda x: x["t"].isNotNull()), len(words))
+    whole = F.concat(F.lit(" "), F.array_join("_terms", " "), F.lit(" "))
+    fits = [F.array_contains("_terms", w) for w in words] + [F.contains(whole, F.lit(f" {' '.join(p)} ")) for p in way.phrases if len(p) > 1]
     if way.excluded:
-        found = found.join(posts.filter(F.col("term").isin(list(way.excluded))), "chunk_id", "left_anti")
-    return found
+        fits.append(~F.arrays_overlap("_terms", F.lit(list(way.excluded))))
+    return F.when(reduce(Column.__and__, fits), score)
 
 
-def lexical_topk(posts: DataFrame, search: str, k: int = DEFAULTS.lexical_candidates) -> DataFrame:
-    """The k best chunks for a search, as chunk_id, lexical_score (rounded), rank.
+def lexical_topk(texts: DataFrame, search: str, k: int = DEFAULTS.lexical_candidates) -> DataFrame:
+    """The k best of chunks (chunk_id, text) for a search, as chunk_id, lexical_score (rounded), rank.
 
     Where all alternatives are single words, each of their occurrences is a cover; otherwise a chunk's score is the sum
-    over the alternatives that match it. A search without words matches nothing.
+    over the alternatives that match it. A search without words matches nothing. Each text is read by itself, in one
+    pass, and only the k best are shuffled; lexical_topk_stored() reads stored postings instead.
     """
     ways = web_search(search)
+    rows = texts.select("chunk_id", tokens(F.col("text")).alias("_terms"))
     if not ways:
-        found = posts.filter(F.lit(False)).select("chunk_id", F.lit(0.0).alias("lexical_score"))
+        score = F.lit(None).cast("double")
     elif len(ways) > 1 and all(len(w.terms) == 1 and not w.phrases and not w.excluded for w in ways):
-        words = [w.terms[0] for w in ways]
-        found = posts.filter(F.col("term").isin(words)).groupBy("chunk_id").agg((0.1 * F.count("*")).alias("lexical_score"))
+        words = list({w.terms[0] for w in ways})
+        score = F.nullif(0.1 * F.size(F.filter("_terms", lambda x: x.isin(words))), F.lit(0.0))
     else:
-        found = _matches(posts, ways[0])
-        for way in ways[1:]:
-            found = found.unionByName(_matches(posts, way))
-        found = found.groupBy("chunk_id").agg(F.sum("lexical_score").alias("lexical_score")) if len(ways) > 1 else found
-    scored = found.select("chunk_id", F.round("lexical_score", PLACES).alias("lexical_score"))
+        scores = [_score(way) for way in ways]
+        score = F.when(F.coalesce(*scores).isNotNull(), sum(F.coalesce(x, F.lit(0.0)) for x in scores))
+    return _best(rows.select("chunk_id", F.round(score, PLACES).alias("lexical_score")).filter("lexical_score IS NOT NULL"), k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     best = scored.orderBy(F.desc("lexical_score"), "chunk_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("lexical_score"), "chunk_id")))
 
 
+def store_postings(texts: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Stores the postings of chunks (chunk_id, text) by term, a row for each term of a chunk with its positions, and
+    returns them. Folders hold the terms of one hash, files are sorted by term, so that a search reads little of them.
+    Terms that are in most chunks are dealt out by chunk as well, so that no task writes all of one."""
+    rows = texts.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    found = rows.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    found = found.withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt = found.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def lexical_topk_stored(stored: DataFrame, search: str, k: int = DEFAULTS.lexical_candidates, buckets: int = 64) -> DataFrame:
+    """lexical_topk() over stored postings: the terms of the search are looked up, and what they have is put together for
+    each chunk. Only the folders and row groups with those terms are read."""
+    ways = web_search(search)
+    words = sorted({w for way in ways for w in (*way.terms, *(x for p in way.phrases for x in p), *way.excluded)})
+    if not words:
+        return _best(stored.select("chunk_id", F.lit(0.0).alias("lexical_score")).filter(F.lit(False)), k)
+    in_bucket = reduce(Column.__or__, (F.col("bucket") == _bucket(F.lit(w), buckets) for w in words))
+    found = stored.filter(in_bucket & F.col("term").isin(words))
+    entry = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term")))
+    rows = found.select("chunk_id", entry.alias("_some")).groupBy("chunk_id").agg(F.sort_array(F.flatten(F.collect_list("_some"))).alias("_places"))
+    if len(ways) > 1 and all(len(w.terms) == 1 and not w.phrases and not w.excluded for w in ways):
+        return _best(rows.select("chunk_id", F.round(0.1 * F.size("_places"), PLACES).alias("lexical_score")), k)
+    scores = [_stored_score(way) for way in ways]
+    score = F.when(F.coalesce(*scores).isNotNull(), sum(F.coalesce(x, F.lit(0.0)) for x in scores))
+    return _best(rows.select("chunk_id", F.round(score, PLACES).alias("lexical_score")).filter("lexical_score IS NOT NULL"), k)
+
+
+def _stored_score(way: Terms) -> Column:
+    words = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
+    number = lambda term: F.coalesce(*(F.when(term == w, F.lit(i)) for i, w in enumerate(words)))
+    placed = F.transform("_places", lambda x: F.struct(number(x["term"]).alias("t"), x["pos"].alias("pos")))
+    fits = [F.lit(True)]
+    for phrase in way.phrases:
+        at = [F.transform(F.filter("_places", _is(word)), _shifted(i)) for i, word in enumerate(phrase)]
+        fits.append(F.size(reduce(F.array_intersect, at)) > 0)
+    if way.excluded:
+        fits.append(~F.arrays_overlap(F.transform("_places", lambda x: x["term"]), F.lit(list(way.excluded))))
+    return F.when(reduce(Column.__and__, fits), cover_score(F.filter(placed, lambda x: x["t"].isNotNull()), len(words)))
+
+
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda x: x["term"] == word
+
+
+def _shifted(by: int) -> Callable[[Column], Column]:
+    return lambda x: x["pos"] - by
+
+
 def ranked(rows: DataFrame, score: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -191,26 +288,33 @@ def select_evidence(fused: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     return best.withColumn("evidence_id", F.concat(F.lit("E"), F.col("retrieval_rank").cast("string")))
 
 
-def sufficiency(evidence: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """For each query with evidence, whether any of it is near enough or matches well enough."""
+def sufficiency(evidence: DataFrame, settings: Settings = DEFAULTS, queries: DataFrame | None = None) -> DataFrame:
+    """For each query with evidence, or each of queries (query_id), whether any of it is near enough or matches well
+    enough; a query without evidence has too little."""
     enough = (F.col("similarity") >= settings.min_semantic_similarity) | (F.col("lexical_score") >= settings.min_lexical_score)
-    return evidence.groupBy("query_id").agg(F.coalesce(F.bool_or(enough), F.lit(False)).alias("sufficient"), F.count("*").alias("n_evidence"))
+    found = evidence.groupBy("query_id").agg(F.coalesce(F.bool_or(enough), F.lit(False)).alias("sufficient"), F.count("*").alias("n_evidence"))
+    if queries is None:
+        return found
+    rows = queries.select("query_id").join(found, "query_id", "left")
+    return rows.select("query_id", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Evidence of all queries (query_id, knowledge_base, embedding, terms) from chunks (chunk_id, document_id,
-    knowledge_base, embedding, text), which are what the asker may see and is ready.
+    knowledge_base, embedding, text), which are what the asker may see and is ready. Where both have embedding_model,
+    only chunks of the query's are looked at.
 
-    Both are joined on the knowledge base ahead of any ranking. A query matches lexically where all its terms occur,
-    however many. A query without a vector or without terms has the other kind of candidate alone.
+    Vectors are compared within the knowledge base as in semantic_topk_batch(). The queries' terms are broadcast up to
+    BROADCAST_TERMS of them, so that of all postings only those of a query are shuffled. A query matches lexically where
+    all its terms occur, however many. A query without a vector or without terms has the other kind of candidate alone.
     """
-    pairs = chunks.select("chunk_id", "knowledge_base", "embedding").join(queries.select("query_id", "knowledge_base", F.col("embedding").alias("target")), "knowledge_base")
-    near = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("target")), PLACES).alias("similarity"))
-    semantic = ranked(near.filter("similarity IS NOT NULL"), "similarity", settings.semantic_candidates)
+    within = ["knowledge_base", *(["embedding_model"] if "embedding_model" in chunks.columns and "embedding_model" in queries.columns else [])]
+    semantic = semantic_topk_batch(chunks, queries, settings.semantic_candidates, within)
     wanted = queries.withColumn("terms", F.array_distinct("terms"))
-    terms = wanted.select("query_id", "knowledge_base", F.size("terms").alias("wanted"), F.posexplode("terms").alias("t", "term"))
-    posts = postings(chunks.select("chunk_id", "text")).join(chunks.select("chunk_id", "knowledge_base"), "chunk_id")
-    found = posts.join(terms, ["knowledge_base", "term"]).select("query_id", "chunk_id", "wanted", "t", "pos")
+    terms = wanted.select("query_id", *within, F.size("terms").alias("wanted"), F.posexplode("terms").alias("t", "term"))
+    few = terms.count() <= BROADCAST_TERMS
+    posts = chunks.select("chunk_id", *within, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    found = posts.join(F.broadcast(terms) if few else terms, [*within, "term"]).select("query_id", "chunk_id", "wanted", "t", "pos")
     scores = cover_rank(found, ["query_id", "chunk_id"], F.col("wanted"))
     scores = scores.withColumn("lexical_score", F.round("lexical_score", PLACES))
     lexical = ranked(scores, "lexical_score", settings.lexical_candidates)

@@ -36,7 +36,8 @@ FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER B
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks nearest to the vector of chunk 0."""
     chunks = embedded(spark, sf_dir)
-    return retrieval.semantic_topk(chunks, chunks.filter("chunk_id = 0").first().embedding)
+    first = chunks.filter("chunk_id = 0").first()
+    return retrieval.semantic_topk(chunks, first.embedding if first and first.embedding else [])
 
 
 @query(f"""SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({COSINE.format(a="e.embedding", b="q.embedding")}, 6) AS similarity,
@@ -71,7 +72,7 @@ def covers_sql(a: str, b: str, name: str = "found") -> str:
 
 
 def lexical(spark: SparkSession, sf_dir: str, search: str) -> DataFrame:
-    return retrieval.lexical_topk(retrieval.postings(texts(spark, sf_dir)), search)
+    return retrieval.lexical_topk(texts(spark, sf_dir), search)
 
 
 @query(lexical_sql(covers_sql("the", "of")))

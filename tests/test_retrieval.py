@@ -6,10 +6,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.operators import retrieval
 from lodestone.operators.retrieval import Terms, web_search
+from lodestone.session import new_path
 
 SEMANTIC, LEXICAL = "query_id long, chunk_id long, similarity double, rank int", "query_id long, chunk_id long, lexical_score double, rank int"
 
@@ -39,10 +41,38 @@ def test_sufficiency(spark, similarity, score, enough):
 
 
 def test_zero_and_short_vectors_are_left_out(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0])], "chunk_id long, embedding array<float>")
+    nan, inf = float("nan"), float("inf")
+    vectors = [[1.0, 0.0], [0.0, 0.0], [1.0], None, [1.0, 1.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [inf, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors, 1)), "chunk_id long, embedding array<float>")
     assert [r.chunk_id for r in retrieval.semantic_topk(rows, [2.0, 0.0]).collect()] == [1, 5]
-    asked = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<float>")
-    assert [r.chunk_id for r in retrieval.semantic_topk_batch(rows, asked).orderBy("rank").collect()] == [1, 5]
+    assert retrieval.semantic_topk(rows, []).collect() == retrieval.semantic_topk(rows, [0.0, 0.0]).collect() == retrieval.semantic_topk(rows, [nan, 0.0]).collect() == []
+    asked = spark.createDataFrame([(9, [2.0, 0.0]), (8, [0.0, 0.0]), (7, [nan, 1.0]), (6, None), (5, [3.0]), (4, [None, 1.0])], "query_id long, embedding array<float>")
+    got = [(r.query_id, r.chunk_id) for r in retrieval.semantic_topk_batch(rows, asked).orderBy("query_id", "rank").collect()]
+    assert got == [(5, 3), (9, 1), (9, 5)]
+
+
+def test_many_queries_are_taken_in_blocks(spark, monkeypatch):
+    random.seed(8)
+    vector = lambda: [random.uniform(-1, 1) for _ in range(4)]
+    rows = spark.createDataFrame([(i, vector(), i % 3) for i in range(60)], "chunk_id long, embedding array<float>, kb int")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "embedding", "kb").filter("query_id < 20")
+    once = retrieval.semantic_topk_batch(rows, asked, 5, ["kb"]).orderBy("query_id", "rank").collect()
+    assert all(r.query_id % 3 == r.chunk_id % 3 for r in once) and {r.query_id: r.chunk_id for r in once if r.rank == 1} == {i: i for i in range(20)}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 6)
+    assert retrieval.semantic_topk_batch(rows, asked, 5, ["kb"]).orderBy("query_id", "rank").collect() == once
+
+
+def test_only_chunks_of_the_querys_model_are_evidence(spark):
+    chunks = spark.createDataFrame([(i, i, "k", m, [1.0, i / 10], "red car") for i, m in enumerate("abab")], "chunk_id long, document_id long, knowledge_base string, embedding_model string, embedding array<float>, text string")
+    asked = spark.createDataFrame([(1, "k", "a", [1.0, 0.0], ["red"])], "query_id long, knowledge_base string, embedding_model string, embedding array<float>, terms array<string>")
+    assert {r.chunk_id for r in retrieval.retrieve(chunks, asked).collect()} == {0, 2}
+
+
+def test_a_query_without_evidence_has_too_little(spark):
+    rows = spark.createDataFrame([(1, 0.9, None)], "query_id long, similarity double, lexical_score double")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    got = {r.query_id: (r.sufficient, r.n_evidence) for r in retrieval.sufficiency(rows, queries=asked).collect()}
+    assert got == {1: (True, 1), 2: (False, 0)}
 
 
 def test_searches():
@@ -70,17 +100,21 @@ def model(text: str, terms: list[str]) -> float | None:
 def test_cover_density_equals_a_plain_count(spark):
     random.seed(3)
     texts = [(i, " ".join(random.choices("a b c d e".split(), k=random.randint(0, 25)))) for i in range(60)]
-    posts = retrieval.postings(spark.createDataFrame(texts, "chunk_id long, text string"))
+    frame = spark.createDataFrame(texts, "chunk_id long, text string")
+    stored = retrieval.store_postings(frame, new_path(spark, "postings"), 4)
     for terms in (["a"], ["a", "b"], ["a", "b", "c"]):
-        got = {r.chunk_id: r.lexical_score for r in retrieval.lexical_topk(posts, " ".join(terms), 100).collect()}
-        assert got == {i: s for i, t in texts if (s := model(t, terms)) is not None}
+        wanted = {i: s for i, t in texts if (s := model(t, terms)) is not None}
+        assert {r.chunk_id: r.lexical_score for r in retrieval.lexical_topk(frame, " ".join(terms), 100).collect()} == wanted
+        assert {r.chunk_id: r.lexical_score for r in retrieval.lexical_topk_stored(stored, " ".join(terms), 100, 4).collect()} == wanted
 
 
 def test_phrases_and_exclusions(spark):
     texts = [(1, "the red car"), (2, "red the car"), (3, "a red car, new"), (4, None), (5, "")]
-    posts = retrieval.postings(spark.createDataFrame(texts, "chunk_id long, text string"))
-    ids = lambda s: sorted(r.chunk_id for r in retrieval.lexical_topk(posts, s).collect())
-    assert ids('"red car"') == [1, 3] and ids("red car -new") == [1, 2] and ids("the or new") == [1, 2, 3] and ids("") == []
+    frame = spark.createDataFrame(texts, "chunk_id long, text string")
+    stored = retrieval.store_postings(frame, new_path(spark, "postings"), 4)
+    for search, found in (('"red car"', [1, 3]), ("red car -new", [1, 2]), ("the or new", [1, 2, 3]), ("", []), ('"the red" or new', [1, 3])):
+        assert sorted(r.chunk_id for r in retrieval.lexical_topk(frame, search).collect()) == found
+        assert sorted(r.chunk_id for r in retrieval.lexical_topk_stored(stored, search, 20, 4).collect()) == found
 
 
 def test_queries_of_many_terms_are_matched_on_all_of_them(spark):
