@@ -305,10 +305,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = least.join(linked, "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("first").alias("first"))
     bare = rows.filter("n = 0").select("_key", F.lit(True).alias("_bare")).distinct()
     stay = written(groups.select("first._key", F.lit(False).alias("_bare")).union(bare), "join-stay")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.select(*own, F.xxhash64("doc_id", "text").alias("_key")).join(stay, "_key")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    found = docs.select(row, F.xxhash64("doc_id", "text").alias("_key")).join(stay, "_key")
     place = F.row_number().over(Window.partitionBy("_key").orderBy("_bare"))
-    return found.withColumn("_place", place).filter((F.col("_place") == 1) | F.col("_bare")).select(*own)
+    return found.withColumn("_place", place).filter((F.col("_place") == 1) | F.col("_bare")).select("_row.*")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:

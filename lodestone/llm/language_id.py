@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import steps
+from lodestone.llm.shared import steps, unused
 
 PROFILE_SIZE = 400
 DOCUMENT_SIZE = 300
-#: Training rows of one language, about: beyond it rows are taken by a hash of their id.
+#: Training rows of one language, about: beyond it rows are taken by a hash of all their columns.
 MAX_ROWS_PER_LANGUAGE = 8_000
 MAX_LANGUAGES = 5_000
 UNDETERMINED = "und"
@@ -80,8 +80,9 @@ class Profiles:
 def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
     """Profiles of the languages in `lang` from docs (text, lang), where `train` holds.
 
-    Rows with a null lang or a null text teach nothing. Of a language with more than MAX_ROWS_PER_LANGUAGE rows, that
-    many (about) are taken by a hash of their text; rarer languages are taken whole. Ties of frequency go by n-gram
+    Rows with a null lang or a null text teach nothing, repeated rows count each. Of a language with more than
+    MAX_ROWS_PER_LANGUAGE rows, that many (about) are taken by a hash of all columns, so that a text that is there under
+    many ids isn't taken or left as a whole; rarer languages are taken whole. Ties of frequency go by n-gram
     code, so reruns agree. An empty table gives no profile, and every text is then undetermined.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -92,7 +93,7 @@ def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
     if not counts:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, MAX_ROWS_PER_LANGUAGE / n))))
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    rows = rows.filter(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches):
@@ -120,8 +121,9 @@ def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """docs with lang_pred and score (0 to 1: how near the text is to that profile), from `text` alone.
 
-    A null text and a text without a letter are `und` with score 0. Other columns stay; older ones of these two names
-    are replaced. Equal distances go to the language that sorts first.
+    A null text and a text without a letter are `und` with score 0. Very long texts are taken whole, and repeated rows
+    are judged alike. Other columns stay, whatever their names; older ones of these two names are replaced. Equal
+    distances go to the language that sorts first. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE_SIZE codes a language
 
@@ -129,8 +131,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, judged("text").alias("_judged")).select(*keep, "_judged.lang_pred", "_judged.score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep, found = [F.col(f"`{c}`") for c in kept], unused(kept, "judged")
+    return docs.select(*keep, judged("text").alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def nearness_limits(judged: DataFrame, least: float) -> tuple[dict[str, float], float]:

@@ -6,7 +6,9 @@ and so on (forward filtering, backward sampling). The draws come from a hash of
 so a row is always cut in the same way, wherever it is processed.
 
 Blanks become the mark U+2581, with one more before the text, and no piece crosses a mark, so the lattice of a text is
-that of its chunks, each built once for all its occurrences. A character without a piece becomes its UTF-8 bytes, and so
+that of its chunks, each built once for all its occurrences. A chunk has one lattice, however long it is: sums are
+rescaled as they go along, and those of a very long chunk are kept at the edges of blocks only, whose lattices are built
+again on the way back. A character without a piece becomes its UTF-8 bytes, and so
 does the mark itself where a text has it, which keeps decoding lossless. The model's scores are places in its list of
 merges; a piece at place r has weight 1 / (r + OFFSET).
 """
@@ -23,16 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import mixed
-from lodestone.llm.shared import steps
+from lodestone.llm.shared import steps, unused
 
 MARK = 0x2581
 #: Stands for the mark where a text has it.
 OWN_MARK = 0x20000000
 OFFSET = 10.0
-#: Chunks are cut after so many code points, which bounds the lattice.
-LONGEST = 64
-#: Weights grow by this factor for each code point, the same for all ways to a place, against underflow.
+#: Weights grow by this factor for each code point, the same for all ways to a place, and after so many code points the
+#: sums are brought back to 1, both against underflow.
 LIFT = 100.0
+RESCALED = 32
+#: Code points of a block, and of the longest chunk that isn't worked on in blocks.
+BLOCK = 8192
 #: Bytes of text whose lattices are in memory at once; a longer text is cut at blanks.
 STEP_BYTES = 1 << 19
 U = np.uint64
@@ -58,7 +62,7 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         self.byte_ids = np.zeros(256, np.int32)
-        self.weights = np.zeros(self.size)
+        self.weights = np.full(self.size + 1, 1e-6 * LIFT)  # with what it grows by; the last is that of other code points
         texts, plain = [], {}
         for i in range(self.size):
             piece = model.id_to_piece(i)
@@ -71,7 +75,7 @@ class Pieces:
                 texts.append(piece.replace("▁", " ").encode())
                 if "▁" not in piece[1:]:
                     plain[piece] = i
-                    self.weights[i] = 1 / (min(-model.get_score(i), self.size) + OFFSET)
+                    self.weights[i] = LIFT ** len(piece) / (min(-model.get_score(i), self.size) + OFFSET)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
@@ -107,46 +111,65 @@ class Pieces:
 
 
 class Lattice:
-    """The filtered lattice of many chunks. Node s + c + k stands after k code points of chunk c, which begins at s."""
+    """The filtered lattice of many chunks. Node s + c + k stands after k code points of chunk c, which begins at s.
 
-    def __init__(self, pieces: Pieces, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    known: sums of the first nodes of a single chunk, which continues another; nothing is drawn from those nodes on.
+    """
+
+    def __init__(self, pieces: Pieces, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: np.ndarray | None = None) -> None:
         n, chunks = len(points), len(starts)
-        chunk = np.repeat(np.arange(chunks), lengths)
-        end = (starts + lengths)[chunk]
+        chunk = np.repeat(np.arange(chunks, dtype=np.int32), lengths)
+        place = np.arange(n, dtype=np.int32)
+        left = (starts + lengths).astype(np.int32)[chunk] - place
+        before = place - starts.astype(np.int32)[chunk]
         sums = np.concatenate([[U(0)], np.cumsum(mixed(points.astype(U) + U(1)) * powers(BASE, n))])
         back = powers(INVERSE, n)
-        at, made = np.arange(n), []
+        at, made = place, []
         for length in range(1, pieces.longest + 1):
-            at = at[at + length <= end[at]]
+            at = at[left[at] >= length]
             if not len(at):
                 break
             found, ids = pieces.find(mixed((sums[at + length] - sums[at]) * back[at]))
             here = ids >= 0
-            made.append((at[here], np.full(here.sum(), length), ids[here].astype(np.int64)))
             if length == 1:  # code points without a piece: ids beyond the vocabulary
-                none = at[~here]
-                made.append((none, np.ones(len(none), np.int64), pieces.size + points[none].astype(np.int64)))
+                ids, begin = np.where(here, ids, pieces.size + points[at]).astype(np.int32), at
+            else:
+                ids, begin = ids[here], at[here]
+            made.append((begin + chunk[begin], before[begin] + np.int32(length), ids, np.full(len(begin), length, np.int32)))
             at = at[found]
-        begin, length, ids = (np.concatenate(x) for x in zip(*made, strict=True))
-        known = ids < pieces.size
-        weight = np.where(known, pieces.weights[np.where(known, ids, 0)], 1e-6) * LIFT**length
-        source = begin + chunk[begin]
-        target = source + length
+        source, depth, ids, length = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int32),) * 4
         self.first = starts + np.arange(chunks)
         self.last = self.first + lengths
         ways = np.zeros(n + chunks)
-        ways[self.first] = 1
-        depth = begin + length - starts[chunk[begin]]
+        if known is None:
+            ways[self.first] = 1
+        else:
+            ways[: len(known)] = known
+            new = depth >= len(known)
+            source, depth, ids, length = source[new], depth[new], ids[new], length[new]
+        depth = depth.astype(np.uint16)  # at most BLOCK and an overlap
         order = np.argsort(depth, kind="stable")
-        through = np.zeros(len(begin))
-        cuts = np.searchsorted(depth[order], np.arange(1, int(lengths.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = order[a:b]
-            through[e] = ways[source[e]] * weight[e]
-            np.add.at(ways, target[e], through[e])
+        source, ids = source[order], ids[order]
+        target = source + length[order]
+        weight = pieces.weights[np.minimum(ids, pieces.size)]
+        deepest = int(lengths.max(initial=0))
+        cuts = np.searchsorted(depth[order], np.arange(1, deepest + 2))
+        part = np.zeros(len(source))
+        for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), 1):
+            if a == b:
+                continue
+            through = ways[source[a:b]] * weight[a:b]
+            np.add.at(ways, target[a:b], through)
+            part[a:b] = through / ways[target[a:b]]
+            if d % RESCALED == 0 and d < deepest:
+                edge = self.first[lengths > d] + d
+                scale = ways[edge]
+                for k in range(min(pieces.longest, d + 1)):
+                    ways[edge - k] /= scale
+        self.ways = ways
         order = np.argsort(target, kind="stable")
         self.source, self.ids, target = source[order], ids[order], target[order]
-        share = np.minimum(through[order] / ways[target] * 2.0**32, 2.0**32 - 1).astype(np.int64)
+        share = np.minimum(part[order] * 2.0**32, 2.0**32 - 1).astype(np.int64)
         new = np.ones(len(target), bool)
         new[1:] = target[1:] != target[:-1]
         self.opens = np.flatnonzero(new)
@@ -159,13 +182,25 @@ class Lattice:
         self.node = np.zeros(n + chunks, np.int64)
         self.node[target] = node
 
+    def walk(self, place: int, least: int, draws: np.ndarray) -> tuple[list[int], int]:
+        """The ids of a way back from a node of a single chunk to the first that is at most `least`, last first, and
+        that node."""
+        out = []
+        for u in draws.tolist():
+            edge = int(np.searchsorted(self.cumulated, (int(self.node[place]) << 33) + u, side="right"))
+            out.append(int(self.ids[edge]))
+            place = int(self.source[edge])
+            if place <= least:
+                break
+        return out, place
+
     def sample(self, chunks: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a way through each of the chunks: all ids one after the other, and how many each has."""
         where, active = self.last[chunks].copy(), np.arange(len(chunks))
         drawn, counts, step = [], np.zeros(len(chunks), np.int64), 0
         while len(active):
             node = self.node[where[active]]
-            u = (mixed(seeds[active] + U(step * BASE % (1 << 64))) >> U(32)).astype(np.int64)
+            u = (mixed(seeds[active] + U(step * BASE % (1 << 64))) >> U(32)).astype(np.int64)  # as draws()
             edge = np.searchsorted(self.cumulated, (node << 33) + u, side="right")
             drawn.append((active, self.ids[edge]))
             where[active] = self.source[edge]
@@ -180,6 +215,11 @@ class Lattice:
         return out, counts
 
 
+def draws(seed: np.uint64, step: int, n: int) -> np.ndarray:
+    """The numbers of 32 bits that a chunk's draws from a step on go by."""
+    return (mixed(seed + np.arange(step, step + n, dtype=U) * U(BASE)) >> U(32)).astype(np.int64)
+
+
 def blank_cuts(text: str, size: int) -> Iterator[str]:
     """The text in parts of about `size` characters, each up to a blank, which is dropped."""
     at = 0
@@ -209,38 +249,76 @@ class Sampler:
         return np.concatenate(out), counts
 
     def encode_step(self, texts: pa.Array, keys: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-        """The same of texts whose lattices fit in memory, and the number of places drawn at. before: those of the first
+        """The same of texts whose lattices fit in memory, and the number of chunks. before: the chunks of the first
         text's beginning, which came before."""
-        pieces, rows = self.pieces, len(texts)
+        rows = len(texts)
         chunks = pc.split_pattern(texts.cast(pa.large_string()), " ")
         coded = chunks.flatten().dictionary_encode()
         distinct = coded.dictionary
         sizes = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-        points = np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), np.uint32)
-        points = np.where(points == MARK, OWN_MARK, points).astype(np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct.cast(pa.string())), "")
+        points = np.frombuffer(joined[0].as_py().encode("utf-32-le"), np.int32)
+        points = np.where(points == MARK, np.int32(OWN_MARK), points)
         points = np.insert(points, np.cumsum(sizes) - sizes, MARK)
         sizes = sizes + 1
-        parts = -(-sizes // LONGEST)
-        part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(np.cumsum(sizes) - sizes, parts) + part * LONGEST
-        lengths = np.minimum(LONGEST, np.repeat(sizes, parts) - part * LONGEST)
-        lattice = Lattice(pieces, points, starts, lengths)
+        begins = np.cumsum(sizes) - sizes
         of = coded.indices.to_numpy(zero_copy_only=False)
-        per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
-        n_parts = parts[of]
-        text = np.repeat(np.repeat(np.arange(rows), per_text), n_parts)
-        first_part = (np.cumsum(parts) - parts)[of]
-        total = int(n_parts.sum())
-        chosen = np.repeat(first_part - (np.cumsum(n_parts) - n_parts), n_parts) + np.arange(total)
-        in_text = np.bincount(text, minlength=rows)
-        place = np.arange(total) - np.repeat(np.cumsum(in_text) - in_text, in_text)
+        in_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.repeat(np.arange(rows), in_text)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(in_text) - in_text, in_text)
         seeds = mixed(keys.view(U)[text] ^ mixed((place + before).astype(U) + U(1)))
-        ids, counts = lattice.sample(chosen, seeds)
+        long = sizes > BLOCK
+        if not long.any():
+            ids, counts = Lattice(self.pieces, points, begins, sizes).sample(of, seeds)
+        else:
+            ids, counts = self.with_long(points, begins, sizes, of, seeds)
         owner = np.repeat(text, counts)
-        odd = ids >= pieces.size
+        odd = ids >= self.pieces.size
         if odd.any():
             ids, owner = self.with_bytes(ids, owner, odd)
-        return ids.astype(np.int32), np.bincount(owner, minlength=rows), total
+        return ids.astype(np.int32), np.bincount(owner, minlength=rows), len(of)
+
+    def with_long(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draws for all chunks `of`, of which some are long: all ids one after the other, and how many each has."""
+        short = sizes <= BLOCK
+        number = np.cumsum(short) - 1
+        some = sizes[short]
+        lattice = Lattice(self.pieces, points[np.repeat(short, sizes)], np.cumsum(some) - some, some)
+        which = short[of]
+        ids, of_short = lattice.sample(number[of[which]], seeds[which])
+        counts = np.zeros(len(of), np.int64)
+        counts[which] = of_short
+        drawn = {k: self.sample_long(points[begins[of[k]] : begins[of[k]] + sizes[of[k]]], seeds[k]) for k in np.flatnonzero(~which).tolist()}
+        for k, found in drawn.items():
+            counts[k] = len(found)
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]), np.int64)
+        out[np.repeat(which, counts)] = ids
+        for k, found in drawn.items():
+            out[ends[k] - len(found) : ends[k]] = found
+        return out, counts
+
+    def sample_long(self, points: np.ndarray, seed: np.uint64) -> np.ndarray:
+        """A way through one chunk in blocks: forward keeping the sums at their edges, then back."""
+        n, known, begin, edges = len(points), np.ones(1), 0, []
+        while True:
+            end = min(begin + len(known) - 1 + BLOCK, n)
+            edges.append((begin, end, known))
+            if end == n:
+                break
+            ways = self.block(points, *edges[-1]).ways
+            known = ways[max(0, end + 1 - self.pieces.longest - begin) : end - begin + 1]
+            known, begin = known / known[-1], end + 1 - len(known)
+        out, place = [], n
+        for begin, end, known in reversed(edges):
+            lattice = self.block(points, begin, end, known)
+            ids, local = lattice.walk(place - begin, len(known) - 1, draws(seed, len(out), place - begin))
+            out += ids
+            place = begin + local
+        return np.array(out[::-1], np.int64)
+
+    def block(self, points: np.ndarray, begin: int, end: int, known: np.ndarray) -> Lattice:
+        return Lattice(self.pieces, points[begin:end], np.zeros(1, np.int64), np.array([end - begin]), known)
 
     def with_bytes(self, ids: np.ndarray, owner: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points without a piece replaced by their bytes."""
@@ -270,10 +348,14 @@ def encode(docs: DataFrame, model: str, key: Column | None = None) -> DataFrame:
     """docs with ids (array of int) and n_pieces of `text`. key: what seeds a row's draws, doc_id unless given.
 
     A null text has null ids and no pieces; an empty one has the piece of the blank put before it. Rows with equal keys
-    and texts are cut alike. Other columns stay; older ones of these names are replaced.
+    and texts, so repeated rows too, are cut alike, and a null key is a key. Shares of a draw are held in 32 bits, so two
+    ways of equal weight may differ by 2**-32. Very long texts are cut at blanks, and chunks without a blank worked on in
+    blocks, which changes no draw. An empty table gives an empty one. Other columns stay, whatever their names; older
+    ones of these two are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "n_pieces", "_seed")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col("doc_id") if key is None else key).alias("_seed"))
+    keep = [c for c in docs.columns if c not in ("ids", "n_pieces")]
+    seed = unused(keep, "seed")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col("doc_id") if key is None else key).alias(seed))
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_pieces long"
 
@@ -282,17 +364,17 @@ def encode(docs: DataFrame, model: str, key: Column | None = None) -> DataFrame:
         for table in steps(batches, limit=STEP_BYTES):
             texts = table["text"].combine_chunks()
             missing = pc.is_null(texts).to_numpy(zero_copy_only=False)
-            ids, counts = cut.encode(pc.fill_null(texts, ""), table["_seed"].to_numpy().astype(np.int64))
+            ids, counts = cut.encode(pc.fill_null(texts, ""), table[seed].to_numpy().astype(np.int64))
             ids, counts = ids[np.repeat(~missing, counts)], np.where(missing, 0, counts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids), mask=pa.array(missing))
-            out = table.drop_columns(["_seed"]).append_column("ids", lists).append_column("n_pieces", pa.array(counts.astype(np.int64)))
+            out = table.drop_columns([seed]).append_column("ids", lists).append_column("n_pieces", pa.array(counts.astype(np.int64)))
             yield from out.to_batches()
 
     return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
-    """rows with decoded, the text of ids; null for null ids. An older column of this name is replaced."""
+    """rows with decoded, the text of ids; null for null ids. Other columns stay; an older one of this name is replaced."""
     keep = [c for c in rows.columns if c != "decoded"]
     schema = ", ".join(f"`{rows.schema[c].name}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", decoded string"
 

@@ -33,6 +33,13 @@ def is_training_row(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(True))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one like it, that none of the columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.Table]:
     """The batches cut into runs of rows with at most `limit` bytes of text, so that memory stays bounded."""
     for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import Words, mixed
-from lodestone.llm.shared import partitions, steps
+from lodestone.llm.shared import partitions, steps, unused
 
 LENGTH = 35
 PERIOD = 21
@@ -184,11 +184,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Windows are judged on the input, so every copy of a passage goes, and one that overlaps itself too. kept_text has the
     words that stay, joined by one space. A null or empty text has no words and an empty kept_text; texts under LENGTH
-    words keep all. Repeated rows are copies of each other. Other columns stay; older ones of these names are replaced.
+    words keep all. Repeated rows are copies of each other, and all go. Ties don't occur, as every repeat goes. Very long
+    texts are taken whole, a text at a time. An empty table gives an empty one. Other columns stay, whatever their names;
+    older ones of these three are replaced.
     """
     new = ("n_words", "n_removed", "kept_text")
-    own = [c for c in docs.columns if c not in (*new, "_key", "_repeated", "_known", "_more", "_cut")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in own), row_key(own).alias("_key"))
+    own = [c for c in docs.columns if c not in new]
+    row = F.struct(F.lit(0).alias(unused(own, "none")), *(F.col(f"`{c}`") for c in own if c != "text")).alias("_row")
+    rows = docs.select(row, "text", row_key(own).alias("_key"))
     rows = rows.repartition(partitions(docs.sparkSession), "_key")
     # All rounds read the same columns, so that they share one shuffle of the texts.
     repeated = repeats(rows, anchors, "_repeated")
@@ -209,5 +212,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=list(new))
 
-    keep = [F.col(f"`{c}`") for c in own]
-    return found.select(*keep, cut("text", "_known", "_more").alias("_cut")).select(*keep, "_cut.*")
+    keep = [F.col("text" if c == "text" else f"_row.`{c}`").alias(c) for c in own]
+    return found.select("_row", "text", cut("text", "_known", "_more").alias("_cut")).select(*keep, "_cut.*")

@@ -92,3 +92,49 @@ def test_empty(spark, empty):
 def test_query(spark, data):
     rows = op3_piece_sampling(spark, data)
     assert rows.filter("NOT lossless").count() == 0 and rows.count() == 200
+
+
+def boundaries(sampler, word):
+    """For each place in the mark and a word, the share of all ways, by weight, that have a cut there."""
+    pieces, text = sampler.pieces, chr(MARK) + word
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=model_path())
+    ids = {(a, b): model.piece_to_id(text[a:b]) for a in range(len(text)) for b in range(a + 1, min(a + pieces.longest, len(text)) + 1)}
+    edges = [(a, b, float(pieces.weights[i])) for (a, b), i in ids.items() if i != model.unk_id() and pieces.weights[i] > 0]
+    forward, backward = np.zeros(len(text) + 1), np.zeros(len(text) + 1)
+    forward[0] = backward[-1] = 1
+    for a, b, w in sorted(edges):
+        forward[b] += forward[a] * w
+    for a, b, w in sorted(edges, reverse=True):
+        backward[a] += backward[b] * w
+    return forward * backward / forward[-1]
+
+
+@pytest.mark.parametrize("block", [8192, 48])
+def test_pieces_cross_any_place_of_a_long_word(sampler, monkeypatch, block):
+    """Sums are rescaled and blocks end inside this word, and neither shows in where it is cut."""
+    monkeypatch.setattr(piece_sampling, "BLOCK", block)
+    word, n = ("thereinafter" * 9)[:100], 3_000
+    ids, counts = sampler.encode(pa.array([word] * n), np.arange(n))
+    sizes = np.array([len(sampler.decode(np.array([i]), np.array([1]))[0]) + 1 for i in range(sampler.pieces.size)])
+    cuts = np.zeros(len(word) + 2)
+    for way in np.split(ids, np.cumsum(counts)[:-1]):
+        cuts[np.cumsum(sizes[way])] += 1
+    wanted = boundaries(sampler, word)
+    assert np.abs(cuts[1:101] / n - wanted[1:101]).max() < 0.05
+    assert 0 < cuts[64] < n
+
+
+def test_blocks_change_no_draw(sampler, monkeypatch):
+    texts = ["a" * 700 + " short " + "neverthelessnotwithstanding" * 30, "https://host/" + "path-" * 150, "中文" * 200 + "\t" + "\U0001f600" * 90]
+    whole = sampler.encode(pa.array(texts), np.arange(3))
+    monkeypatch.setattr(piece_sampling, "BLOCK", 100)
+    parts = sampler.encode(pa.array(texts), np.arange(3))
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_a_very_long_run_is_lossless(sampler):
+    text = "".join(chr(97 + i * i % 26) for i in range(60_000))
+    ids, counts = sampler.encode(pa.array([text, "x"]), np.arange(2))
+    assert [t.decode() for t in sampler.decode(ids, counts)] == [text, "x"]
