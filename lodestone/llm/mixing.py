@@ -4,11 +4,15 @@ Each source is cut into blocks of documents by a seeded hash. A source's target
 passes over all its blocks, then a part of them in permuted order, the last of which is drawn in part. A binary tree
 over the output shards splits the quotas of all sources: at each node, the draws that go left are drawn without
 replacement from those at the node. A shard so gets, of every source, a run of draws that no other shard has. Within a
-shard, rows stand in the order of a hash.
+shard, rows stand in the order of a hash, dealt to as many partitions as its size asks for.
+
+A block that is drawn in part may be mostly one long document that doesn't fit. What then is missing is drawn from the
+blocks that follow, until it is below a thousandth of the target or the source has no further block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,15 +21,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import written
+from lodestone.llm.shared import partitions, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SHARDS = 16
 SEED = 20
+#: Words and rows of a block, about; blocks of a source that would have more than MAX_BLOCKS are larger.
 BLOCK_WORDS = 50_000
+BLOCK_ROWS = 20_000
 MAX_BLOCKS = 1 << 20
+#: Words of an output partition, about.
+PART_WORDS = 1 << 24
+#: Share of a target that may be missing before more blocks are drawn from.
+MISSING = 0.001
 #: Tables of sources and blocks are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -123,7 +133,8 @@ def choose(rows: pd.DataFrame) -> pd.DataFrame:
         if size <= left:
             left -= size
             taken.append(int(key))
-    return pd.DataFrame({"_source": [rows["_source"].iloc[0]], "_block": [rows["_block"].iloc[0]], "_last": [taken]})
+    used = float(rows["_rest"].iloc[0]) - left
+    return pd.DataFrame({"_source": [rows["_source"].iloc[0]], "_block": [rows["_block"].iloc[0]], "_last": [taken], "_taken": [used]})
 
 
 def plan(
@@ -132,14 +143,16 @@ def plan(
     """The sizes of docs (doc_id, source, text) as (doc_id, source, size), and the draws of all sources.
 
     Null and empty texts have size 0. A null source is one source, the last. Rows with one doc_id and source are drawn
-    together. The same rows, parameters and seed give the same draws, in whatever order rows come. An empty table, or
-    one without a word, has no draws.
+    together. Of equal sizes, the smaller hash is drawn first; very long documents are drawn whole or not at all. The same
+    rows, parameters and seed give the same draws, in whatever order rows come. An empty table, or one without a word,
+    has no draws.
     """
     slim = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")
     by = source_key(F.col("source")).alias("_source")
-    sizes = slim.groupBy(by).agg(F.sum("size").alias("source_size"))
-    blocks_of = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")
-    sources = source_targets(sizes, weights, share, most).withColumn("_blocks", blocks_of)
+    sizes = slim.groupBy(by).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    blocks_of = F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.ceil(F.col("_rows") / BLOCK_ROWS), F.lit(1))
+    blocks_of = sizes.select("_source", F.least(F.lit(MAX_BLOCKS), blocks_of).cast("long").alias("_blocks"))
+    sources = source_targets(sizes.select("_source", "source_size"), weights, share, most).join(blocks_of, "_source")
     size = F.greatest(F.col("source_size"), F.lit(1))
     passes = F.floor(F.col("target") / size)
     sources = sources.withColumn("_passes", passes).withColumn("_rest", F.col("target") - passes * F.col("source_size"))
@@ -148,34 +161,61 @@ def plan(
     table = F.broadcast(sources) if few_sources else sources
     keyed = slim.select(by, row_key(seed).alias("_key"), "size").join(table, "_source").withColumn("_block", F.pmod("_key", "_blocks"))
     order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "_block"), "_block")
-    blocks = keyed.groupBy("_source", "_block").agg(F.sum("size").alias("_words"), *(F.first(c).alias(c) for c in ("_blocks", "_passes", "_rest")))
-    upto = F.sum("_words").over(order)
-    blocks = blocks.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_left", F.col("_rest") - upto + F.col("_words"))
-    blocks = blocks.withColumn("_n", F.count("*").over(Window.partitionBy("_source")))
-    more = F.col("_left") >= 1
-    drawn = blocks.select("_source", "_block", "_rank", "_passes", "_n", more.alias("_more"), F.when(more & (F.col("_left") < F.col("_words")), F.col("_left")).alias("_part"))
-    drawn = written(drawn, "mix-blocks")
+    blocks = keyed.groupBy("_source", "_block").agg(F.sum("size").alias("_words"))
+    blocks = blocks.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("_source")))
+    blocks = written(blocks, "mix-order")
+    once = written(rest_draws(keyed, blocks, sources, few_sources), "mix-rest")
+    drawn = blocks.join(F.broadcast(sources.select("_source", "_passes")) if few_sources else sources.select("_source", "_passes"), "_source")
+    drawn = drawn.join(once.withColumn("_more", F.lit(True)), ["_source", "_block"], "left").withColumn("_more", F.coalesce("_more", F.lit(False)))
+    drawn = written(drawn.filter((F.col("_passes") > 0) | F.col("_more")), "mix-blocks")
     quotas = drawn.groupBy("_source").agg(F.sum(F.col("_passes") + F.col("_more").cast("long")).alias("_quota"))
     starts = split_quotas(quotas, shards, seed)
     times = F.sequence(F.lit(0), (F.col("_passes") + F.col("_more").cast("long") - 1).cast("int"))
     shard = lambda t: (F.size(F.filter("_starts", lambda s: s <= t * F.col("_n") + F.col("_rank"))) - 1).cast("int")
-    taken = drawn.filter((F.col("_passes") > 0) | F.col("_more")).join(starts, "_source").select("_source", "_block", F.transform(times, shard).alias("_shards"))
-    parts = drawn.filter(F.col("_part").isNotNull()).select("_source", "_block", F.col("_part").alias("_rest"))
-    few_parts = F.broadcast(parts) if few_sources else parts  # at most one for each source
-    inside = keyed.select("_source", "_block", "_key", "size").join(few_parts, ["_source", "_block"])
-    inside = inside.groupBy("_source", "_block", "_key", "_rest").agg(F.sum("size").alias("size"))
-    last = inside.groupBy("_source", "_block").applyInPandas(choose, "_source string, _block long, _last array<long>")
-    draws = written(taken.join(last, ["_source", "_block"], "left"), "mix-draws")
+    draws = drawn.join(starts, "_source").select("_source", "_block", F.transform(times, shard).alias("_shards"), "_last")
+    draws = written(draws, "mix-draws")
     return slim, Draws(sources.select("_source", "source_size", "target", "_blocks"), draws, few_sources, draws.count() <= BROADCAST_ROWS, seed)
 
 
+def rest_draws(keyed: DataFrame, blocks: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """(_source, _block, _last) of the blocks that sources are drawn from for what whole passes leave of their targets.
+
+    Each round draws blocks in order as long as they fit and chooses documents of the first that doesn't; _last lists
+    those, and is null for a whole block. The next round goes on behind that block with what is still missing.
+    """
+    schema = "_source string, _block long, _last array<long>, _taken double"
+    hint = lambda table: F.broadcast(table) if few else table
+    left = sources.filter("_rest >= 1").select("_source", F.col("_rest").alias("_left"), F.lit(-1).alias("_from"), (F.col("target") * MISSING).alias("_enough"))
+    found = None
+    while not left.isEmpty():
+        upto = F.sum("_words").over(Window.partitionBy("_source").orderBy("_rank"))
+        ahead = blocks.join(hint(left), "_source").filter(F.col("_rank") > F.col("_from")).withColumn("_upto", upto)
+        reached = written(ahead.filter(F.col("_left") - F.col("_upto") + F.col("_words") >= 1), "mix-reached")
+        whole = reached.filter(F.col("_upto") <= F.col("_left"))
+        parts = reached.filter(F.col("_upto") > F.col("_left")).select("_source", "_block", "_rank", "_enough", (F.col("_left") - F.col("_upto") + F.col("_words")).alias("_rest"))
+        inside = keyed.select("_source", "_block", "_key", "size").join(hint(parts.select("_source", "_block", "_rest")), ["_source", "_block"])  # a block a source
+        inside = inside.groupBy("_source", "_block", "_key", "_rest").agg(F.sum("size").alias("size"))
+        chosen = written(inside.groupBy("_source", "_block").applyInPandas(choose, schema), "mix-chosen")
+        some = whole.select("_source", "_block", F.lit(None).cast("array<long>").alias("_last")).unionByName(chosen.filter(F.size("_last") > 0).select("_source", "_block", "_last"))
+        found = some if found is None else found.unionByName(some)
+        rest = parts.join(chosen.select("_source", "_taken"), "_source").withColumn("_left", F.col("_rest") - F.col("_taken"))
+        left = written(rest.filter((F.col("_left") >= 1) & (F.col("_left") > F.col("_enough"))).select("_source", "_left", F.col("_rank").alias("_from"), "_enough"), "mix-left")
+    return found if found is not None else blocks.filter(F.lit(False)).select("_source", "_block", F.lit(None).cast("array<long>").alias("_last"))
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with shard and repeat, each shard's rows together and in the
-    order of a hash. Other columns stay; older ones of these two names are replaced. See plan() for the cases."""
+    """The rows of docs as often as the mix takes them, with shard and repeat, each shard's rows in the order of a hash.
+
+    A shard takes as many partitions of about PART_WORDS words as it needs, each with the next part of the order. Other
+    columns stay; older ones of these two names are replaced. See plan() for the cases.
+    """
     _, draws = plan(docs, **how)
     rows = draws.assign(docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
     keep = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "repeat")]
     taken = rows.select("doc_id", "_row", F.posexplode("shards").alias("repeat", "shard"))
     order = F.xxhash64(F.lit(draws.seed), F.lit("within"), "doc_id", "repeat")
-    placed = taken.withColumn("_order", order).repartition("shard", F.pmod("_order", F.lit(64)))
-    return placed.sortWithinPartitions("shard", "_order").select(*keep, "shard", "repeat")
+    words = draws.sources.agg(F.sum("target")).first()[0] or 0
+    shards = how.get("shards", SHARDS)
+    parts = max(1, math.ceil(max(words / PART_WORDS, partitions(docs.sparkSession)) / shards))
+    part = F.floor((F.shiftrightunsigned("_order", 32) * parts) / (1 << 32)).cast("int")  # even ranges of the order
+    return taken.withColumn("_order", order).repartitionById(shards * parts, F.col("shard") * parts + part).sortWithinPartitions("shard", "_order").select(*keep, "shard", "repeat")
