@@ -1,7 +1,7 @@
 """Quality classifier (operator 5): nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are runs of three character classes (letters by case, digits, blanks, line breaks, each sign by itself),
-hashed, and levels of how much its words, word pairs and lines repeat. A truncated singular value decomposition of a
+A text's terms are its words, hashed; runs of three character classes (letters by case, digits, blanks, line breaks, each
+sign by itself), hashed; and levels of how much its words, word pairs and lines repeat. A truncated singular value decomposition of a
 bounded sample of labelled texts gives the latent space. The sample's vectors and labels are broadcast; every document's
 cosine with each of them is computed, in blocks, and the nearest vote with their similarity as weight.
 """
@@ -29,10 +29,13 @@ DIMENSIONS = 48
 TERMS = 512
 LEVELS = 8
 REPETITIONS = 4
-WIDTH = TERMS + LEVELS * REPETITIONS
+WORD_TERMS = 512
+WORDS_FROM = TERMS + LEVELS * REPETITIONS
+WIDTH = WORDS_FROM + WORD_TERMS
 THRESHOLD = 0.3
-#: Weight of a repetition level against all of a text's character runs, whose vector has length 1.
+#: Weights of a repetition level, and of all words, against all of a text's character runs, whose vector has length 1.
 LEVEL_WEIGHT = 0.5
+WORD_WEIGHT = 0.5
 
 
 def _classes() -> np.ndarray:
@@ -72,6 +75,9 @@ def features(texts: pa.ChunkedArray) -> np.ndarray:
         out[:, :TERMS] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     of, place = words.places()
     counts = np.diff(words.starts)
+    cell = of * WORD_TERMS + (words.hashes % np.uint64(WORD_TERMS)).astype(np.int64)
+    found = np.bincount(cell, minlength=rows * WORD_TERMS).reshape(rows, WORD_TERMS)
+    out[:, WORDS_FROM:] = WORD_WEIGHT * np.sqrt(found / np.maximum(counts, 1)[:, None])
     shares = [repeated_share(words.hashes, of, rows)]
     for n in (2, 5):
         fits = place + n <= counts[of] if len(of) else np.zeros(0, bool)
@@ -125,12 +131,14 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Voters:
 def learn(docs: DataFrame, labels: DataFrame) -> Voters:
     """Voters from labels (doc_id, label 0 or 1) and docs (doc_id, text); rows with a null id or label teach nothing.
 
-    Of more than MAX_VOTERS labels, those with the least hashes of their ids are taken. Documents that have several
-    labels vote with each. Without labels every score is 0.5.
+    Of more than MAX_VOTERS labels, those with the least hashes of their ids are taken, and of more than so many texts that
+    have these ids, those with the least hashes of their texts. Documents that have several labels vote with each,
+    repeated rows once. Without labels every score is 0.5.
     """
     usable = labels.select("doc_id", "label").filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_VOTERS)  # a bounded table
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = found.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(MAX_VOTERS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches):
@@ -138,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
             yield from pa.table([table["doc_id"], table["label"].cast(pa.int32()), rows], names=["doc_id", "label", "row"]).to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(found.mapInArrow(describe, f"doc_id {kind}, label int, row binary").collect())  # at most MAX_VOTERS, but for repeated ids
+    got = sorted(found.mapInArrow(describe, f"doc_id {kind}, label int, row binary").collect())  # at most MAX_VOTERS
     rows = np.array([np.frombuffer(r.row, np.float32) for r in got]).reshape(-1, WIDTH)
     return fit(rows, np.array([r.label for r in got]))
 
@@ -146,7 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
 def judge(docs: DataFrame, voters: Voters) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from THRESHOLD on), from `text` alone.
 
-    Null and empty texts get the voters' mean label. Other columns stay; older ones of these names are replaced.
+    Null and empty texts get the voters' mean label. Of voters that are as near as the last that counts, any may vote.
+    Very long texts are taken whole, repeated rows get one score, and an empty table gives an empty one. Other columns
+    stay, whatever their names; older ones of these two are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)  # MAX_VOTERS vectors
 
