@@ -3,16 +3,22 @@
 A text's set is its runs of SHINGLE words. Equal sets make one class, and only classes are joined. A class carries a
 sketch of its set, the least hash in each of BINS parts of the hash range; those are the tokens of its paths.
 
-In each of RUNS runs a class goes to the buckets of its sampled tokens: a token is sampled if a hash of the path so far
-and the token is below 1 / (similarity * number of tokens), so that two sets that are as similar as asked share one of
-their samples on average. Buckets above BRUTE_FORCE classes split again by further tokens. In small buckets all pairs
-are compared by their sketches, with four standard deviations of leave. What may be similar so falls into clusters, and
-within a cluster every pair is compared exactly by the whole sets, large clusters block against block. A miss needs a
-pair that shares no sample in any run, about exp(-RUNS) at the threshold, and no cluster by way of others either.
+In each run a class goes to the buckets of its sampled tokens: a token is sampled if a hash of the path so far and the
+token is below 1 / (similarity * number of tokens), so that two sets that are as similar as asked share one of their
+samples on average. Buckets above BRUTE_FORCE classes split again by further tokens, up to LEVELS times; those that are
+still large are tied together unseen. In small buckets all pairs are compared by their sketches, with five standard
+deviations of leave. What may be similar so falls into clusters, and within a cluster every pair is compared exactly by
+the whole sets, large clusters block against block.
+
+The runs are repeated until the target recall: a pair at the threshold shares a path of one token with probability
+1 - exp(-1), one of two with 1 - exp(-(1 - exp(-1))), and so on, and runs_for() takes as many runs as bring the pairs that
+no run finds at the deepest level below what the target leaves. Pairs nearer than the threshold, or in larger clusters by
+way of others, are missed less often still.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import HOT, components, hot_join, hot_keys
 from lodestone.llm.rolling import Words, mixed
 from lodestone.llm.shared import partitions, steps, written
 
@@ -28,9 +34,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BINS = 64
 EMPTY = 0xFFFFFFFF
-RUNS = 12
+#: Share of the pairs at the threshold that must be found, at whatever level.
+TARGET_RECALL = 0.9999
 BRUTE_FORCE = 128
 LEVELS = 3
+#: Standard deviations of a sketch's estimate by which two sets may be below the threshold and still be compared.
+LEAVE = 5
+#: Large buckets up to this many are broadcast.
+BROADCAST_PATHS = 500_000
 #: Blocks of a cluster: at most about this many classes and shingles each.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
@@ -39,6 +50,17 @@ COLUMNS = 4096
 U = np.uint64
 
 
+def runs_for(recall: float, levels: int = LEVELS) -> int:
+    """The runs after which a pair at the threshold is found with probability `recall`, whatever level it is found at."""
+    found = 1.0
+    for _ in range(levels):
+        found = 1 - math.exp(-found)
+    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+
+
+RUNS = runs_for(TARGET_RECALL)
+
+
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, ascending in each, and where each text's begin. A text of one to four
     words has one shingle, all of it; one without words has none."""
@@ -160,7 +182,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches may be of sets as similar as asked."""
     either = ((a != EMPTY) | (b != EMPTY)).sum(-1)
     same = ((a == b) & (a != EMPTY)).sum(-1)
-    leave = 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(either, 1))
+    leave = LEAVE * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(either, 1))
     return same >= (SIMILARITY - leave) * either
 
 
@@ -251,11 +273,16 @@ def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(classes.select("set", "sketch").mapInArrow(first_paths, "path long, set long"), "join-paths")
     leaves = None
     for level in range(LEVELS):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("least")).filter("size > 1")
-        sized = rows.join(sizes, "path")
-        small = sized.filter(F.col("size") <= BRUTE_FORCE).select("path", "set")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("least"))
+        sizes = written(sizes.filter("size > 1"), "join-sizes")
+        wide = sizes.filter(F.col("size") > BRUTE_FORCE).select("path", "least")
+        few = wide.count() <= BROADCAST_PATHS
+        wide = F.broadcast(wide) if few else wide
+        # Rows of large buckets don't meet in one task: they stay where they are, or where there are very many large
+        # buckets, none of which is then a large part of all, are shuffled.
+        small = rows.join(wide, "path", "left_anti").join(sizes.select("path"), "path", "left_semi")
         leaves = small if leaves is None else leaves.union(small)
-        large = written(sized.filter(F.col("size") > BRUTE_FORCE).select("path", "set", "least"), "join-large")
+        large = written(rows.join(wide, "path").select("path", "set", "least"), "join-large")
         if level == LEVELS - 1 or large.isEmpty():
             break
         found = large.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
@@ -317,16 +344,20 @@ def join_similar(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id of all that are linked, directly or by way of others; n_links counts the other sets
     with a Jaccard similarity of at least SIMILARITY, copies of one set counting once; n_copies counts the rows with
     this very set. Texts without words (null, empty, white space) link to nothing and are each alone. Repeated rows are
-    copies of each other. Null ids are carried, and are nobody's class_id unless a class has no other. Other columns
-    are not read, and an empty table gives an empty one.
+    copies of each other. Null ids are carried, and are nobody's class_id unless a class has no other. Very long texts
+    are taken whole. A pair at exactly SIMILARITY is linked. Other columns are not read, whatever their names, and an
+    empty table gives an empty one.
     """
     rows, plain = described(docs)
     linked = link_classes(rows, plain.select("_key", "text"))
     sets = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    named = sets.join(linked, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    named = written(sets.join(linked, "set", "left").withColumn("root", F.coalesce("root", "set")), "join-named")
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = written(named.join(ids, "root").select("set", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies"), "join-classes")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(named, "set", "left")
+    named = hot_join(named, ids, "root", hot=hot_keys(named, "root"))
+    named = written(named.select("set", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies"), "join-classes")
+    copied = named.filter(F.col("n_copies") > HOT).select("set")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set"))
+    out = hot_join(out, named, "set", "left", None if copied.isEmpty() else copied)
     alone = F.col("n") == 0
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
