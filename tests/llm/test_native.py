@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, quality_rules
@@ -36,7 +40,8 @@ def test_edited_texts(spark, odd):
     got = fingerprints.fingerprint(with_extras(odd, "sketch", "next_text", "extra")).collect()
     wanted = [(i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in edits([(r.doc_id, r.text) for r in odd.collect()])]
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == sorted(wanted, key=str)
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next, r.edited_contained))
+    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next, r.edited_contained) if x is not None)
+    assert all(r.near_edited is not None and r.near_next is not None for r in got)
 
 
 def test_likeness_estimates_jaccard(spark):
@@ -56,10 +61,61 @@ def test_equal_texts_have_equal_prints_and_sketches_merge(spark):
     a, b = passage(7, 300), passage(8, 300)
     rows = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"{a} {b}"), (5, None), (6, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.sketches(rows).collect()}
-    assert got[1].sketch == got[3].sketch and got[5].sketch == got[6].sketch == []
+    assert got[1].sketch == got[3].sketch and got[5].sketch == got[6].sketch == [] and got[5].least is None
     both = fingerprints.sketches(rows).filter("doc_id IN (1, 2)").agg(F.flatten(F.collect_list("sketch")).alias("s")).first().s
     assert set(both) <= set(got[4].sketch) and len(set(got[4].sketch) - set(both)) <= 4
-    assert all(h < fingerprints.LIMIT for h in got[4].sketch)
+    assert all(h < fingerprints.limit() for h in got[4].sketch)
+
+
+def test_short_texts_in_a_long_one(spark):
+    """Texts of 1 to 50 words that stand in one of 400: containment 1 wherever there is an estimate, and merging changes
+    nothing of the long one's sketch, whatever the short one's has."""
+    long = passage(11, 400).split()
+    rows = [(0, " ".join(long))] + [(n, " ".join(long[7 * n : 7 * n + n])) for n in range(1, 51)]
+    made = fingerprints.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    whole = made.filter("doc_id = 0").select(F.col("sketch").alias("whole"), F.col("least").alias("whole_least"))
+    pairs = made.filter("doc_id > 0").join(F.broadcast(whole)).select(
+        "doc_id", "sketch", "least", "whole", fingerprints.merged(F.col("sketch"), F.col("whole")).alias("merged"),
+        fingerprints.containment(F.col("sketch"), F.col("whole"), F.col("least")).alias("contained"), fingerprints.likeness(F.col("sketch"), F.col("whole"), F.col("least"), F.col("whole_least")).alias("like"),
+    ).collect()
+    for r in pairs:
+        assert r.least is not None and all(h < fingerprints.limit() for h in r.merged) and 0 <= r.like <= 1
+        if r.doc_id >= 5:
+            assert r.merged == r.whole and r.contained == (1.0 if r.sketch else None)
+    assert sum(r.contained == 1 for r in pairs) > 40
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sketch(text):
+    """Hashes of five words, each seeding the next, that are below a quarter of the range; and the least of all."""
+    chain = lambda parts: functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), parts, 42)
+    w = words(text)
+    hashes = {signed(chain(w[i : i + 5])) for i in range(len(w) - 4)} if len(w) >= 5 else {signed(chain(["few", " ".join(w)]))} if w else set()
+    return sorted(h for h in hashes if h < -(1 << 63) + (1 << 62)), min(hashes, default=None)
+
+
+def plain_print(text):
+    low, least = plain_sketch(text)
+    hex_ = lambda h: f"{h & (1 << 64) - 1:x}"
+    return " ".join(map(hex_, low)) if low or least is None else "~" + hex_(least)
+
+
+def plain_likeness(a, b):
+    (a, x), (b, y) = plain_sketch(a), plain_sketch(b)
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else float(x == y)
+
+
+def test_query_6_by_plain_python(spark, data):
+    docs = sorted((d.doc_id, d.text) for d in spark.read.parquet(f"{data}/documents.parquet").collect())
+    changed = {i: (t or "")[: len(t or "") - len(t or "") // 2] + (docs[(k + 1) % len(docs)][1] or "")[: len(t or "") // 2] for k, (i, t) in enumerate(docs)}
+    got = {r.doc_id: r for r in op6_fingerprints(spark, data).collect()}
+    for k, (i, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_print(text), plain_print(changed[i]))
+        assert got[i].near_edited == pytest.approx(plain_likeness(text, changed[i])) and got[i].near_next == pytest.approx(plain_likeness(text, following))
 
 
 def test_a_row_alone_follows_itself(spark, empty):
@@ -92,34 +148,70 @@ def test_base_rules(spark, odd):
 
 
 def test_odd_documents_are_judged(spark, odd, empty):
-    assert {"extra", "m_0", "length", "_named"} <= set(quality_rules.judge(with_extras(empty, "extra", "m_0", "length", "_named")).columns)
-    got = quality_rules.judge(with_extras(odd, "kept", "extra", "m_0", "length", "_named")).collect()
+    assert {"extra", "m_0", "length", "_own"} <= set(quality_rules.judge(with_extras(empty, "extra", "m_0", "length", "_own")).columns)
+    got = quality_rules.judge(with_extras(odd, "kept", "extra", "m_0", "length", "_own")).collect()
     assert len(got) == odd.count() and all(r.kept is not None and not (r.kept and r.base_failed) for r in got)
     assert all((r.distance2 is None) == r.base_failed for r in got)
     assert quality_rules.judge(empty).collect() == []
 
 
-def mcd(rows):
-    """The same estimate with numpy: concentration steps from medians and absolute deviations."""
-    floor = np.diag(np.array(list(quality_rules.PARTS.values())) ** 2)
-    middle = np.median(rows, axis=0)
-    cov = np.diag((1.4826 * np.median(np.abs(rows - middle), axis=0)) ** 2) + floor
-    far = lambda: np.einsum("ij,jk,ik->i", rows - middle, np.linalg.inv(cov), rows - middle)
-    for _ in range(quality_rules.CONCENTRATIONS):
-        d = far()
-        core = rows[d <= np.sort(d)[int(np.ceil(quality_rules.CORE * len(d))) - 1]]
-        middle, cov = core.mean(axis=0), np.cov(core.T, bias=True) + floor
-    d = far()
-    return d / max(np.sort(d)[int(np.ceil(len(d) / 2)) - 1] / quality_rules.MEDIAN_CHI2, 1)
-
-
-def test_distances_equal_numpy(spark):
-    rows = [(i, passage(400 + i, 30 + i % 50) + " " + "#" * (i % 7 // 6 * 9), "en", "s", 1) for i in range(160)]
-    got = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
-    base_ = quality_rules.base_statistics(spark.createDataFrame(rows, SCHEMA))
-    stats = base_.select("doc_id", *(c.alias(n) for n, c in quality_rules.vector().items())).orderBy("doc_id").toPandas()
-    wanted = mcd(stats[list(quality_rules.PARTS)].to_numpy())
-    assert np.allclose([r.distance2 for r in got], wanted, rtol=1e-6)
+FLOORS = np.diag(np.array(quality_rules.FLOORS) ** 2)
+
+
+def least_determinant(rows):
+    """Mean, covariance and half the logarithm of its determinant, of the best of all subsets of the core's size."""
+    h = int(np.ceil(quality_rules.CORE * len(rows)))
+    some = rows[np.array(list(itertools.combinations(range(len(rows)), h)))]
+    away = some - some.mean(axis=1, keepdims=True)
+    covariances = np.einsum("ski,skj->sij", away, away) / h + FLOORS
+    best = int(np.argmin(np.linalg.slogdet(covariances)[1]))
+    return some[best].mean(axis=0), covariances[best], np.linalg.slogdet(covariances[best])[1] / 2
+
+
+def vectors(seed, n, far):
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(0, 0.05, (n, 5)) @ rng.normal(0, 1, (5, 5)) + rng.normal(0, 1, 5)
+    rows[:far] += rng.normal(0, 3, (far, 5))
+    return rows
+
+
+def test_estimates_have_the_least_determinant_of_all_subsets(spark):
+    """In most groups; where no start leads there, one that is hardly larger."""
+    groups = {f"g{k}": vectors(k, 9 + k % 4, k % 3) for k in range(12)}
+    rows = [(g, *map(float, r)) for g, of in groups.items() for r in of]
+    bare = spark.createDataFrame(rows, "_group string, " + ", ".join(f"{n} double" for n in quality_rules.NAMES))
+    for few in (True, False):
+        got = {r["_group"]: r for r in quality_rules.estimate(bare, few).collect()}
+        assert set(got) == set(groups)
+        best = {g: least_determinant(of) for g, of in groups.items()}
+        assert all(got[g].n == len(of) and -1e-6 < got[g].logdet - best[g][2] < 0.05 for g, of in groups.items())
+        same = [g for g in groups if got[g].logdet - best[g][2] < 1e-6]
+        assert len(same) >= 10
+        for g in same:
+            middle, covariance, _ = best[g]
+            assert np.allclose([got[g][f"m_{i}"] for i in range(5)], middle)
+            assert np.allclose([got[g][f"v_{i}_{j}"] for i, j in quality_rules.PAIRS], [covariance[i, j] for i, j in quality_rules.PAIRS])
+
+
+def test_distances_are_from_estimates_drawn_to_wider_ones(spark):
+    """Two sources of one language and one of another, against exhaustive estimates of sources, languages and all."""
+    rows = [(i, passage(400 + i, 30 + i % 50) + " " + "#" * (i % 5 // 4 * 9), "en" if i < 12 else "de", "s" if i < 6 else "t", 1) for i in range(18)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = quality_rules.judge(frame).orderBy("doc_id").collect()
+    stats = quality_rules.base_statistics(frame).select("doc_id", *(c.alias(n) for n, c in quality_rules.vector().items())).orderBy("doc_id").toPandas()[quality_rules.NAMES].to_numpy()
+
+    def level(of):
+        middle, covariance, _ = least_determinant(of)
+        d = np.einsum("ij,jk,ik->i", of - middle, np.linalg.inv(covariance), of - middle)
+        return middle, covariance * max(np.sort(d)[int(np.ceil(len(d) / 2)) - 1] / quality_rules.MEDIAN_CHI2, 1), len(of) / (len(of) + quality_rules.SHRINK_ROWS)
+
+    for own, wider in ((slice(0, 6), slice(0, 12)), (slice(6, 12), slice(0, 12)), (slice(12, 18), slice(12, 18))):
+        (m, c, w), (m1, c1, w1), (m2, c2, _) = level(stats[own]), level(stats[wider]), level(stats)
+        middle, covariance = w * m + (1 - w) * (w1 * m1 + (1 - w1) * m2), w * c + (1 - w) * (w1 * c1 + (1 - w1) * c2)
+        away = stats[own] - middle
+        wanted = np.einsum("ij,jk,ik->i", away, np.linalg.inv(covariance), away)
+        assert np.allclose([r.distance2 for r in got[own]], wanted, rtol=1e-6)
+        assert [r.kept for r in got[own]] == [bool(d <= quality_rules.CUT and not r.base_failed) for d, r in zip(wanted, got[own], strict=True)]
 
 
 def test_outliers_go_and_clean_documents_stay(spark):
