@@ -2,27 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places that the product of administrators and knowledge bases is dealt out to.
+PLACES = 64
+
 
 def accessible(users: DataFrame, knowledge_bases: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, knowledge_base_id) that each enabled user may see: all for administrators, else what is granted."""
+    """(user_id, knowledge_base_id) that each enabled user may see: all for administrators, else what is granted.
+
+    What administrators see is a product of two tables, dealt out evenly: each knowledge base has one of PLACES, and each
+    administrator goes to all of them, so that no task has more than its part of the result.
+    """
     on = users.filter("is_enabled")
     granted = grants.select("user_id", "knowledge_base_id").distinct()
     plain = granted.join(on.filter("NOT is_administrator").select("user_id"), "user_id", "left_semi").join(knowledge_bases.select("knowledge_base_id"), "knowledge_base_id", "left_semi")
-    admins = on.filter("is_administrator").select("user_id", F.lit(1).alias("_all"))
-    every = knowledge_bases.select("knowledge_base_id", F.lit(1).alias("_all"))
-    return plain.select("user_id", "knowledge_base_id").unionByName(admins.join(every, "_all").select("user_id", "knowledge_base_id"))
-
-
-def visible(rows: DataFrame, grants: DataFrame) -> DataFrame:
-    """rows (owner_id, knowledge_base_id) whose owner is still granted their knowledge base."""
-    return rows.join(grants, (rows.owner_id == grants.user_id) & (rows.knowledge_base_id == grants.knowledge_base_id), "left_semi")
-
-
-def revoked(rows: DataFrame, grants: DataFrame) -> DataFrame:
-    return rows.join(grants, (rows.owner_id == grants.user_id) & (rows.knowledge_base_id == grants.knowledge_base_id), "left_anti")
+    place = F.pmod(F.xxhash64("knowledge_base_id"), F.lit(PLACES)).cast("int")
+    every = knowledge_bases.select("knowledge_base_id", place.alias("_place"))
+    admins = on.filter("is_administrator").select("user_id", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))).alias("_place"))
+    return plain.select("user_id", "knowledge_base_id").unionByName(admins.join(every, "_place").select("user_id", "knowledge_base_id"))
+
+
+def visible(rows: DataFrame, grants: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """rows (owner_id, knowledge_base_id) whose owner is still granted their knowledge base; with users, also those of
+    enabled administrators, who need no grant."""
+    granted = rows.join(grants, (rows.owner_id == grants.user_id) & (rows.knowledge_base_id == grants.knowledge_base_id), "left_semi")
+    if users is None:
+        return granted
+    admins = _administrators(users)
+    return rows.join(admins, "owner_id", "left_semi").unionByName(granted.join(admins, "owner_id", "left_anti")).select(*rows.columns)
+
+
+def revoked(rows: DataFrame, grants: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The rows that visible() leaves out."""
+    lost = rows.join(grants, (rows.owner_id == grants.user_id) & (rows.knowledge_base_id == grants.knowledge_base_id), "left_anti")
+    return lost if users is None else lost.join(_administrators(users), "owner_id", "left_anti").select(*rows.columns)
+
+
+def _administrators(users: DataFrame) -> DataFrame:
+    return users.filter("is_administrator AND is_enabled").select(F.col("user_id").alias("owner_id"))
+
+
+def bootstrap(users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of wanted (user_id, username) that become the first administrator: one, and none where there is one already
+    or its name is taken."""
+    there = users.filter("is_administrator").limit(1).select(F.lit(True).alias("_there"))
+    first = wanted.orderBy("user_id").limit(1).join(F.broadcast(there), how="left").filter("_there IS NULL").drop("_there")  # a row at most
+    names = users.select(F.lower("username").alias("_name"))
+    return first.join(names, F.lower(first.username) == names["_name"], "left_anti")
+
+
+def update_knowledge_bases(knowledge_bases: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
+    """knowledge_bases (knowledge_base_id, name, description, updated_at) after changes (knowledge_base_id, name,
+    description; null: as it is), with outcome: changed, same, or name taken, in which case nothing changes. Of several
+    that want one name, the least id gets it, and only if nobody has it now."""
+    new = changes.select("knowledge_base_id", F.trim("name").alias("_name"), F.col("description").alias("_description"))
+    held = knowledge_bases.select(F.col("name").alias("_name"), F.col("knowledge_base_id").alias("_holder"))
+    rows = knowledge_bases.join(new, "knowledge_base_id", "left").join(held, "_name", "left")
+    renamed = F.col("_name").isNotNull() & (F.col("_name") != F.col("name"))
+    turn = F.row_number().over(Window.partitionBy("_name").orderBy(F.when(renamed, 0).otherwise(1), "knowledge_base_id"))
+    taken = renamed & (F.col("_holder").isNotNull() | (F.when(F.col("_name").isNotNull(), turn) > 1))
+    differs = renamed | (F.col("_description").isNotNull() & ~F.col("_description").eqNullSafe(F.col("description")))
+    outcome = F.when(taken, "name taken").when(differs, "changed").otherwise("same")
+    pick = lambda new, old: F.when(F.col("outcome") == "changed", F.coalesce(new, old)).otherwise(F.col(old)).alias(old)
+    now = F.when(F.col("outcome") == "changed", F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at")).alias("updated_at")
+    return rows.withColumn("outcome", outcome).select("knowledge_base_id", pick("_name", "name"), pick("_description", "description"), now, "outcome")
+
+
+def without_grants(grants: DataFrame, removed: DataFrame) -> DataFrame:
+    """grants without those of removed (user_id, knowledge_base_id); removing what isn't there changes nothing."""
+    return grants.join(removed, ["user_id", "knowledge_base_id"], "left_anti")
 
 
 def deletable(knowledge_bases: DataFrame, documents: DataFrame, uploads: DataFrame) -> DataFrame:

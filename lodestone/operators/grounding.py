@@ -93,7 +93,21 @@ def merge_usage(a: Column, b: Column) -> Column:
     return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 
 
-def prompt(question: Column, history: Column, evidence: Column) -> Column:
+ANSWER_TASK = "Answer from the evidence alone. Give a JSON object with status (answer, insufficient or conflicting) and claims, each with text and evidence_ids. Write no citation markers."
+REWRITE_TASK = "Put the last question into words that can be searched for without the turns before it. Give a JSON object with query."
+REPAIR_TASK = "The answer before was rejected. Give a JSON object of the same shape that the evidence supports."
+
+
+def answer_prompt(question: Column, history: Column, evidence: Column) -> Column:
     """The request to a model as JSON: what it is to do, the turns before, and the evidence by id."""
-    task = "Answer from the evidence alone. Give a JSON object with status (answer, insufficient or conflicting) and claims, each with text and evidence_ids. Write no citation markers."
-    return F.to_json(F.struct(F.lit(task).alias("instruction"), question.alias("question"), history.alias("history"), evidence.alias("evidence")))
+    return F.to_json(F.struct(F.lit(ANSWER_TASK).alias("instruction"), question.alias("question"), history.alias("history"), evidence.alias("evidence")))
+
+
+def rewrite_prompt(question: Column, history: Column) -> Column:
+    """The request to put a follow-up into words of its own."""
+    return F.to_json(F.struct(F.lit(REWRITE_TASK).alias("instruction"), question.alias("question"), history.alias("history")))
+
+
+def repair_prompt(question: Column, evidence: Column, rejected: Column) -> Column:
+    """The request for another answer, with why the first was rejected."""
+    return F.to_json(F.struct(F.lit(REPAIR_TASK).alias("instruction"), question.alias("question"), evidence.alias("evidence"), rejected.alias("rejected")))

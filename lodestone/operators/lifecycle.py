@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import new_path
+
 STATES = ("pending", "processing", "ready", "failed", "deleting")
 
 
@@ -33,17 +36,56 @@ def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 
 def publish_chunks(chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 256) -> DataFrame:
-    """Writes the chunks of ready documents in place of those that stand there, and returns them.
-
-    Chunks lie in partitions by a hash of their document, and the partitions of all documents given are replaced as a
-    whole, so documents of one hash must be published together. Failed documents have no chunks.
+    """Writes the chunks (document_id, ordinal, ...) of documents (document_id, status) in place of what these documents
+    have at `path`, and returns all that is then there. Other documents keep theirs. A document that isn't ready, or has
+    no chunks, has none afterwards.
+
+    Chunks lie in folders by a hash of their document. The folders that the documents given fall in are read, put
+    together anew without those documents, stored aside, and then replaced, so that nothing is read and overwritten at
+    once. A row without a document stands in each of them, so that one that loses all its chunks is replaced too. One
+    writer at a time.
     """
-    ready = documents.filter("status = 'ready'").select("document_id")
+    spark = chunks.sparkSession
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    given = documents.select("document_id", "status").withColumn("bucket", bucket)
+    touched = given.select("bucket").distinct()  # at most `buckets` rows
+    ready = given.filter("status = 'ready'").select("document_id")
     rows = chunks.join(ready, "document_id", "left_semi").withColumn("bucket", bucket)
-    writer = rows.repartition("bucket").sortWithinPartitions("document_id", "ordinal").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    marks = touched.select("bucket")
+    whole = rows.unionByName(marks, allowMissingColumns=True)
+    there = _stored(spark, path)
+    if there is not None:
+        others = there.filter("document_id IS NOT NULL").join(F.broadcast(touched), "bucket", "left_semi")
+        whole = whole.unionByName(others.join(given.select("document_id"), "document_id", "left_anti").select(*whole.columns))
+    aside = new_path(spark, "chunks-aside")
+    whole.write.parquet(aside)
+    staged = spark.read.schema(whole.schema).parquet(aside)
+    dealt = staged.repartition("bucket", F.pmod(F.xxhash64("document_id", "ordinal"), F.lit(4))).sortWithinPartitions("document_id", "ordinal")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return published_chunks(spark, path)
+
+
+def published_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks that publish_chunks() has put at a path."""
+    return spark.read.parquet(path).filter("document_id IS NOT NULL").drop("bucket")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks (document_id, ordinal, ...) of the documents whose chunks have one vector each (document_id, ordinal,
+    embedding), with embedding; and (document_id, error) of the others, where one lacks or there is one too many."""
+    both = chunks.select("document_id", "ordinal", F.lit(True).alias("_chunk")).join(vectors.select("document_id", "ordinal", F.lit(True).alias("_vector")), ["document_id", "ordinal"], "full_outer")
+    odd = both.groupBy("document_id").agg(F.count_if(F.col("_chunk").isNull() | F.col("_vector").isNull()).alias("_odd"), F.count("*").alias("_n"), F.countDistinct("ordinal").alias("_places"))
+    errors = odd.filter((F.col("_odd") > 0) | (F.col("_n") > F.col("_places"))).select("document_id", F.lit("The number of vectors is not that of the chunks").alias("error"))
+    return chunks.join(vectors, ["document_id", "ordinal"]).join(errors, "document_id", "left_anti"), errors
 
 
 def locator_text(locator: Column) -> Column:

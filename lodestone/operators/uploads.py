@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
+from lodestone.functions.checks import is_sha256
 from lodestone.functions.text import suffix
 from lodestone.sources.formats import MEDIA_TYPES
 
@@ -78,6 +79,72 @@ def complete_sessions(sessions: DataFrame, files: DataFrame, documents: DataFram
     return rows.select("upload_id", "knowledge_base_id", outcome.alias("outcome"))
 
 
+def put_parts(sessions: DataFrame, receipts: DataFrame, parts: DataFrame, as_of: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """What each part comes to, as upload_id, sent, outcome, next_offset and expires_at.
+
+    sessions: upload_id, total_bytes, part_bytes, received_bytes, status, expires_at; receipts: upload_id, offset_bytes,
+    length_bytes, sha256 of the parts confirmed before; parts: upload_id, sent (their order), offset_bytes, length_bytes,
+    sha256 as the sender states them, content_bytes and content_sha256 of what came. Outcomes in order of precedence:
+    invalid checksum, unknown upload, expired, not open, confirmed again (the very part was there), other bytes, wrong
+    offset, wrong length, checksum mismatch, stored. A part that is stored or confirmed again renews the session.
+
+    An upload's parts are folded in their order; there are at most as many as its bytes and its sender's retries make.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    renewed = now + F.make_dt_interval(secs=F.lit(settings.upload_session_ttl_seconds))
+    known = F.struct(F.col("length_bytes").cast("long").alias("length"), F.lower("sha256").alias("sha256"))
+    before = receipts.groupBy("upload_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset_bytes").cast("long"), known))).alias("_seen"))
+    part = F.struct("sent", F.col("offset_bytes").cast("long").alias("offset"), F.col("length_bytes").cast("long").alias("length"), F.lower("sha256").alias("sha256"), F.col("content_bytes").cast("long").alias("bytes"), "content_sha256")
+    rows = parts.groupBy("upload_id").agg(F.sort_array(F.collect_list(part)).alias("_parts")).join(sessions, "upload_id", "left").join(before, "upload_id", "left")
+    none = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<struct<length: bigint, sha256: string>>"))
+    result = "array<struct<sent: bigint, outcome: string, next_offset: bigint, expires_at: timestamp>>"
+    start = F.struct(F.coalesce("received_bytes", F.lit(0)).cast("long").alias("at"), F.coalesce("_seen", none).alias("seen"), F.col("expires_at").alias("until"), F.array().cast(result).alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        there = F.try_element_at(state["seen"], p["offset"])
+        expected = F.least(F.col("part_bytes").cast("long"), F.col("total_bytes") - p["offset"])
+        outcome = (
+            F.when(~is_sha256(p["sha256"]), "invalid checksum")
+            .when(F.col("status").isNull(), "unknown upload")
+            .when(state["until"] <= now, "expired")
+            .when(F.col("status") != "open", "not open")
+            .when((there["length"] == p["length"]) & (there["sha256"] == p["sha256"]), "confirmed again")
+            .when(there.isNotNull(), "other bytes")
+            .when(p["offset"] != state["at"], "wrong offset")
+            .when((p["length"] != expected) | (p["bytes"] != expected), "wrong length")
+            .when(p["content_sha256"] != p["sha256"], "checksum mismatch")
+            .otherwise("stored")
+        )
+        stored, good = outcome == "stored", outcome.isin("stored", "confirmed again")
+        at = state["at"] + F.when(stored, p["length"]).otherwise(0)
+        seen = F.when(stored, F.map_concat(state["seen"], F.create_map(p["offset"], F.struct(p["length"].alias("length"), p["sha256"].alias("sha256"))))).otherwise(state["seen"])
+        until = F.when(good, renewed).otherwise(state["until"])
+        said = F.struct(p["sent"].cast("long").alias("sent"), outcome.alias("outcome"), at.alias("next_offset"), until.alias("expires_at"))
+        return F.struct(at.alias("at"), seen.alias("seen"), until.alias("until"), F.array_append(state["out"], said).alias("out"))
+
+    folded = rows.select("upload_id", F.explode(F.aggregate("_parts", start, step, lambda s: s["out"])).alias("_o"))
+    return folded.select("upload_id", "_o.*")
+
+
+def end_sessions(sessions: DataFrame, cancelled: DataFrame, as_of: str) -> DataFrame:
+    """sessions (upload_id, status, expires_at) with what becomes of them when cancelled (upload_id) asks and time passes:
+    cancelled, refused (a completed one can't be cancelled), expired, or kept."""
+    asked = cancelled.select("upload_id", F.lit(True).alias("_asked")).distinct()
+    over = F.col("expires_at") <= F.lit(as_of).cast("timestamp")
+    rows = sessions.join(asked, "upload_id", "left")
+    fate = F.when(F.col("_asked") & (F.col("status") != "completed"), "cancelled").when(F.col("_asked") & ~over, "refused").when(over, "expired").otherwise("kept")
+    return rows.withColumn("fate", fate).drop("_asked")
+
+
+def clean_up(sessions: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """One hourly run: the sessions (with temporary_storage_key and final_storage_key) that stay, and the keys of files to
+    remove, as upload_id, storage_key. The final file of a completed upload belongs to its document and stays."""
+    ended = sessions.withColumn("_over", F.col("expires_at") <= F.lit(as_of).cast("timestamp"))
+    gone = ended.filter("_over")
+    keys = F.array(F.col("temporary_storage_key"), F.when(F.col("status") != "completed", F.col("final_storage_key")))
+    return ended.filter("NOT _over").drop("_over"), gone.select("upload_id", F.explode(F.array_compact(keys)).alias("storage_key"))
+
+
 def orphans(files: DataFrame, sessions: DataFrame, as_of: str, grace_seconds: int = 300) -> DataFrame:
     """Files (storage_key, modified_at) that no session has, older than the grace period."""
     old = F.col("modified_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(grace_seconds))

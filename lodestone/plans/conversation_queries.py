@@ -147,15 +147,43 @@ def citation_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("citation_id", F.when(F.col("_known").isNull(), 404).when(F.col("source_available"), 200).otherwise(410).alias("status"))
 
 
+def all_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same citations of documents from the whole table, and of some that never were in it."""
+    n = table(spark, sf_dir, "documents").agg(F.floor(F.count("*") * 5 / 4).alias("_n"))
+    rows = citations(spark, sf_dir).join(F.broadcast(n))  # one row
+    document = F.pmod(F.col("message_id") * 7 + F.col("citation_number") * 13, F.col("_n"))
+    return rows.withColumn("document_id", document).withColumn("knowledge_base_id", F.concat(F.lit("src"), F.pmod("document_id", F.lit(20)).cast("string"))).drop("_n")
+
+
+ALL_CITATIONS = CITATIONS.replace("% 1000", "% (SELECT count(*) * 5 // 4 FROM documents)")
+
+
+@query(f"WITH {ALL_CITATIONS} SELECT citation_id, document_id, source_available, CASE WHEN source_available THEN '/citations/' || citation_id || '/source' END AS source_url FROM citations")
+def citation_availability_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability of citations from the whole table of documents."""
+    rows = conversations.available_citations(all_citations(spark, sf_dir), ready(spark, sf_dir))
+    return rows.select("citation_id", "document_id", "source_available", "source_url")
+
+
+@query(f"""WITH {ALL_CITATIONS} SELECT citation_id, CASE WHEN c.document_id >= (SELECT count(*) FROM documents) THEN 404 WHEN source_available THEN 200 ELSE 410 END::INTEGER AS status FROM citations c""")
+def citation_download_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to requests for all of these, with each of the three occurring."""
+    rows = conversations.available_citations(all_citations(spark, sf_dir), ready(spark, sf_dir))
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(True).alias("_known"))
+    joined = rows.join(known, "document_id", "left")
+    return joined.select("citation_id", F.when(F.col("_known").isNull(), 404).when(F.col("source_available"), 200).otherwise(410).alias("status"))
+
+
 @query("""WITH a AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations WHERE role = 'assistant'),
 d AS (SELECT turn_id, text, unnest(generate_series(0, (length(text) - 1) // 120)) AS i FROM a WHERE text <> '')
 SELECT turn_id, (i + 2)::INTEGER AS n, substr(text, i * 120 + 1, 120) AS delta FROM d""")
 def sse_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as events; here the slices of their texts."""
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    answers = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("text").alias("content"), F.lit("grounded_answer").alias("outcome"))
+    turn = (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id")
+    answers = rows.select(turn, turn.alias("message_id"), F.col("text").alias("content"), F.lit("grounded_answer").alias("outcome"), F.lit(True).alias("generated"), F.array().cast("array<struct<n: int>>").alias("citations"))
     events = delivery.turn_events(answers).filter("event = 'delta'")
-    return events.select("turn_id", "n", F.get_json_object("data", "$.text").alias("delta"))
+    return events.select("turn_id", (F.col("n") - 2).alias("n"), F.get_json_object("data", "$.content").alias("delta"))  # behind three stages and the start
 
 
 @query("""WITH b AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, role, text FROM conversations)

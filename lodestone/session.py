@@ -18,10 +18,13 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where all run on this machine (as in tests),
+    one of our own."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -5,15 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodestone.config import DEFAULTS
-from lodestone.functions.text import strip
 
 # The media type of each suffix that may be uploaded.
 MEDIA_TYPES = {
@@ -24,6 +24,7 @@ MEDIA_TYPES = {
     ".markdown": "text/markdown",
 }
 MAX_DOCX_BYTES = 200 * 1024 * 1024
+HEADING = re.compile(r"^#{1,6}[ \t\n\x0b\f\r]+(.+?)[ \t\n\x0b\f\r]*$")
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SECTIONS = "array<struct<section_no: int, text: string, page: int, section: string, line_start: int, line_end: int>>"
 
@@ -72,39 +73,59 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content.cast("string"), "^﻿", ""), "\r\n?", "\n")
 
 
+SECTION = "array<struct<text: string, section: string, line_start: int, line_end: int>>"
+
+
+def _in_sections(docs: DataFrame, cut: Callable[[str], list[tuple[str, str, int, int]]]) -> DataFrame:
+    """Sections of each text by itself, without a shuffle: document_id, section_no and what `cut` gives."""
+
+    @F.pandas_udf(SECTION)
+    def sections(texts: pd.Series) -> pd.Series:
+        names = ("text", "section", "line_start", "line_end")
+        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in cut(t)] if t is not None else [])
+
+    found = docs.select("document_id", F.posexplode(sections("text")).alias("_n", "_s"))
+    return found.select("document_id", (F.col("_n") + 1).alias("section_no"), "_s.text", "_s.section", "_s.line_start", "_s.line_end")
+
+
+def text_blocks(text: str) -> list[tuple[str, str, int, int]]:
+    """The blocks between blank lines, named by their numbers, with their first and last line."""
+    found: list[tuple[str, str, int, int]] = []
+    held: list[str] = []
+    for number, line in enumerate([*text.split("\n"), ""], 1):
+        if line.strip():
+            held.append(line)
+        elif held:
+            found.append(("\n".join(held).strip(), str(len(found) + 1), number - len(held), number - 1))
+            held = []
+    return found
+
+
+def markdown_blocks(text: str) -> list[tuple[str, str, int, int]]:
+    """The parts from heading to heading, named by their headings; what is before the first is in `Document`."""
+    found: list[tuple[str, str, int, int]] = []
+    held, name, begin = [], "Document", 1
+    lines = text.split("\n")
+    for number, line in enumerate([*lines, None], 1):
+        heading = HEADING.match(line) if line is not None else None
+        if line is None or heading:
+            if part := "\n".join(held).strip():
+                found.append((part, name, begin, number - 1))
+            held, begin = [], number
+            name = heading[1] if heading else name
+        held.append(line or "")
+    return found
+
+
 def text_sections(docs: DataFrame) -> DataFrame:
     """(document_id, section_no, text, section, line_start, line_end) of plain texts (document_id, text): the blocks
     between blank lines, counted from 1."""
-    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    blank = strip(F.col("content")) == ""
-    order = Window.partitionBy("document_id").orderBy("line")
-    begins = ~blank & F.coalesce(F.lag(blank).over(order), F.lit(True))
-    numbered = lines.withColumn("section_no", F.sum(begins.cast("int")).over(order)).filter(~blank)
-    return _sections(numbered, F.col("section_no").cast("string"))
+    return _in_sections(docs, text_blocks)
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """The same of Markdown: each heading begins a section that bears its name; text before the first is in `Document`."""
-    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    heading = F.nullif(F.regexp_extract("content", r"^#{1,6}\s+(.+?)\s*$", 1), F.lit(""))
-    order = Window.partitionBy("document_id").orderBy("line")
-    numbered = lines.withColumn("_heading", heading).withColumn("_of", F.sum(F.col("_heading").isNotNull().cast("int")).over(order))
-    named = numbered.withColumn("_name", F.coalesce(F.last("_heading", ignorenulls=True).over(order), F.lit("Document")))
-    rows = _sections(named.withColumn("section_no", F.col("_of")), F.first("_name")).filter("text <> ''")
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("section_no"))
-    return rows.withColumn("section_no", place)
-
-
-def _sections(lines: DataFrame, name: Column) -> DataFrame:
-    """Lines (document_id, section_no, line, content) gathered to sections."""
-    ordered = F.sort_array(F.collect_list(F.struct("line", "content")))
-    keys = ["document_id", "section_no"]
-    if "_name" not in lines.columns:
-        lines = lines.withColumn("_name", name)
-    found = lines.groupBy(*keys).agg(ordered.alias("_lines"), F.first("_name").alias("section"))
-    text = strip(F.array_join(F.transform("_lines", lambda x: x["content"]), "\n"))
-    edge = lambda i: (F.element_at("_lines", i)["line"] + 1).cast("int")
-    return found.select(*keys, text.alias("text"), "section", edge(1).alias("line_start"), edge(-1).alias("line_end"))
+    return _in_sections(docs, markdown_blocks)
 
 
 def docx_blocks(content: bytes) -> list[str]:
@@ -158,27 +179,24 @@ def docx_sections(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages
     return files.select("document_id", extract("content").alias("_x")).select("document_id", "_x.*")
 
 
-def pdf_sections(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages) -> DataFrame:
-    """The same of PDF files, a section for each page. Needs the library pypdf on the executors."""
-
-    @F.pandas_udf(f"struct<page_count: int, error: string, sections: {SECTIONS}>")
-    def extract(contents: pd.Series) -> pd.DataFrame:
-        import pypdf
-
-        rows = []
-        for content in contents:
-            try:
-                reader = pypdf.PdfReader(io.BytesIO(content))
-                if reader.is_encrypted:
-                    rows.append((None, "encrypted", []))
-                    continue
-                pages = len(reader.pages)
-                texts = [] if pages > max_pages else [(p.extract_text() or "").strip() for p in reader.pages]
-            except (pypdf.errors.PyPdfError, ValueError):
-                rows.append((None, "unreadable", []))
-                continue
-            error = "too many pages" if pages > max_pages else None if any(texts) else "no text"
-            rows.append((pages, error, [] if error else _listed(texts, "page")))
-        return pd.DataFrame(rows, columns=["page_count", "error", "sections"]).astype({"page_count": "Int32"})
-
-    return files.select("document_id", extract("content").alias("_x")).select("document_id", "_x.*")
+def extract_documents(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages) -> tuple[DataFrame, DataFrame]:
+    """What files (document_id, suffix, content) hold: (document_id, media_type, page_count, error) of each, and the
+    sections (document_id, section_no, text, section, line_start, line_end) of those that can be read.
+
+    Each goes by its media type: plain text, Markdown or DOCX. PDF needs a library that isn't part of this engine, so
+    those are reported as not supported. A text without anything to read is an error, as is a format that isn't what
+    its name says.
+    """
+    kinds = sniff(files)
+    of = lambda suffix: kinds.filter(F.col("media_type") == MEDIA_TYPES[suffix])
+    columns = ["document_id", "section_no", "text", "section", "line_start", "line_end"]
+    plain = text_sections(of(".txt").select("document_id", decoded(F.col("content")).alias("text"))).select(columns)
+    marked = markdown_sections(of(".md").select("document_id", decoded(F.col("content")).alias("text"))).select(columns)
+    packed = docx_sections(of(".docx").select("document_id", "content"), max_pages)
+    blocks = packed.select("document_id", F.explode("sections").alias("s")).select("document_id", "s.section_no", "s.text", "s.section", "s.line_start", "s.line_end")
+    sections = plain.unionByName(marked).unionByName(blocks)
+    found = sections.groupBy("document_id").agg(F.count("*").alias("_n"))
+    rows = kinds.select("document_id", "media_type", "format_error").join(packed.select("document_id", "page_count", F.col("error").alias("_packed")), "document_id", "left").join(found, "document_id", "left")
+    pdf = F.when(F.col("media_type") == MEDIA_TYPES[".pdf"], "not supported")
+    error = F.coalesce("format_error", pdf, "_packed", F.when(F.coalesce("_n", F.lit(0)) == 0, "no text"))
+    return rows.select("document_id", "media_type", "page_count", error.alias("error")), sections

@@ -48,10 +48,14 @@ def test_repairs(spark):
 
 
 def test_events_round_trip(spark):
-    rows = spark.createDataFrame([(1, "é" * 250, "grounded_answer"), (2, None, None), (3, "", "x")], "turn_id int, content string, outcome string")
+    data = [(1, 7, "grounded_answer", True, "é" * 250, [(1, "a")]), (2, 8, "generation_failed", True, delivery.FAILED, []), (3, 9, "insufficient_evidence", False, "n" * 200, []), (4, 9, "insufficient_evidence", True, "", [])]
+    rows = spark.createDataFrame(data, "turn_id int, message_id int, outcome string, generated boolean, content string, citations array<struct<n: int, document: string>>")
     events = delivery.turn_events(rows)
-    by = {t: [r.event for r in events.filter(F.col("turn_id") == t).orderBy("n").collect()] for t in (1, 2, 3)}
-    assert by == {1: ["status", "start", "delta", "delta", "delta", "citations", "done"], 2: ["status", "error"], 3: ["status", "start", "citations", "done"]}
+    by = {t: [r.event for r in events.filter(F.col("turn_id") == t).orderBy("n").collect()] for t in (1, 2, 3, 4)}
+    stages = ["status"] * 3
+    assert by == {1: [*stages, "start", "delta", "delta", "delta", "citations", "done"], 2: ["status", "status", "error"], 3: ["status", "start", "delta", "citations", "done"], 4: [*stages, "start", "citations", "done"]}
+    first = {r.event: json.loads(r.data) for r in events.filter("turn_id = 1").orderBy("n").collect()}
+    assert first["start"] == {"message_id": "7", "status": "complete"} and first["citations"] == {"items": [{"n": 1, "document": "a"}]} and first["done"] == {"outcome": "grounded_answer"}
     framed = events.orderBy("turn_id", "n").select(delivery.frame(F.col("event"), F.col("data")).alias("f")).collect()
     stream = spark.createDataFrame([(1, "".join(r.f for r in framed) + "event: cut\ndata: {}")], "stream_id int, text string")
     assert delivery.parse_events(stream).count() == events.count()
@@ -62,3 +66,11 @@ def test_provider_stream(spark):
     rows = [(1, 0, part("a")), (1, 1, json.dumps({"choices": [{"delta": {"reasoning": "x"}}]})), (1, 2, part("b")), (1, 3, "[DONE]"), (1, 4, part("c")), (2, 0, part("d"))]
     got = delivery.completion_text(spark.createDataFrame(rows, "stream_id int, n int, data string")).collect()
     assert {r.stream_id: r.text for r in got} == {1: "ab", 2: "d"}
+
+
+def test_a_completion_that_is_too_long_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "MAX_COMPLETION", 3)
+    part = lambda c: json.dumps({"choices": [{"delta": {"content": c}}], "usage": {"prompt_tokens": len(c)}})
+    rows = [(1, 0, part("ab")), (1, 1, part("c")), (2, 0, part("abcd"))]
+    got = {r.stream_id: (r.text, r.usage) for r in delivery.completion_text(spark.createDataFrame(rows, "stream_id int, n int, data string")).collect()}
+    assert got == {1: ("abc", {"prompt_tokens": 1}), 2: (None, {"prompt_tokens": 4})}
