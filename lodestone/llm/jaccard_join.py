@@ -71,8 +71,9 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     values, owner = words.runs(SHINGLE)[chosen], of[chosen]
     if short.any():
         rows = np.flatnonzero(short)
-        few = [mixed(np.bitwise_xor.reduce(mixed(words.hashes[a:b] + U(7) * np.arange(1, b - a + 1, dtype=U))) + U(b - a)) for a, b in zip(words.starts[rows], words.starts[rows + 1], strict=True)]
-        values, owner = np.concatenate([values, np.array(few, U)]), np.concatenate([owner, rows])
+        few = [np.bitwise_xor.reduce(mixed(words.hashes[a:b] + U(7) * np.arange(1, b - a + 1, dtype=U))) for a, b in zip(words.starts[rows], words.starts[rows + 1], strict=True)]
+        few = mixed(np.array(few, U) + counts[rows].astype(U))
+        values, owner = np.concatenate([values, few]), np.concatenate([owner, rows])
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
