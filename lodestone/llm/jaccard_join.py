@@ -111,29 +111,29 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(columns, names=["doc_id", "_key", "set", "n", "sketch"]).to_batches()
 
 
-def chosen(paths: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chosen(paths: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The children of each path by the sampled tokens of its sketch: row numbers, and new paths."""
     there = sketch != EMPTY
     tokens = mixed(sketch.astype(U) + (np.arange(BINS, dtype=U) << U(32)) + U(1))
     children = mixed(tokens ^ paths.view(U)[:, None])
-    limit = np.minimum(2.0**64 / (SIMILARITY * np.maximum(there.sum(1), 1)), 2.0**64 - 4096).astype(U)
+    limit = np.minimum(2.0**64 / (similarity * np.maximum(there.sum(1), 1)), 2.0**64 - 4096).astype(U)
     rows, at = np.nonzero(there & (children < limit[:, None]))
     return rows, children[rows, at].view(np.int64)
 
 
-def first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_paths(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     runs = mixed(np.arange(1, RUNS + 1, dtype=U)).view(np.int64)
     for batch in batches:
         sketch, sets = unpacked(batch["sketch"]), batch["set"].to_numpy()
         for run in runs:
-            rows, paths = chosen(np.full(len(sets), run), sketch)
+            rows, paths = chosen(np.full(len(sets), run), sketch, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sets[rows])], names=["path", "set"])
 
 
-def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def next_paths(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = batch["set"].to_numpy()
-        rows, paths = chosen(batch["path"].to_numpy(), unpacked(batch["sketch"]))
+        rows, paths = chosen(batch["path"].to_numpy(), unpacked(batch["sketch"]), similarity)
         yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sets[rows])], names=["path", "set"])
 
 
@@ -179,26 +179,26 @@ def spanning(links: np.ndarray) -> np.ndarray:
         label = least
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sketches may be of sets as similar as asked."""
     either = ((a != EMPTY) | (b != EMPTY)).sum(-1)
     same = ((a == b) & (a != EMPTY)).sum(-1)
-    leave = LEAVE * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(either, 1))
-    return same >= (SIMILARITY - leave) * either
+    leave = LEAVE * np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1))
+    return same >= (similarity - leave) * either
 
 
-def candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidate_edges(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Edges that span what may be similar in each bucket."""
     for table in groups(batches, ["path"]):
         cuts = bounds(table, ["path"])
         sets, sketch = table["set"].to_numpy(), unpacked(table["sketch"])
         sizes = np.diff(cuts)
         two = cuts[:-1][sizes == 2]
-        two = two[alike(sketch[two], sketch[two + 1])]
+        two = two[alike(sketch[two], sketch[two + 1], similarity)]
         a, b = [sets[two]], [sets[two + 1]]
         for first, size in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             part = sketch[first : first + size]
-            label = spanning(alike(part[:, None, :], part[None, :, :]))
+            label = spanning(alike(part[:, None, :], part[None, :, :], similarity))
             other = np.flatnonzero(label != np.arange(size))
             a.append(sets[first + other])
             b.append(sets[first + label[other]])
@@ -238,7 +238,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Exact links within each pair of blocks of a cluster: for each class how many it has there, and an edge that
     spans its part."""
     keys = ["cluster", "i", "j"]
@@ -255,7 +255,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = rows + first
             shared = intersections([np.frombuffer(data[r], U) for r in rows])
             size = np.array([len(data[r]) // 8 for r in rows])
-            links = shared >= SIMILARITY * (size[:, None] + size[None, :] - shared) - 1e-9
+            links = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
             np.fill_diagonal(links, False)
             if i[first] != j[first]:
                 links &= block[rows][:, None] != block[rows][None, :]
@@ -268,10 +268,10 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["set", "root", "links"])
 
 
-def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def buckets(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(path, set) of all small buckets that hold more than one class, and the edges (a, b) of those that stay large:
     their classes share LEVELS sampled tokens, and each is tied to the least of them without a look at its sketch."""
-    rows = written(classes.select("set", "sketch").mapInArrow(first_paths, "path long, set long"), "join-paths")
+    rows = written(classes.select("set", "sketch").mapInArrow(lambda batches: first_paths(batches, similarity), "path long, set long"), "join-paths")
     leaves = None
     for level in range(LEVELS):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("least"))
@@ -287,19 +287,19 @@ def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if level == LEVELS - 1 or large.isEmpty():
             break
         found = large.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
-        rows = written(found.mapInArrow(next_paths, "path long, set long"), "join-paths")
+        rows = written(found.mapInArrow(lambda batches: next_paths(batches, similarity), "path long, set long"), "join-paths")
     return leaves, large.filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def link_classes(rows: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(set, links, root) of the classes that have links. rows: as described; docs: _key and text of all rows."""
     spark = rows.sparkSession
     grouped = rows.filter("n > 0").groupBy("set").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped, "join-classes")
-    leaves, tied = buckets(classes)
+    leaves, tied = buckets(classes, similarity)
     paired = leaves.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
     paired = paired.repartition(partitions(spark), "path").sortWithinPartitions("path")
-    edges = written(paired.mapInArrow(candidate_edges, "a long, b long").union(tied), "join-candidates")
+    edges = written(paired.mapInArrow(lambda batches: candidate_edges(batches, similarity), "a long, b long").union(tied), "join-candidates")
     clusters = components(edges).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
     members = classes.select("set", "_key", "n").join(clusters, "set")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
@@ -310,7 +310,7 @@ def link_classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     spread = sets.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("cluster", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "set", "shingles")
     tasks = tasks.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = written(tasks.mapInArrow(verify, "set long, root long, links long"), "join-links")
+    found = written(tasks.mapInArrow(lambda batches: verify(batches, similarity), "set long, root long, links long"), "join-links")
     roots = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     return written(links.join(roots.withColumnRenamed("node", "set"), "set"), "join-linked")
@@ -324,11 +324,11 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(rows, "join-rows"), plain
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of docs that are linked, the one with the least doc_id; see join_similar() for the cases.
     Texts without words stay."""
     rows, plain = described(docs)
-    linked = link_classes(rows, plain.select("_key", "text")).select("set", "root")
+    linked = link_classes(rows, plain.select("_key", "text"), similarity).select("set", "root")
     least = rows.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     groups = least.join(linked, "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("first").alias("first"))
     bare = rows.filter("n = 0").select("_key", F.lit(True).alias("_bare")).distinct()
@@ -339,18 +339,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return found.withColumn("_place", place).filter((F.col("_place") == 1) | F.col("_bare")).select("_row.*")
 
 
-def join_similar(docs: DataFrame) -> DataFrame:
+def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, class_id, n_links, n_copies, n_shingles.
 
     class_id is the least doc_id of all that are linked, directly or by way of others; n_links counts the other sets
-    with a Jaccard similarity of at least SIMILARITY, copies of one set counting once; n_copies counts the rows with
+    with a Jaccard similarity of at least `similarity`, copies of one set counting once; n_copies counts the rows with
     this very set. Texts without words (null, empty, white space) link to nothing and are each alone. Repeated rows are
     copies of each other. Null ids are carried, and are nobody's class_id unless a class has no other. Very long texts
-    are taken whole. A pair at exactly SIMILARITY is linked. Other columns are not read, whatever their names, and an
+    are taken whole. A pair at exactly `similarity` is linked. Other columns are not read, whatever their names, and an
     empty table gives an empty one.
     """
     rows, plain = described(docs)
-    linked = link_classes(rows, plain.select("_key", "text"))
+    linked = link_classes(rows, plain.select("_key", "text"), similarity)
     sets = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     named = written(sets.join(linked, "set", "left").withColumn("root", F.coalesce("root", "set")), "join-named")
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
+from lodestone.llm import components as hot
 from lodestone.llm import jaccard_join
 from lodestone.llm.components import components
 from lodestone.llm.jaccard_join import join_similar, keep_one
@@ -81,7 +83,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_and_other_columns(spark, empty, odd):
     assert join_similar(empty).collect() == [] and keep_one(empty).collect() == []
-    more = with_extras(odd, "set", "class_id", "root", "n")
+    more = with_extras(odd, "set", "class_id", "root", "n", "_key", "_place", "_bare", "_row")
     assert join_similar(more).count() == odd.count()
     assert keep_one(more).columns == more.columns
 
@@ -93,6 +95,70 @@ def test_components_of_a_path(spark, n):
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
 
 
+def test_components_with_hot_nodes_and_roots(spark, monkeypatch):
+    monkeypatch.setattr(hot, "HOT", 5)
+    random.seed(12)
+    edges = [(0, i) for i in range(1, 40)] + [(39, 50), (50, 60)] + [(60, 61 + i) for i in range(20)] + [(200 + random.randrange(30), 200 + random.randrange(30)) for _ in range(25)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(hot, "HOT", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 1), (None, 2), (9, 3)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
+    for how in ("inner", "left"):
+        got = hot.hot_join(rows, table, "k", how, hot.hot_keys(rows, "k"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
+def test_everything_hot(spark, monkeypatch):
+    monkeypatch.setattr(hot, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "BRUTE_FORCE", 8)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PATHS", 2)
+    check(spark, near_copies(40) + [(3000 + i, passage(77, 60), "en", "a", 1) for i in range(12)])
+
+
+def test_another_similarity(spark):
+    base = passage(60, 104).split()
+    rows = [(0, " ".join(base), "en", "a", 1), (1, " ".join([*base[:52], "new", *base[53:]]), "en", "a", 1)]  # 95 of 105 shared
+    of = lambda s: {r.doc_id: r.class_id for r in join_similar(spark.createDataFrame(rows, SCHEMA), s).collect()}
+    assert of(0.9) == {0: 0, 1: 0} and of(0.91) == {0: 0, 1: 1}
+
+
+def test_runs_follow_from_the_target():
+    assert jaccard_join.runs_for(0.9999, 1) == 10 and jaccard_join.runs_for(0.9999, 3) == 20 and jaccard_join.runs_for(0.9, 3) == 5
+
+
+def test_recall_on_a_larger_table(spark):
+    """All links among 10,000 documents, by looking at every two that share one of their rarest shingles."""
+    folder = "/root/testdata/sf0.1"
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {}
+    for i, text in docs:
+        w = words(text)
+        s = frozenset(hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([hash(tuple(w))] if w else [])
+        sets.setdefault(s, []).append(i)
+    often = Counter(h for s in sets for h in s)
+    at, links = {}, Counter()
+    for s in filter(None, sets):
+        rare = sorted(s, key=lambda h: (often[h], h))[: len(s) - -(-4 * len(s) // 5) + 1]
+        for t in {t for h in rare for t in at.get(h, ())}:
+            if 5 * len(s & t) >= 4 * len(s | t):
+                links[s] += 1
+                links[t] += 1
+        for h in rare:
+            at.setdefault(h, []).append(s)
+    wanted = {i: links[s] for s, ids in sets.items() for i in ids}
+    got = {r.doc_id: r.n_links for r in op2_jaccard_join(spark, folder).collect()}
+    assert all(got[i] <= n for i, n in wanted.items()) and sum(got.values()) >= 0.999 * sum(wanted.values()) > 0
+
+
 def test_query(spark, data):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert sorted(map(tuple, op2_jaccard_join(spark, data).collect())) == sorted(brute(docs))
