@@ -283,11 +283,11 @@ class Sampler:
         short = sizes <= BLOCK
         number = np.cumsum(short) - 1
         some = sizes[short]
-        lattice = Lattice(self.pieces, points[np.repeat(short, sizes)], np.cumsum(some) - some, some)
         which = short[of]
-        ids, of_short = lattice.sample(number[of[which]], seeds[which])
-        counts = np.zeros(len(of), np.int64)
-        counts[which] = of_short
+        ids, counts = np.zeros(0, np.int64), np.zeros(len(of), np.int64)
+        if len(some):
+            lattice = Lattice(self.pieces, points[np.repeat(short, sizes)], np.cumsum(some) - some, some)
+            ids, counts[which] = lattice.sample(number[of[which]], seeds[which])
         drawn = {k: self.sample_long(points[begins[of[k]] : begins[of[k]] + sizes[of[k]]], seeds[k]) for k in np.flatnonzero(~which).tolist()}
         for k, found in drawn.items():
             counts[k] = len(found)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm import mixing
 from lodestone.llm.language_id import identify, learn
 from lodestone.llm.mixing import mix, plan
 from lodestone.llm.op10_query import op10_mix_sources
@@ -125,6 +126,35 @@ def test_shards_get_sources_in_proportion(spark):
     assert len(got) == 8
 
 
+def test_a_long_document_that_does_not_fit_leaves_little_missing(spark, monkeypatch):
+    """The draw goes on behind it, so no more is missing than a thousandth of the target or a short document."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 60)
+    rows = [(i, passage(i, 20), "en", "ab"[i % 2], 1) for i in range(300)] + [(1000 + i, passage(1000 + i, 900), "en", "ab"[i % 2], 1) for i in range(6)]
+    slim, draws = plan(spark.createDataFrame(rows, SCHEMA))
+    got = draws.assign(slim.select("*")).collect()
+    for s in "ab":
+        of = [r for r in got if r.source == s]
+        assert 0 <= of[0].target - sum(r.size * len(r.shards) for r in of) <= max(20, of[0].target / 1000)
+
+
+def test_a_source_of_many_empty_texts_has_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 10)
+    frame = spark.createDataFrame([(i, "", "en", "a", 0) for i in range(95)] + [(500, "some words", "en", "a", 1)], SCHEMA)
+    slim, draws = plan(frame)
+    assert draws.sources.first()["_blocks"] == 10 and draws.assign(slim).agg(F.sum(F.col("size") * F.size("shards"))).first()[0] == 2
+
+
+def test_partitions_follow_the_order_within_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 200)
+    frame = spark.createDataFrame(mixed_rows(), SCHEMA)
+    got = mix(frame, shards=2).withColumn("part", F.spark_partition_id())
+    parts = {}
+    for r in got.groupBy("shard", "part").count().collect():
+        parts.setdefault(r.shard, []).append(r.part)
+    assert set(parts) == {0, 1} and all(len(p) > 20 for p in parts.values()) and max(parts[0]) < min(parts[1])
+    assert got.count() == mix(frame).count()
+
+
 def test_empty_and_wordless_tables(spark, empty):
     assert mix(empty).collect() == []
     slim, draws = plan(spark.createDataFrame([(1, None, None, None, 0), (2, " ", None, "a", 1)], SCHEMA))

@@ -79,7 +79,7 @@ def test_a_row_is_cut_alike_wherever_it_is(spark, odd):
 
 
 def test_odd_documents(spark, odd):
-    rows = decode(encode(with_extras(odd, "ids", "decoded", "extra"), model_path()), model_path())
+    rows = decode(encode(with_extras(odd, "ids", "decoded", "extra", "seed", "_seed"), model_path()), model_path())
     assert rows.columns[-3:] == ["ids", "n_pieces", "decoded"] and rows.filter("NOT (decoded <=> text)").count() == 0
     assert rows.filter("text IS NULL AND (n_pieces > 0 OR ids IS NOT NULL)").count() == 0
     assert rows.filter(F.size("ids") != F.col("n_pieces")).filter("text IS NOT NULL").count() == 0

@@ -63,9 +63,9 @@ def test_small_gatherings_give_the_same(spark, monkeypatch):
 
 
 def test_other_columns_stay_and_older_results_go(spark, odd):
-    names = ("n_removed", "kept_text", "_known", "extra")
+    names = ("n_removed", "kept_text", "_known", "extra", "_key", "_row", "_cut", "none")
     got = remove_repeats(with_extras(odd, *names))
-    assert got.columns[-3:] == ["n_words", "n_removed", "kept_text"] and "extra" in got.columns and got.count() == odd.count()
+    assert got.columns[-3:] == ["n_words", "n_removed", "kept_text"] and {"extra", "_known", "_key", "_row", "_cut", "none"} <= set(got.columns) and got.count() == odd.count()
 
 
 def test_empty(spark, empty):
