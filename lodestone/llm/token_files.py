@@ -26,7 +26,7 @@ from lodestone.llm.shared import partitions, steps
 
 SEQUENCE_LENGTH = 2048
 #: Bytes of words (and of what keeps them) that a worker process remembers; beyond that it forgets the rarer ones.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 112 << 20
 #: About what a remembered word takes beside its own characters.
 WORD_OVERHEAD = 160
 #: Words that the tokenizer gets at once, one to a line.
