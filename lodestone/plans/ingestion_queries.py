@@ -127,5 +127,5 @@ def embedding_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of sound responses, in the order of their texts."""
     rows = embedding.read_responses(responses(spark, sf_dir), SIZED)[1]
-    at = lambda k: F.round(F.element_at("embedding", k), 5)
+    at = lambda k: F.round(F.element_at("embedding", k).cast("float").cast("double"), 5)
     return rows.select("request_id", "position", at(1).alias("first"), at(64).alias("last"))
