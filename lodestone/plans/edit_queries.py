@@ -57,6 +57,20 @@ def grant_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.without_grants(rows, removed)
 
 
+@query(f"WITH {USERS} SELECT user_id, knowledge_base_id FROM grants WHERE user_id % 2 = 1")
+def grant_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which grants are new when all are given twice over and those of every second user are there."""
+    rows = grants(spark, sf_dir)
+    return access.insert_new(rows.unionByName(rows), rows.filter("user_id % 2 = 0"), ["user_id", "knowledge_base_id"])
+
+
+@query("SELECT lower(c_mktsegment) AS name, c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2 HAVING count(*) > 1")
+def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that several have, whatever their case, where that must not be."""
+    rows = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return access.violations(rows, ["name", "nation"], "c_acctbal > 0")
+
+
 @query("""SELECT 'none yet' AS installation, min(c_custkey) AS user_id FROM customer WHERE c_custkey % 2 = 0""")
 def bootstrap_administrator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who becomes the first administrator of an installation that has none, and of one that has."""

@@ -78,7 +78,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = chunk_guard(found.select("document_id"), chunks)
     vectors = chunks.filter((F.col("ordinal") > 0) | (F.col("document_id") % 10 != 4)).select("document_id", "ordinal", F.array(F.char_length("text").cast("float"), F.lit(1.0)).alias("embedding"))
     whole, errors = lifecycle.with_vectors(chunks, vectors)
-    status = F.when((F.col("status") == "ready") & F.col("_error").isNull(), "ready").otherwise("failed")
+    status = lifecycle.published(F.lit("processing"), F.coalesce("safe_error", "_error"))
     states = judged.join(errors.select("document_id", F.col("error").alias("_error")), "document_id", "left").select("document_id", "n_chunks", status.alias("status"))
     published = lifecycle.publish_chunks(whole.drop("section_no", "part"), states, new_path(spark, "chunks"), 16)
     n = published.groupBy("document_id").agg(F.count("embedding").alias("n_published"))

@@ -15,6 +15,8 @@ from lodestone.plans.catalog import query, table
 
 #: Every id divisible by this is a query.
 QUERY_STEP = 100
+#: Copies from which on a text isn't joined by a shuffle.
+COMMON = 10_000
 TARGET, OVERLAP = DEFAULTS.chunk_target_characters, DEFAULTS.chunk_overlap_characters
 
 COSINE = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[]) / nullif(sqrt(list_inner_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_inner_product({b}::DOUBLE[], {b}::DOUBLE[])), 0)"
@@ -273,8 +275,11 @@ def doc_fingerprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every document, its size, how many share it, and whether it is the first of them."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
     docs = table(spark, sf_dir, "documents").select("doc_id", digest.alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
-    copies = docs.groupBy("sha256").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("_first"))
-    joined = docs.join(copies, docs.sha256.eqNullSafe(copies.sha256)).drop(copies.sha256)
+    docs = docs.withColumn("_key", F.coalesce("sha256", F.lit("")))
+    copies = docs.groupBy("_key").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("_first"))
+    common = copies.filter(F.col("n_copies") > COMMON)  # at most a row for each COMMON documents; their documents stay where they are
+    rare = docs.join(F.broadcast(common.select("_key")), "_key", "left_anti").join(copies, "_key")
+    joined = rare.unionByName(docs.join(F.broadcast(common), "_key"))
     return joined.select("doc_id", "sha256", "size_bytes", "n_copies", (F.col("doc_id") == F.col("_first")).alias("is_first"))
 
 
