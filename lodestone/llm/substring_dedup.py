@@ -36,6 +36,8 @@ GATHERED = 1_000_000
 ROWS = "bucket int, a binary, b binary, key binary, at binary, done_key binary, done_at binary"
 #: Buckets for each shuffle partition.
 BUCKETS = 2
+#: Names of the columns that the rounds work with.
+OWN = ("_key", "_repeated", "_known", "_more", "_cut")
 
 #: Places among the words of a step, the two parts of their hashes, and whether an answer is needed.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -190,8 +192,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     new = ("n_words", "n_removed", "kept_text")
     own = [c for c in docs.columns if c not in new]
-    row = F.struct(F.lit(0).alias(unused(own, "none")), *(F.col(f"`{c}`") for c in own if c != "text")).alias("_row")
-    rows = docs.select(row, "text", row_key(own).alias("_key"))
+    # Columns that are named like ours take other names for a while. They stay columns: a struct of them would be taken
+    # apart by the optimizer in some rounds and not in others, which then had to shuffle the texts twice.
+    away = {c: unused([*own, *OWN], c) if c.lower() in OWN else c for c in own}
+    rows = docs.select(*(F.col(f"`{c}`").alias(away[c]) for c in own), row_key(own).alias("_key"))
     rows = rows.repartition(partitions(docs.sparkSession), "_key")
     # All rounds read the same columns, so that they share one shuffle of the texts.
     repeated = repeats(rows, anchors, "_repeated")
@@ -212,5 +216,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=list(new))
 
-    keep = [F.col("text" if c == "text" else f"_row.`{c}`").alias(c) for c in own]
-    return found.select("_row", "text", cut("text", "_known", "_more").alias("_cut")).select(*keep, "_cut.*")
+    keep = [F.col(f"`{away[c]}`") for c in own]
+    cut_rows = found.select(*keep, cut("text", "_known", "_more").alias("_cut"))
+    return cut_rows.select(*(F.col(f"`{away[c]}`").alias(c) for c in own), "_cut.*")
