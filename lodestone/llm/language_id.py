@@ -33,6 +33,8 @@ LOW_QUANTILE = 0.01
 #: How far below the low quantile a limit is, as a share of that quantile's distance from the median.
 REACH = 1.25
 BLANK = 32
+#: Code points of a text that are counted at once, about.
+PART_POINTS = 1 << 16
 
 
 @cache
@@ -41,13 +43,29 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of a text's n-grams, ascending, and their counts; none if the text has no letter."""
+    """The codes of a text's n-grams, ascending, and their counts; none if the text has no letter.
+
+    A long text is counted in parts from blank to blank. No n-gram has a blank within, so none is lost or counted twice.
+    """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(letters()[points], points, BLANK).astype(np.int64)
-    points = np.concatenate([[BLANK], points, [BLANK]])
+    points = np.where(letters()[points], points, np.uint32(BLANK))
+    points = np.concatenate([[np.uint32(BLANK)], points, [np.uint32(BLANK)]])
     points = points[np.concatenate([[True], (points[1:] != BLANK) | (points[:-1] != BLANK)])]
     if len(points) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(points) <= PART_POINTS:
+        return counted(points)
+    blanks, cuts = np.flatnonzero(points == BLANK), [0]
+    while cuts[-1] < len(points) - 1:
+        cuts.append(int(blanks[min(np.searchsorted(blanks, cuts[-1] + PART_POINTS), len(blanks) - 1)]))
+    found = [counted(points[x : y + 1]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+
+
+def counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of code points that begin and end with a blank and have no two blanks together."""
+    points = points.astype(np.int64)
     pairs = points[:-1] << 21 | points[1:]
     triples = (pairs[:-1] << 21 | points[2:])[points[1:-1] != BLANK]
     codes = np.sort(np.concatenate([points[points != BLANK], pairs, triples]))
@@ -77,13 +95,12 @@ class Profiles:
         return self.languages[best], float(1 - away[best])
 
 
-def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
-    """Profiles of the languages in `lang` from docs (text, lang), where `train` holds.
+def sampled(docs: DataFrame, train: Column | None = None) -> DataFrame:
+    """The rows of docs (text, lang, ...) that are learned from, where `train` holds.
 
     Rows with a null lang or a null text teach nothing, repeated rows count each. Of a language with more than
     MAX_ROWS_PER_LANGUAGE rows, that many (about) are taken by a hash of all columns, so that a text that is there under
-    many ids isn't taken or left as a whole; rarer languages are taken whole. Ties of frequency go by n-gram
-    code, so reruns agree. An empty table gives no profile, and every text is then undetermined.
+    many ids isn't taken or left as a whole; rarer languages are taken whole.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(train) if train is not None else rows
@@ -91,9 +108,22 @@ def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+        return rows.filter(F.lit(False))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, MAX_ROWS_PER_LANGUAGE / n))))
-    rows = rows.filter(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    return rows.filter(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+
+
+def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
+    """Profiles of the languages in `lang` from the rows that sampled() takes of docs.
+
+    Ties of frequency go by n-gram code, so reruns agree. An empty table gives no profile, and every text is then
+    undetermined.
+    """
+    return profiles_of(sampled(docs, train))
+
+
+def profiles_of(rows: DataFrame) -> Profiles:
+    """Profiles from all of rows (text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches):
@@ -109,6 +139,8 @@ def learn(docs: DataFrame, train: Column | None = None) -> Profiles:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = summed.withColumn("place", place).filter(F.col("place") <= PROFILE_SIZE)
     found = top.select("lang", "code", "place").collect()  # PROFILE_SIZE rows a language
+    if not found:
+        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
     languages = sorted({r.lang for r in found})
     codes = np.array(sorted({r.code for r in found}), np.int64)
     ranks = np.full((len(codes), len(languages)), PROFILE_SIZE, np.int64)
@@ -137,8 +169,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def nearness_limits(judged: DataFrame, least: float) -> tuple[dict[str, float], float]:
-    """For each language the score below which a text isn't in it, and the limit of all others, from training rows
-    (lang, lang_pred, score) that got their own language.
+    """For each language the score below which a text isn't in it, and the limit of all others, from training rows, or a
+    sample of them, (lang, lang_pred, score) that got their own language.
 
     A limit is REACH times as far below the scores' low quantile as that is below their median, but `least` at least.
     Copies have one score and count once. Where even all languages together have fewer than OWN_LIMIT_ROWS scores, all

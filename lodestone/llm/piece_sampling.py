@@ -38,7 +38,7 @@ RESCALED = 32
 #: Code points of a block, and of the longest chunk that isn't worked on in blocks.
 BLOCK = 8192
 #: Bytes of text whose lattices are in memory at once; a longer text is cut at blanks.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -53,3 +53,4 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 at, held = row, 0
             held += size
         yield pa.Table.from_batches([batch.slice(at)])
+        pa.default_memory_pool().release_unused()  # a worker process lives on for other tasks

@@ -45,6 +45,15 @@ def test_distance_by_hand(spark):
     assert profiles.judge("aaa") == ("x", 1.0) and profiles.judge("BBB!") == ("y", 1.0) and profiles.judge("12 3") == ("und", 0.0)
 
 
+def test_long_texts_are_counted_whole(monkeypatch):
+    text = " ".join(f"wort{i * i} é-{'x' * (i % 90)}" for i in range(400))
+    whole = language_id.ngrams(text)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(language_id, "PART_POINTS", size)
+        parts = language_id.ngrams(text)
+        assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
 def out_of_place(text, ranked):
     """The distance with plain Python: ranked maps each language to its n-grams by frequency."""
     letters = "".join(c if c.isalpha() else " " for c in text.lower()).split()
