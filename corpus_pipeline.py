@@ -26,7 +26,8 @@ SHORT_LETTERS = 40
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter and those nearer to no profile than its language's
-    training rows are go."""
+    training rows are go. So null, empty and blank texts go, and repeated rows go or stay together. Where no row has a
+    language to learn, all go; an empty table stays empty."""
     train = is_training_row(F.col("doc_id"))
     found = written(identify(docs, learn(docs, train)), "judged")
     limits, other = nearness_limits(found.filter(train), MIN_NEARNESS)
@@ -39,12 +40,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts."""
+    """One document of each group of similar texts, the one with the least doc_id (a null one last). Rows without a word
+    stay; repeated rows are copies of each other; an empty table stays empty."""
     return keep_one(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once; texts that lose nothing stay as they are."""
+    """All documents, without the passages that occur more than once; texts that lose nothing stay as they are, null and
+    empty ones among them. n_chars is counted anew where a text changes (null for a null text)."""
     cut = remove_repeats(docs.drop("n_chars"))  # a column that nothing reads would cost a second shuffle of the texts
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
@@ -52,12 +55,14 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, in the order of the mix."""
+    """Each document as often as the mix of sources takes it, in the order of the mix. Documents without a word have no size
+    and are taken with their block; a null source is one of its own; rows with one doc_id and source go together."""
     return mix(docs).select(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
+    """The piece ids of each document; none for a null text, that of the blank before it for an empty one. Equal texts with
+    equal ids, so the repeats of the mix too, are cut alike."""
     return encode(docs.select("doc_id", "text"), model_path()).select("doc_id", "n_pieces", "ids")
 
 
