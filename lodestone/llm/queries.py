@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.op10_query import op10_mix_sources
+from lodestone.llm.op11_query import op11_token_alignment
 from lodestone.llm.op12_query import op12_simhash_dedup
 from lodestone.llm.op13_query import op13_conversation_repair
 from lodestone.llm.op1_query import op1_substring_dedup
@@ -21,7 +22,7 @@ from lodestone.llm.op9_query import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_piece_sampling, op4_language_id, op5_quality_knn, op6_fingerprints, op7_url_filter, op8_quality_rules, op9_token_files, op10_mix_sources, op12_simhash_dedup, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_piece_sampling, op4_language_id, op5_quality_knn, op6_fingerprints, op7_url_filter, op8_quality_rules, op9_token_files, op10_mix_sources, op11_token_alignment, op12_simhash_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
