@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
-from itertools import repeat
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +12,13 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions.text import tokens
 from lodestone.functions.vectors import cosine, is_finite, norm
+from lodestone.operators.search import PLACES, Terms, all_of, lexical_topk, lexical_topk_stored, search_stored, store_postings, web_search  # noqa: F401
 from lodestone.session import new_path
 
 #: Query vectors that are broadcast at once; more go in several blocks.
 QUERY_BLOCK = 4_096
 #: Terms of all queries up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_TERMS = 500_000
-PLACES = 6
 
 
 def semantic_topk(chunks: DataFrame, vector: Sequence[float], k: int = DEFAULTS.semantic_candidates) -> DataFrame:
@@ -42,62 +38,113 @@ def semantic_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS
     are equal to the query in the columns `within`. Vectors are left out as in semantic_topk().
 
     Queries are broadcast in blocks of about QUERY_BLOCK; each task multiplies its chunks with a block and keeps the best
-    of its own, so that what is shuffled is k rows a query and batch, whatever the number of chunks. Of several blocks,
-    each is worked on in a pass of its own, and what it finds is stored, so the driver never has more than one.
+    of all that it has seen, so that what is shuffled is k rows a query and task, whatever the number of chunks. Of several
+    blocks, each is worked on in a pass of its own, and what it finds is stored, so the driver never has more than one.
     """
+    spark = chunks.sparkSession
+    path = new_path(spark, "query-vectors")
+    queries.select("query_id", "embedding", *within).write.parquet(path)  # the blocks and their number are of one reading
+    queries = spark.read.parquet(path)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if blocks == 1:
         return best(_block(chunks, queries, k, within))
-    path = new_path(chunks.sparkSession, "semantic-blocks")
+    path = new_path(spark, "semantic-blocks")
     for b in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         best(_block(chunks, some, k, within)).write.mode("append").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _block(chunks: DataFrame, queries: DataFrame, k: int, within: Sequence[str]) -> DataFrame:
+def query_groups(queries: DataFrame, within: Sequence[str]) -> dict[tuple, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The ids and unit vectors of a block of queries, by what they are held to and by length."""
     whole = queries.filter(is_finite(F.col("embedding")) & (norm(F.col("embedding")) > 0))
     groups: dict[tuple, dict[int, tuple[list, list]]] = {}
     for r in whole.select("query_id", "embedding", *within).collect():  # about QUERY_BLOCK rows
         ids, vectors = groups.setdefault(tuple(r[2:]), {}).setdefault(len(r.embedding), ([], []))
         ids.append(r.query_id)
         vectors.append(r.embedding)
-    for sizes in groups.values():
-        for size, (ids, vectors) in sizes.items():
-            matrix = np.array(vectors, np.float64)
-            sizes[size] = np.array(ids, np.int64), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = chunks.sparkSession.sparkContext.broadcast(groups)
+    return {key: {size: (np.array(ids, np.int64), unit(np.array(vectors, np.float64))[0]) for size, (ids, vectors) in sizes.items()} for key, sizes in groups.items()}
+
+
+def _block(chunks: DataFrame, queries: DataFrame, k: int, within: Sequence[str]) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(query_groups(queries, within))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held = shared.value, {}
         for batch in batches:
-            sizes = batch["embedding"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            places: dict[tuple, list[int]] = {}
-            keys = zip(*(batch[c].to_pylist() for c in within), strict=True) if within else repeat((), batch.num_rows)
-            for row, key in enumerate(keys):
-                places.setdefault(key, []).append(row)
-            for key, rows in places.items():
-                for size, (ids, targets) in shared.value.get(key, {}).items():
-                    found = nearest(batch.take(pa.array(np.array(rows)[sizes[rows] == size], pa.int64())), ids, targets, k)
-                    if found is not None:
-                        yield found
+            for key, size, chunk, rows in vectors_by_group(batch, within, groups):
+                ids, targets = groups[key][size]
+                if (key, size) not in held:
+                    held[key, size] = Nearest(ids, k)
+                held[key, size].add(targets, chunk, rows)
+        for found in held.values():
+            yield found.rows()
 
     return chunks.select("chunk_id", "embedding", *within).mapInArrow(best, "query_id long, chunk_id long, similarity double")
 
 
-def nearest(chunks: pa.RecordBatch, ids: np.ndarray, targets: np.ndarray, k: int) -> pa.RecordBatch | None:
-    """The k nearest of chunks, whose vectors have the targets' length, to each target."""
-    rows = np.asarray(chunks["embedding"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, targets.shape[1])
+def unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at length 1, and which can be: others are left out."""
     lengths = np.linalg.norm(rows, axis=1)
     usable = np.isfinite(lengths) & (lengths > 0)
-    rows, chunk = rows[usable] / lengths[usable, None], chunks["chunk_id"].to_numpy(zero_copy_only=False)[usable]
-    if not len(rows):
-        return None
-    near = np.round(targets @ rows.T, PLACES)
-    order = np.lexsort((np.broadcast_to(chunk, near.shape), -near), axis=1)[:, :k]
-    columns = [pa.array(np.repeat(ids, order.shape[1])), pa.array(chunk[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "similarity"])
+    return rows[usable] / lengths[usable, None], usable
+
+
+def vectors_by_group(batch: pa.RecordBatch, within: Sequence[str], groups: dict) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray]]:
+    """The chunks of a batch, with vectors at length 1, by what they are held to and by length; only what queries ask for."""
+    lengths = batch["embedding"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.zeros(len(lengths), np.int64)
+    keys: list[tuple] = [()]
+    for name in within:
+        coded = batch[name].dictionary_encode()
+        values = [*coded.dictionary.to_pylist(), None]
+        codes = coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
+        both, group = np.unique(group * len(values) + codes, return_inverse=True)
+        keys = [(*keys[x // len(values)], values[x % len(values)]) for x in both.tolist()]
+    ids = batch["chunk_id"].to_numpy(zero_copy_only=False)
+    for at, key in enumerate(keys):
+        for size in groups.get(key, {}):
+            rows = np.flatnonzero((group == at) & (lengths == size))
+            if len(rows):
+                flat = batch["embedding"].take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                vectors, usable = unit(np.asarray(flat, np.float64).reshape(-1, size))
+                yield key, size, ids[rows[usable]], vectors
+
+
+class Nearest:
+    """The k nearest chunks so far of each of some queries. Similarities are whole millionths, so that ties go by chunk_id."""
+
+    AT_ONCE = 2_048
+    UNIT = 10**PLACES
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.near = np.full((len(ids), k), -2 * self.UNIT, np.int64)  # below any similarity: no chunk
+        self.chunks = np.zeros((len(ids), k), np.int64)
+
+    def add(self, targets: np.ndarray, chunks: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None) -> None:
+        """Chunks with their vectors, for the queries `of`, whose vectors are the targets (all, if not given)."""
+        order = np.argsort(chunks, kind="stable")
+        for at in range(0, len(order), self.AT_ONCE):
+            some = order[at : at + self.AT_ONCE]
+            near = np.rint(targets @ rows[some].T * self.UNIT).astype(np.int64)
+            if len(some) > self.k:
+                first = np.argpartition((-near << 12) + np.arange(len(some)), self.k - 1, axis=1)[:, : self.k]  # AT_ONCE < 2^12
+                near, found = np.take_along_axis(near, first, 1), chunks[some][first]
+            else:
+                found = np.broadcast_to(chunks[some], near.shape)
+            held = (slice(None) if of is None else of,)
+            near = np.concatenate([self.near[held], near], axis=1)
+            found = np.concatenate([self.chunks[held], found], axis=1)
+            best = np.lexsort((found, -near), axis=1)[:, : self.k]
+            self.near[held], self.chunks[held] = np.take_along_axis(near, best, 1), np.take_along_axis(found, best, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        query, at = np.nonzero(self.near > -2 * self.UNIT)
+        columns = [pa.array(self.ids[query]), pa.array(self.chunks[query, at]), pa.array(self.near[query, at] / self.UNIT)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "similarity"])
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -106,34 +153,6 @@ def postings(texts: DataFrame) -> DataFrame:
     return placed.select("chunk_id", "term", (F.col("pos") + 1).alias("pos"))
 
 
-@dataclass(frozen=True)
-class Terms:
-    """One way to match: all of terms and phrases, none of excluded."""
-
-    terms: tuple[str, ...] = ()
-    phrases: tuple[tuple[str, ...], ...] = ()
-    excluded: tuple[str, ...] = field(default=())
-
-
-def web_search(text: str) -> list[Terms]:
-    """Alternatives of a search as people type it: words are all wanted, "or" parts alternatives, quoted words stand
-    together, and words after a minus must not occur."""
-    found: list[Terms] = []
-    for part in re.split(r"\s+or\s+(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", text, flags=re.IGNORECASE):
-        terms, phrases, excluded = [], [], []
-        for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', part):
-            words = re.findall(r"[^\W_]+", (quoted or plain).lower())
-            if minus:
-                excluded += words
-            elif len(words) > 1:
-                phrases.append(tuple(words))
-            else:
-                terms += words
-        if terms or phrases:
-            found.append(Terms(tuple(terms), tuple(phrases), tuple(excluded)))
-    return found
-
-
 def cover_rank(found: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
     """Cover-density rank of postings (keys, t, pos) of query terms alone; t numbers a query's terms.
 
@@ -155,116 +174,6 @@ def cover_rank(found: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
     return covers.groupBy(*keys).agg(F.sum(0.1 / (1 + noise)).alias("lexical_score"))
 
 
-def cover_score(found: Column, wanted: int) -> Column:
-    """The same for one chunk's postings of query terms: found is an array of structs of t (from 0) and pos in order of
-    pos; null where a term is missing."""
-    place = "struct<pos: int, n: int>"
-    start = F.struct(F.array_repeat(F.lit(None).cast(place), wanted).alias("last"), F.lit(0).alias("n"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
-
-    def step(state: Column, x: Column) -> Column:
-        here = F.struct(x["pos"].alias("pos"), state["n"].alias("n"))
-        last = F.transform(state["last"], lambda old, t: F.when(t == x["t"], here).otherwise(old))
-        first = F.when(F.forall(last, lambda p: p.isNotNull()), F.array_min(last))
-        noise = (x["pos"] - first["pos"]) - (state["n"] - first["n"])
-        new = F.coalesce(first["pos"] > state["begin"], F.lit(False))
-        return F.struct(last.alias("last"), (state["n"] + 1).alias("n"), F.when(new, first["pos"]).otherwise(state["begin"]).alias("begin"), (state["score"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("score"))
-
-    return F.aggregate(found, start, step, lambda s: F.when(s["begin"] >= 0, s["score"]))
-
-
-def _score(way: Terms) -> Column:
-    """The score of one way to match by the array `_terms` of a chunk's terms, or null where it doesn't match."""
-    words = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
-    number = lambda term: F.coalesce(*(F.when(term == w, F.lit(i)) for i, w in enumerate(words)))
-    placed = F.transform("_terms", lambda term, i: F.struct(number(term).alias("t"), (i + 1).alias("pos")))
-    score = cover_score(F.filter(placed, lambda x: x["t"].isNotNull()), len(words))
-    whole = F.concat(F.lit(" "), F.array_join("_terms", " "), F.lit(" "))
-    fits = [F.array_contains("_terms", w) for w in words] + [F.contains(whole, F.lit(f" {' '.join(p)} ")) for p in way.phrases if len(p) > 1]
-    if way.excluded:
-        fits.append(~F.arrays_overlap("_terms", F.lit(list(way.excluded))))
-    return F.when(reduce(Column.__and__, fits), score)
-
-
-def lexical_topk(texts: DataFrame, search: str, k: int = DEFAULTS.lexical_candidates) -> DataFrame:
-    """The k best of chunks (chunk_id, text) for a search, as chunk_id, lexical_score (rounded), rank.
-
-    Where all alternatives are single words, each of their occurrences is a cover; otherwise a chunk's score is the sum
-    over the alternatives that match it. A search without words matches nothing. Each text is read by itself, in one
-    pass, and only the k best are shuffled; lexical_topk_stored() reads stored postings instead.
-    """
-    ways = web_search(search)
-    rows = texts.select("chunk_id", tokens(F.col("text")).alias("_terms"))
-    if not ways:
-        score = F.lit(None).cast("double")
-    elif len(ways) > 1 and all(len(w.terms) == 1 and not w.phrases and not w.excluded for w in ways):
-        words = list({w.terms[0] for w in ways})
-        score = F.nullif(0.1 * F.size(F.filter("_terms", lambda x: x.isin(words))), F.lit(0.0))
-    else:
-        scores = [_score(way) for way in ways]
-        score = F.when(F.coalesce(*scores).isNotNull(), sum(F.coalesce(x, F.lit(0.0)) for x in scores))
-    return _best(rows.select("chunk_id", F.round(score, PLACES).alias("lexical_score")).filter("lexical_score IS NOT NULL"), k)
-
-
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    best = scored.orderBy(F.desc("lexical_score"), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("lexical_score"), "chunk_id")))
-
-
-def store_postings(texts: DataFrame, path: str, buckets: int = 64) -> DataFrame:
-    """Stores the postings of chunks (chunk_id, text) by term, a row for each term of a chunk with its positions, and
-    returns them. Folders hold the terms of one hash, files are sorted by term, so that a search reads little of them.
-    Terms that are in most chunks are dealt out by chunk as well, so that no task writes all of one."""
-    rows = texts.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    found = rows.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
-    found = found.withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(path)
-    return texts.sparkSession.read.parquet(path)
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def lexical_topk_stored(stored: DataFrame, search: str, k: int = DEFAULTS.lexical_candidates, buckets: int = 64) -> DataFrame:
-    """lexical_topk() over stored postings: the terms of the search are looked up, and what they have is put together for
-    each chunk. Only the folders and row groups with those terms are read."""
-    ways = web_search(search)
-    words = sorted({w for way in ways for w in (*way.terms, *(x for p in way.phrases for x in p), *way.excluded)})
-    if not words:
-        return _best(stored.select("chunk_id", F.lit(0.0).alias("lexical_score")).filter(F.lit(False)), k)
-    in_bucket = reduce(Column.__or__, (F.col("bucket") == _bucket(F.lit(w), buckets) for w in words))
-    found = stored.filter(in_bucket & F.col("term").isin(words))
-    entry = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term")))
-    rows = found.select("chunk_id", entry.alias("_some")).groupBy("chunk_id").agg(F.sort_array(F.flatten(F.collect_list("_some"))).alias("_places"))
-    if len(ways) > 1 and all(len(w.terms) == 1 and not w.phrases and not w.excluded for w in ways):
-        return _best(rows.select("chunk_id", F.round(0.1 * F.size("_places"), PLACES).alias("lexical_score")), k)
-    scores = [_stored_score(way) for way in ways]
-    score = F.when(F.coalesce(*scores).isNotNull(), sum(F.coalesce(x, F.lit(0.0)) for x in scores))
-    return _best(rows.select("chunk_id", F.round(score, PLACES).alias("lexical_score")).filter("lexical_score IS NOT NULL"), k)
-
-
-def _stored_score(way: Terms) -> Column:
-    words = list(dict.fromkeys([*way.terms, *(w for p in way.phrases for w in p)]))
-    number = lambda term: F.coalesce(*(F.when(term == w, F.lit(i)) for i, w in enumerate(words)))
-    placed = F.transform("_places", lambda x: F.struct(number(x["term"]).alias("t"), x["pos"].alias("pos")))
-    fits = [F.lit(True)]
-    for phrase in way.phrases:
-        at = [F.transform(F.filter("_places", _is(word)), _shifted(i)) for i, word in enumerate(phrase)]
-        fits.append(F.size(reduce(F.array_intersect, at)) > 0)
-    if way.excluded:
-        fits.append(~F.arrays_overlap(F.transform("_places", lambda x: x["term"]), F.lit(list(way.excluded))))
-    return F.when(reduce(Column.__and__, fits), cover_score(F.filter(placed, lambda x: x["t"].isNotNull()), len(words)))
-
-
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda x: x["term"] == word
-
-
-def _shifted(by: int) -> Callable[[Column], Column]:
-    return lambda x: x["pos"] - by
-
-
 def ranked(rows: DataFrame, score: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -299,7 +208,7 @@ def sufficiency(evidence: DataFrame, settings: Settings = DEFAULTS, queries: Dat
     return rows.select("query_id", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, stored: DataFrame | None = None, buckets: int = 64) -> DataFrame:
     """Evidence of all queries (query_id, knowledge_base, embedding, terms) from chunks (chunk_id, document_id,
     knowledge_base, embedding, text), which are what the asker may see and is ready. Where both have embedding_model,
     only chunks of the query's are looked at.
@@ -307,16 +216,25 @@ def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = DEFAULT
     Vectors are compared within the knowledge base as in semantic_topk_batch(). The queries' terms are broadcast up to
     BROADCAST_TERMS of them, so that of all postings only those of a query are shuffled. A query matches lexically where
     all its terms occur, however many. A query without a vector or without terms has the other kind of candidate alone.
+
+    stored: what store_postings() has stored of the chunks' texts, within the knowledge bases (and models), in `buckets`
+    folders. Then no text is read, and of the postings only what may be among the best.
     """
     within = ["knowledge_base", *(["embedding_model"] if "embedding_model" in chunks.columns and "embedding_model" in queries.columns else [])]
     semantic = semantic_topk_batch(chunks, queries, settings.semantic_candidates, within)
     wanted = queries.withColumn("terms", F.array_distinct("terms"))
-    terms = wanted.select("query_id", *within, F.size("terms").alias("wanted"), F.posexplode("terms").alias("t", "term"))
+    if stored is not None:
+        lexical = search_stored(stored, wanted.withColumn("ways", all_of(F.col("terms"))), settings.lexical_candidates, within, buckets)
+    else:
+        lexical = _searched(chunks, wanted, within, settings.lexical_candidates)
+    fused = fuse(semantic, lexical, settings.rrf_k).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    return select_evidence(fused, settings)
+
+
+def _searched(chunks: DataFrame, queries: DataFrame, within: Sequence[str], k: int) -> DataFrame:
+    terms = queries.select("query_id", *within, F.size("terms").alias("wanted"), F.posexplode("terms").alias("t", "term"))
     few = terms.count() <= BROADCAST_TERMS
     posts = chunks.select("chunk_id", *within, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     found = posts.join(F.broadcast(terms) if few else terms, [*within, "term"]).select("query_id", "chunk_id", "wanted", "t", "pos")
     scores = cover_rank(found, ["query_id", "chunk_id"], F.col("wanted"))
-    scores = scores.withColumn("lexical_score", F.round("lexical_score", PLACES))
-    lexical = ranked(scores, "lexical_score", settings.lexical_candidates)
-    fused = fuse(semantic, lexical, settings.rrf_k).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-    return select_evidence(fused, settings)
+    return ranked(scores.withColumn("lexical_score", F.round("lexical_score", PLACES)), "lexical_score", k)

@@ -94,6 +94,13 @@ def lexical_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(lexical_sql(covers_sql("of", "the", "pair") + ", found AS (SELECT * FROM pair WHERE chunk_id IN (SELECT a.chunk_id FROM posts a JOIN posts b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'))"))
 def lexical_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a phrase, by all covers of its words; lexical_phrase_covers ranks by the phrase's own."""
+    with_phrase = texts(spark, sf_dir).filter(F.lower("text").rlike(r"(?<![\p{L}\p{N}])of[^\p{L}\p{N}]+the(?![\p{L}\p{N}])"))
+    return retrieval.lexical_topk(with_phrase, "of the")
+
+
+@query(lexical_sql("found AS (SELECT a.chunk_id, 0.1::DOUBLE * count(*) AS lexical_score FROM posts a JOIN posts b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1)"))
+def lexical_phrase_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir, '"of the"')
 
 
