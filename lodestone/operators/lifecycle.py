@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import new_path
+from lodestone.operators import snapshots
 
 STATES = ("pending", "processing", "ready", "failed", "deleting")
 
@@ -35,48 +34,21 @@ def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return rows.join(deleted.select(key), key, "left_anti")
 
 
-def publish_chunks(chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 256) -> DataFrame:
-    """Writes the chunks (document_id, ordinal, ...) of documents (document_id, status) in place of what these documents
+def publish_chunks(chunks: DataFrame, documents: DataFrame, path: str, most: int = snapshots.MOST_DELTAS) -> DataFrame:
+    """Publishes the chunks (document_id, ordinal, ...) of documents (document_id, status) in place of what these documents
     have at `path`, and returns all that is then there. Other documents keep theirs. A document that isn't ready, or has
-    no chunks, has none afterwards.
-
-    Chunks lie in folders by a hash of their document. The folders that the documents given fall in are read, put
-    together anew without those documents, stored aside, and then replaced, so that nothing is read and overwritten at
-    once. A row without a document stands in each of them, so that one that loses all its chunks is replaced too. One
-    writer at a time.
-    """
+    no chunks, has none afterwards. What is written is the batch itself, as a delta; above `most` of them the table is
+    compacted."""
+    version = snapshots.publish(chunks, documents, path)
     spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    given = documents.select("document_id", "status").withColumn("bucket", bucket)
-    touched = given.select("bucket").distinct()  # at most `buckets` rows
-    ready = given.filter("status = 'ready'").select("document_id")
-    rows = chunks.join(ready, "document_id", "left_semi").withColumn("bucket", bucket)
-    marks = touched.select("bucket")
-    whole = rows.unionByName(marks, allowMissingColumns=True)
-    there = _stored(spark, path)
-    if there is not None:
-        others = there.filter("document_id IS NOT NULL").join(F.broadcast(touched), "bucket", "left_semi")
-        whole = whole.unionByName(others.join(given.select("document_id"), "document_id", "left_anti").select(*whole.columns))
-    aside = new_path(spark, "chunks-aside")
-    whole.write.parquet(aside)
-    staged = spark.read.schema(whole.schema).parquet(aside)
-    dealt = staged.repartition("bucket", F.pmod(F.xxhash64("document_id", "ordinal"), F.lit(4))).sortWithinPartitions("document_id", "ordinal")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return published_chunks(spark, path)
+    if len(snapshots.manifest(spark, path, version).deltas) > most:
+        version = snapshots.compact(spark, path)
+    return snapshots.snapshot(spark, path, version)
 
 
 def published_chunks(spark: SparkSession, path: str) -> DataFrame:
     """All chunks that publish_chunks() has put at a path."""
-    return spark.read.parquet(path).filter("document_id IS NOT NULL").drop("bucket")
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    return snapshots.snapshot(spark, path)
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from lodestone.config import DEFAULTS, Settings
-from lodestone.operators import embedding, lifecycle
+from lodestone.operators import embedding, lifecycle, snapshots
 from lodestone.operators.chunking import chunk_guard, chunk_sections
-from lodestone.plans.catalog import query, table
+from lodestone.plans.catalog import ORACLES, query, table
 from lodestone.plans.retrieval_queries import CHUNKS_SQL, WHITE
 from lodestone.session import new_path
 from lodestone.sources.formats import WORD_SPACE, extract_documents
@@ -80,7 +80,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, errors = lifecycle.with_vectors(chunks, vectors)
     status = lifecycle.published(F.lit("processing"), F.coalesce("safe_error", "_error"))
     states = judged.join(errors.select("document_id", F.col("error").alias("_error")), "document_id", "left").select("document_id", "n_chunks", status.alias("status"))
-    published = lifecycle.publish_chunks(whole.drop("section_no", "part"), states, new_path(spark, "chunks"), 16)
+    published = lifecycle.publish_chunks(whole.drop("section_no", "part"), states, new_path(spark, "chunks"))
     n = published.groupBy("document_id").agg(F.count("embedding").alias("n_published"))
     return states.join(n, "document_id", "left").select("document_id", "n_chunks", "status", F.coalesce("n_published", F.lit(0)).alias("n_published"))
 
@@ -91,16 +91,43 @@ SELECT doc_id AS document_id, ordinal::INTEGER AS ordinal, md5(substr(text, ordi
 def publish_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are published, then every third again with other chunks, of which every third has failed; the others,
     which share their folders, keep what they have."""
+    path = new_path(spark, "published")
+    twice_published(spark, sf_dir, path)
+    return snapshots.snapshot(spark, path)
+
+
+def twice_published(spark: SparkSession, sf_dir: str, path: str) -> None:
     docs = table(spark, sf_dir, "documents").filter("length(text) > 0").select(F.col("doc_id").alias("document_id"), "text")
 
     def cut(rows: DataFrame, size: int) -> DataFrame:
         parts = rows.select("document_id", "text", F.posexplode(F.sequence(F.lit(1), F.char_length("text"), F.lit(size))).alias("ordinal", "at"))
         return parts.select("document_id", "ordinal", F.md5(F.substring("text", F.col("at"), F.lit(size)).cast("binary")).alias("digest"))
 
-    path = new_path(spark, "published")
     again = docs.filter("document_id % 3 = 0")
-    lifecycle.publish_chunks(cut(docs, 200), docs.select("document_id", F.lit("ready").alias("status")), path, 8)
-    return lifecycle.publish_chunks(cut(again, 500), again.select("document_id", F.when(F.col("document_id") % 9 == 0, "failed").otherwise("ready").alias("status")), path, 8)
+    snapshots.publish(cut(docs, 200), docs.select("document_id", F.lit("ready").alias("status")), path, 0)
+    snapshots.publish(cut(again, 500), again.select("document_id", F.when(F.col("document_id") % 9 == 0, "failed").otherwise("ready").alias("status")), path, 1)
+
+
+CHANGES_SQL = """SELECT doc_id AS document_id, (length(text) + 199) // 200 AS n_before, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE (length(text) + 499) // 500 END AS n_after,
+  CASE WHEN doc_id % 9 = 0 THEN 'removed' WHEN length(text) <= 200 THEN 'same' ELSE 'replaced' END AS change FROM documents WHERE length(text) > 0 AND doc_id % 3 = 0"""
+
+
+@query(CHANGES_SQL)
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second of two batches has changed."""
+    path = new_path(spark, "compared")
+    twice_published(spark, sf_dir, path)
+    return snapshots.changes(spark, path, 1, 2)
+
+
+@query(ORACLES["publish_chunks"])
+def compacted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after compaction, and after all that only older versions need is swept away."""
+    path = new_path(spark, "compacted")
+    twice_published(spark, sf_dir, path)
+    snapshots.compact(spark, path)
+    snapshots.sweep(spark, path, keep=1, older_than_ms=0)
+    return snapshots.snapshot(spark, path)
 
 
 SIZED = Settings(embedding_dimension=64)
