@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import partitions, written
+from lodestone.llm.shared import beside, partitions, written
 
 SHINGLE = 5
 #: The retained share of all hashes is 1 / SCALE, unless another scale is given. Sketches of different scales can't be
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     A null text has an empty sketch and a null least, as has one without words. Older columns of these names are
     replaced, and those named _words and _hashes.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("_words", "_hashes", "sketch", "least")]
+    keep = [F.col(f"`{c}`") for c in beside(docs.columns, "_words", "_hashes", "sketch", "least")]
     split = docs.select(*keep, words_of(F.col("text")).alias("_words"))
     hashed = split.select(*keep, shingle_hashes(F.col("_words")).alias("_hashes"))
     return hashed.select(*keep, retained(F.col("_hashes"), scale).alias("sketch"), F.array_min("_hashes").alias("least"))
@@ -129,7 +129,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edited_contained.
 
-    Reads doc_id and text alone, so other columns don't matter. Null texts count as empty, repeated rows each stand for
+    Reads doc_id, which must be a number, and text alone, so other columns don't matter. Null texts count as empty, repeated rows each stand for
     themselves, very long texts are taken whole, and an empty table gives an empty one. edited_contained is null where
     the text is too short for an estimate.
     """

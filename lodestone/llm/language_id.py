@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import steps, unused
+from lodestone.llm.shared import beside, steps, unused
 
 PROFILE_SIZE = 400
 DOCUMENT_SIZE = 300
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = beside(docs.columns, "lang_pred", "score")
     keep, found = [F.col(f"`{c}`") for c in kept], unused(kept, "judged")
     return docs.select(*keep, judged("text").alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import partitions, written
+from lodestone.llm.shared import beside, partitions, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -66,7 +66,11 @@ class Draws:
 
     def assign(self, rows: DataFrame) -> DataFrame:
         """rows (with doc_id and source) with source_size, target and shards: the shard of each time a row is taken."""
-        own = [F.col(f"`{c}`") for c in rows.columns if c not in ("source_size", "target", "shards")]
+        ours = {c.lower() for c in (*self.sources.columns, *self.draws.columns, "_key")} - {"source_size", "target", "shards"}
+        names = beside(rows.columns, "source_size", "target", "shards")
+        away = {c: unused([*rows.columns, *ours], c) if c.lower() in ours else c for c in names}
+        rows = rows.select(*(F.col(f"`{c}`").alias(away[c]) for c in names))
+        own = [F.col(f"`{away[c]}`") for c in names]
         hint = lambda table, few: F.broadcast(table) if few else table
         keyed = rows.select(*own, source_key(F.col("source")).alias("_source"), row_key(self.seed).alias("_key"))
         sized = keyed.join(hint(self.sources, self.few_sources), "_source", "left")
@@ -75,7 +79,7 @@ class Draws:
         partly = F.col("_last").isNotNull() & ~F.coalesce(F.array_contains("_last", F.col("_key")), F.lit(False))
         none = F.array().cast("array<int>")
         shards = F.when(partly, F.slice("_shards", 1, F.size("_shards") - 1)).otherwise(F.coalesce("_shards", none))
-        return found.select(*own, "source_size", "target", shards.alias("shards"))
+        return found.select(*(F.col(f"`{away[c]}`").alias(c) for c in names), "source_size", "target", shards.alias("shards"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -211,7 +215,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     _, draws = plan(docs, **how)
     rows = draws.assign(docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
-    keep = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "repeat")]
+    keep = [F.col(f"_row.`{c}`").alias(c) for c in beside(docs.columns, "shard", "repeat")]
     taken = rows.select("doc_id", "_row", F.posexplode("shards").alias("repeat", "shard"))
     order = F.xxhash64(F.lit(draws.seed), F.lit("within"), "doc_id", "repeat")
     words = draws.sources.agg(F.sum("target")).first()[0] or 0

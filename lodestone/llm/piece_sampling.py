@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import mixed
-from lodestone.llm.shared import steps, unused
+from lodestone.llm.shared import beside, steps, unused
 
 MARK = 0x2581
 #: Stands for the mark where a text has it.
@@ -353,7 +353,7 @@ def encode(docs: DataFrame, model: str, key: Column | None = None) -> DataFrame:
     blocks, which changes no draw. An empty table gives an empty one. Other columns stay, whatever their names; older
     ones of these two are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "n_pieces")]
+    keep = beside(docs.columns, "ids", "n_pieces")
     seed = unused(keep, "seed")
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col("doc_id") if key is None else key).alias(seed))
     fields = [docs.schema[c] for c in keep]
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, model: str, key: Column | None = None) -> DataFrame:
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """rows with decoded, the text of ids; null for null ids. Other columns stay; an older one of this name is replaced."""
-    keep = [c for c in rows.columns if c != "decoded"]
+    keep = beside(rows.columns, "decoded")
     schema = ", ".join(f"`{rows.schema[c].name}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import Words, mixed
-from lodestone.llm.shared import steps
+from lodestone.llm.shared import beside, steps
 
 #: Labelled rows that the space is fitted on and that vote, at most; a hash of the id chooses among more.
 MAX_VOTERS = 4_000
@@ -165,6 +165,6 @@ def judge(docs: DataFrame, voters: Voters) -> DataFrame:
         found = [shared.value.score(t["text"]) for t in steps(iter([pa.record_batch({"text": pa.array(texts, pa.string())})]))]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    keep = [F.col(f"`{c}`") for c in beside(docs.columns, "score", "predicted")]
     out = docs.select(*keep, scored("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -20,7 +20,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import WORD, written
+from lodestone.llm.shared import WORD, beside, written
 
 WINDOW = 5
 #: Share of a group's rows that the estimate rests on.
@@ -58,7 +58,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_capitals")
     own = ("_words", "_lines", "_symbols", "_capitals", "_grams", "_ordered", "_places")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*new, *own)]
+    keep = [F.col(f"`{c}`") for c in beside(docs.columns, *new, *own)]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     first = docs.select(*keep, words_of(F.col("text")).alias("_words"), lines.alias("_lines"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("_symbols"), F.regexp_count(text, F.lit("\\p{Lu}")).alias("_capitals"))
@@ -218,7 +218,7 @@ def judge(docs: DataFrame) -> DataFrame:
     ones of these names are replaced, and of those named _words, _lines, _symbols, _capitals, _grams, _ordered, _places.
     """
     stats = base_statistics(docs.drop("distance2", "kept"))
-    keep = [c for c in stats.columns if c not in ("text", "n_capitals")]
+    keep = beside(stats.columns, "text", "n_capitals")
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
     named = lambda *columns: F.concat_ws("\x01", F.lit(str(len(columns))), *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
     keys = [named("lang", "source").alias("_own"), named("lang").alias("_wider"), named().alias("_widest")]

@@ -40,6 +40,12 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def beside(columns: list[str], *own: str) -> list[str]:
+    """The columns whose names, in any case, are none of our own: Spark tells names apart without regard to case."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.Table]:
     """The batches cut into runs of rows with at most `limit` bytes of text, so that memory stays bounded."""
     for batch in batches:

@@ -86,8 +86,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 
 def near_chains(prints: DataFrame) -> DataFrame:
-    """(a, b): at each variant, the least fingerprint with each other one, verified and without repeats. Fewer pairs than
-    near_pairs(), with the same connected components."""
+    """(a, b): at each variant, the least fingerprint with each other one, verified and without repeats. No more pairs than
+    near_pairs() has, found by one pass over the sorted variants, with the same connected components."""
     least = F.first("fingerprint").over(Window.partitionBy("variant").orderBy("fingerprint"))
     met = variants(prints).select(least.alias("a"), F.col("fingerprint").alias("b")).filter("a <> b")
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()

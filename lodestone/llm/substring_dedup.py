@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.rolling import Words, mixed
-from lodestone.llm.shared import partitions, steps, unused
+from lodestone.llm.shared import beside, partitions, steps, unused
 
 LENGTH = 35
 PERIOD = 21
@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     older ones of these three are replaced.
     """
     new = ("n_words", "n_removed", "kept_text")
-    own = [c for c in docs.columns if c not in new]
+    own = beside(docs.columns, *new)
     # Columns that are named like ours take other names for a while. They stay columns: a struct of them would be taken
     # apart by the optimizer in some rounds and not in others, which then had to shuffle the texts twice.
     away = {c: unused([*own, *OWN], c) if c.lower() in OWN else c for c in own}

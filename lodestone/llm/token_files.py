@@ -196,7 +196,7 @@ def write_token_files(
 ) -> DataFrame:
     """Writes the token ids of docs (doc_id, text) under `path` in ascending doc_id order; returns the manifest.
 
-    Null and empty texts have the end id alone. Rows with one doc_id stand together, by text. Other columns are not
+    doc_id must be a number. Null and empty texts have the end id alone. Rows with one doc_id stand together, by text. Other columns are not
     read. An empty table gives an empty manifest. A retried task writes the same files under the same names; each file
     gets its name only when it is complete.
     """

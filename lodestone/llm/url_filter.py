@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import beside
+
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
 SHRINK, STEPS = 1e-4, 100
@@ -113,7 +115,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], labelled: DataFram
     texts. Very long URLs are taken whole, repeated rows are judged alike, and an empty table gives an empty one. Other
     columns stay, whatever their names; older ones of these five names are replaced.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    keep = beside(pages.columns, "host", "path", "rule", "verdict", "score")
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
     split = pages.select(row, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
