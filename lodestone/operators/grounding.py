@@ -10,6 +10,7 @@ from lodestone.functions.text import strip
 PAYLOAD = "struct<status: string, claims: array<struct<text: string, evidence_ids: array<string>>>>"
 # Sentences that answers are made of.
 INSUFFICIENT = "I cannot answer reliably from the available Documents. The retrieved evidence does not specifically support an answer to this question."
+NO_EVIDENCE = "I cannot answer reliably from the available Documents. No sufficiently relevant evidence was retrieved from Ready Documents in this Knowledge Base."
 UNVERIFIABLE = "I cannot answer reliably because the generated response could not be verified against the retrieved Documents. Try rephrasing the question or add more specific Documents."
 CONFLICT = "I cannot answer reliably because the retrieved Documents conflict:"
 USAGE_KEYS = ("prompt_tokens", "completion_tokens", "total_tokens")

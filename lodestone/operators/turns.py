@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
 from lodestone.operators.delivery import FAILED
-from lodestone.operators.grounding import INSUFFICIENT, ground, merge_usage
+from lodestone.operators.grounding import NO_EVIDENCE, ground, merge_usage
 from lodestone.operators.retrieval import sufficiency
 
 EXCERPT = 1_500
@@ -29,7 +29,7 @@ def answer_turns(turns: DataFrame, evidence: DataFrame, generations: DataFrame,
     rows = rows.withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>"))).withColumnRenamed("query_id", "turn_id")
     none = F.array().cast("array<string>").alias("used")
     plain = lambda some, outcome, text: some.select("turn_id", F.lit(outcome).alias("outcome"), F.lit(text).alias("content"), none, F.lit(None).cast(USAGE).alias("usage"))
-    refused = plain(rows.filter("NOT sufficient"), "insufficient_evidence", INSUFFICIENT)
+    refused = plain(rows.filter("NOT sufficient"), "insufficient_evidence", NO_EVIDENCE)
     failed = plain(rows.filter("sufficient AND text IS NULL"), "generation_failed", FAILED)
     said = ground(rows.filter("sufficient AND text IS NOT NULL").drop("message_id", "rewrite_usage")).drop("rejected")
     mark = lambda some, generated: some.withColumn("generated", F.lit(generated))

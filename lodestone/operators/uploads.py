@@ -26,12 +26,25 @@ def audit_offsets(receipts: DataFrame) -> DataFrame:
     return rows.withColumn("in_order", F.col("offset_bytes") == F.col("expected_offset"))
 
 
+def reconcile(sessions: DataFrame, as_of: str) -> DataFrame:
+    """The sessions (with expires_at) whose time isn't over: what is judged at a time is judged against these."""
+    return sessions.filter(F.col("expires_at") > F.lit(as_of).cast("timestamp"))
+
+
+def admit(requests: DataFrame, documents: DataFrame, sessions: DataFrame, as_of: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """create_sessions() at a time: sessions whose time is over take no place, aren't resumed and don't conflict; a session
+    that is resumed is renewed like one that is created, and expires_at says until when (null for other outcomes)."""
+    judged = create_sessions(requests, documents, reconcile(sessions, as_of), settings)
+    renewed = F.lit(as_of).cast("timestamp") + F.make_dt_interval(secs=F.lit(settings.upload_session_ttl_seconds))
+    return judged.withColumn("expires_at", F.when(F.col("outcome").isin("resumed", "created"), renewed))
+
+
 def create_sessions(requests: DataFrame, documents: DataFrame, sessions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """requests (request_id, knowledge_base_id, original_name, sha256, size_bytes) with outcome, in order of precedence:
     format, too large, duplicate document, resumed, other file, capacity, created.
 
-    documents: knowledge_base_id, sha256; sessions: knowledge_base_id, declared_sha256, total_bytes, status. Places are
-    given in order of request_id; requests for one file count as one.
+    documents: knowledge_base_id, sha256; sessions: knowledge_base_id, declared_sha256, total_bytes, status, all of them
+    taken to be alive, as admit() sees to. Places are given in order of request_id; requests for one file count as one.
     """
     open_ = sessions.filter("status = 'open'")
     same = open_.groupBy("knowledge_base_id", F.col("declared_sha256").alias("sha256")).agg(F.max("total_bytes").alias("_size"))
@@ -57,7 +70,7 @@ def create_sessions(requests: DataFrame, documents: DataFrame, sessions: DataFra
 
 def complete_sessions(sessions: DataFrame, files: DataFrame, documents: DataFrame, as_of: str, settings: Settings = DEFAULTS) -> DataFrame:
     """sessions with outcome, in order of precedence: completed before, not open, expired, incomplete, no file, other
-    content, duplicate document, capacity, completed.
+    content, capacity, duplicate document, completed.
 
     files: upload_id, size_bytes, sha256 of what has arrived; documents: knowledge_base_id, sha256.
     """

@@ -201,13 +201,20 @@ def upload_admission_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admitted(spark, sf_dir, all_uploads(spark, sf_dir))
 
 
-def admitted(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> DataFrame:
+@query(ORACLES["upload_admission_full"].replace("status = 'open'", f"status = 'open' AND expires_at > TIMESTAMP '{AS_OF}'").replace(" FROM early LEFT JOIN placed", f", CASE WHEN outcome IN ('resumed', 'created') THEN TIMESTAMP '{AS_OF}' + INTERVAL 86400 SECOND END AS expires_at FROM early LEFT JOIN placed"))
+def upload_admission_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the uploads whose time isn't over, and until when what is resumed or created lives."""
+    found = admitted(spark, sf_dir, all_uploads(spark, sf_dir), AS_OF)
+    return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+def admitted(spark: SparkSession, sf_dir: str, sessions: DataFrame, as_of: str | None = None) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
     page = F.col("page_id")
     name = F.when(page % 6 == 0, "a.html").when(page % 6 == 1, "b.PDF").otherwise("c.txt")
     asked = table(spark, sf_dir, "pages").select(page.alias("request_id"), F.concat(F.lit("src"), (page % 20).cast("string")).alias("knowledge_base_id"), sha(page % 700).alias("sha256"), (F.char_length("html") * 20000).alias("size_bytes"), name.alias("original_name"))
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("knowledge_base_id"), sha(F.col("doc_id") % 300).alias("sha256"))
-    return uploads.create_sessions(asked, docs, sessions)
+    return uploads.admit(asked, docs, sessions, as_of) if as_of else uploads.create_sessions(asked, docs, sessions)
 
 
 THROTTLE = Settings(login_window_seconds=3600, login_attempt_limit=5)

@@ -41,7 +41,8 @@ ANSWERS_SQL = RANKED_SQL + f""", enough AS (SELECT a.query_id, coalesce(bool_or(
 kinds AS (SELECT *, (query_id // 100) % {KINDS} AS kind FROM enough),
 good AS (SELECT *, sufficient AND (kind IN (2, 4) OR kind = 0 AND n >= 2) AS good FROM kinds),
 answers AS (SELECT query_id, kind, sufficient, CASE WHEN NOT sufficient OR kind = 1 THEN 'insufficient_evidence' WHEN kind = 3 THEN 'generation_failed' WHEN good THEN 'grounded_answer' ELSE 'validation_rejected' END AS outcome,
-  CASE WHEN NOT sufficient OR kind = 1 THEN '{grounding.INSUFFICIENT}' WHEN kind = 3 THEN '{delivery.FAILED}' WHEN good AND kind = 0 THEN 'First. [1] [2]' WHEN good THEN 'Second. [1]' ELSE '{grounding.UNVERIFIABLE}' END AS content,
+  CASE WHEN NOT sufficient THEN 'I cannot answer reliably from the available Documents. No sufficiently relevant evidence was retrieved from Ready Documents in this Knowledge Base.'
+    WHEN kind = 1 THEN 'I cannot answer reliably from the available Documents. The retrieved evidence does not specifically support an answer to this question.' WHEN kind = 3 THEN '{delivery.FAILED}' WHEN good AND kind = 0 THEN 'First. [1] [2]' WHEN good THEN 'Second. [1]' ELSE '{grounding.UNVERIFIABLE}' END AS content,
   CASE WHEN good AND kind = 0 THEN ['E2', 'E1'] WHEN good THEN ['E1'] ELSE []::VARCHAR[] END AS used FROM good)"""
 
 
