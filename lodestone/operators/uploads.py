@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
-from lodestone.functions.checks import is_sha256
 from lodestone.functions.text import suffix
 from lodestone.sources.formats import MEDIA_TYPES
 
@@ -92,6 +95,29 @@ def complete_sessions(sessions: DataFrame, files: DataFrame, documents: DataFram
     return rows.select("upload_id", "knowledge_base_id", outcome.alias("outcome"))
 
 
+def part_outcome(part: tuple, upload: tuple | None, seen: tuple | None, now: int) -> str:
+    """What one part comes to. part: offset, length, stated digest, bytes and digest of what came; upload: total bytes, bytes
+    of a part, next offset, when its time is over, status; seen: length and digest of what was confirmed at the offset."""
+    offset, length, stated, came, digest = part
+    if not re.fullmatch("[0-9a-f]{64}", stated or ""):
+        return "invalid checksum"
+    if upload is None:
+        return "unknown upload"
+    total, size, at, until, status = upload
+    if until <= now:
+        return "expired"
+    if status != "open":
+        return "not open"
+    if seen is not None:
+        return "confirmed again" if seen == (length, stated) else "other bytes"
+    if offset != at:
+        return "wrong offset"
+    expected = min(size, total - offset)
+    if length != expected or came != expected:
+        return "wrong length"
+    return "stored" if digest == stated else "checksum mismatch"
+
+
 def put_parts(sessions: DataFrame, receipts: DataFrame, parts: DataFrame, as_of: str, settings: Settings = DEFAULTS) -> DataFrame:
     """What each part comes to, as upload_id, sent, outcome, next_offset and expires_at.
 
@@ -101,42 +127,45 @@ def put_parts(sessions: DataFrame, receipts: DataFrame, parts: DataFrame, as_of:
     invalid checksum, unknown upload, expired, not open, confirmed again (the very part was there), other bytes, wrong
     offset, wrong length, checksum mismatch, stored. A part that is stored or confirmed again renews the session.
 
-    An upload's parts are folded in their order; there are at most as many as its bytes and its sender's retries make.
+    Each upload's receipts and parts are sorted into one task and read once, in order; a task has the receipts of one upload
+    at a time, at most as many as its bytes make parts.
     """
+    kind = parts.schema["upload_id"].dataType.simpleString()
     now = F.lit(as_of).cast("timestamp")
-    renewed = now + F.make_dt_interval(secs=F.lit(settings.upload_session_ttl_seconds))
-    known = F.struct(F.col("length_bytes").cast("long").alias("length"), F.lower("sha256").alias("sha256"))
-    before = receipts.groupBy("upload_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset_bytes").cast("long"), known))).alias("_seen"))
-    part = F.struct("sent", F.col("offset_bytes").cast("long").alias("offset"), F.col("length_bytes").cast("long").alias("length"), F.lower("sha256").alias("sha256"), F.col("content_bytes").cast("long").alias("bytes"), "content_sha256")
-    rows = parts.groupBy("upload_id").agg(F.sort_array(F.collect_list(part)).alias("_parts")).join(sessions, "upload_id", "left").join(before, "upload_id", "left")
-    none = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<struct<length: bigint, sha256: string>>"))
-    result = "array<struct<sent: bigint, outcome: string, next_offset: bigint, expires_at: timestamp>>"
-    start = F.struct(F.coalesce("received_bytes", F.lit(0)).cast("long").alias("at"), F.coalesce("_seen", none).alias("seen"), F.col("expires_at").alias("until"), F.array().cast(result).alias("out"))
-
-    def step(state: Column, p: Column) -> Column:
-        there = F.try_element_at(state["seen"], p["offset"])
-        expected = F.least(F.col("part_bytes").cast("long"), F.col("total_bytes") - p["offset"])
-        outcome = (
-            F.when(~is_sha256(p["sha256"]), "invalid checksum")
-            .when(F.col("status").isNull(), "unknown upload")
-            .when(state["until"] <= now, "expired")
-            .when(F.col("status") != "open", "not open")
-            .when((there["length"] == p["length"]) & (there["sha256"] == p["sha256"]), "confirmed again")
-            .when(there.isNotNull(), "other bytes")
-            .when(p["offset"] != state["at"], "wrong offset")
-            .when((p["length"] != expected) | (p["bytes"] != expected), "wrong length")
-            .when(p["content_sha256"] != p["sha256"], "checksum mismatch")
-            .otherwise("stored")
-        )
-        stored, good = outcome == "stored", outcome.isin("stored", "confirmed again")
-        at = state["at"] + F.when(stored, p["length"]).otherwise(0)
-        seen = F.when(stored, F.map_concat(state["seen"], F.create_map(p["offset"], F.struct(p["length"].alias("length"), p["sha256"].alias("sha256"))))).otherwise(state["seen"])
-        until = F.when(good, renewed).otherwise(state["until"])
-        said = F.struct(p["sent"].cast("long").alias("sent"), outcome.alias("outcome"), at.alias("next_offset"), until.alias("expires_at"))
-        return F.struct(at.alias("at"), seen.alias("seen"), until.alias("until"), F.array_append(state["out"], said).alias("out"))
-
-    folded = rows.select("upload_id", F.explode(F.aggregate("_parts", start, step, lambda s: s["out"])).alias("_o"))
-    return folded.select("upload_id", "_o.*")
+    known = sessions.select("upload_id", F.col("total_bytes").cast("long").alias("total"), F.col("part_bytes").cast("long").alias("size"), F.coalesce("received_bytes", F.lit(0)).cast("long").alias("at"), F.unix_micros("expires_at").alias("until"), "status")
+    place = [F.col("offset_bytes").cast("long").alias("offset"), F.col("length_bytes").cast("long").alias("length"), F.lower("sha256").alias("stated")]
+    sent = parts.select("upload_id", F.col("sent").cast("long").alias("sent"), *place, F.col("content_bytes").cast("long").alias("came"), F.col("content_sha256").alias("digest")).join(known, "upload_id", "left")
+    rows = sent.withColumn("is_part", F.lit(True)).unionByName(receipts.select("upload_id", *place).withColumn("is_part", F.lit(False)), allowMissingColumns=True)
+    micros = rows.sparkSession.range(1).select(F.unix_micros(now)).first()[0]
+    renewed = micros + settings.upload_session_ttl_seconds * 1_000_000
+    names = ("upload_id", "is_part", "sent", "offset", "length", "stated", "came", "digest", "total", "size", "at", "until", "status")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now_of, upload, seen, first = None, None, {}, True
+        for batch in batches:
+            out: list[tuple] = []
+            for key, is_part, sent, offset, length, stated, came, digest, *session in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                if first or key != now_of:
+                    now_of, upload, seen, first = key, None, {}, False
+                if not is_part:
+                    seen[offset] = (length, stated)
+                    continue
+                if upload is None and session[-1] is not None:
+                    upload = session
+                outcome = part_outcome((offset, length, stated, came, digest), upload, seen.get(offset), micros)
+                if outcome == "stored":
+                    seen[offset] = (length, stated)
+                    upload[2] += length
+                if outcome in ("stored", "confirmed again"):
+                    upload[3] = renewed
+                out.append((key, sent, outcome, upload[2] if upload else 0, upload[3] if upload else None))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (batch.schema.field("upload_id").type, pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["upload_id", "sent", "outcome", "next_offset", "until"])
+
+    ordered = rows.select(*names).repartition("upload_id").sortWithinPartitions("upload_id", "is_part", "sent")
+    found = ordered.mapInArrow(fold, f"upload_id {kind}, sent long, outcome string, next_offset long, until long")
+    return found.select("upload_id", "sent", "outcome", "next_offset", F.timestamp_micros("until").alias("expires_at"))
 
 
 def end_sessions(sessions: DataFrame, cancelled: DataFrame, as_of: str) -> DataFrame:

@@ -9,9 +9,11 @@ from lodestone.config import DEFAULTS
 from lodestone.functions import checks
 from lodestone.functions.ids import row_id
 from lodestone.operators import access, lifecycle, uploads
-from lodestone.plans.catalog import query, table
+from lodestone.plans.catalog import ORACLES, query, table
 from lodestone.plans.conversation_queries import CITATIONS, citations, messages
 from lodestone.plans.relational_queries import AS_OF, OWNED, UPLOADS, USERS, all_uploads, grants, knowledge_bases, owned, users
+from lodestone.session import new_path
+from lodestone.streaming import events, processors
 
 
 @query(f"WITH {USERS}, {OWNED} SELECT conversation_id, owner_id FROM owned o WHERE EXISTS (SELECT 1 FROM users u WHERE u.user_id = o.owner_id AND is_administrator AND is_enabled) OR EXISTS (SELECT 1 FROM grants g WHERE g.user_id = o.owner_id AND g.knowledge_base_id = o.knowledge_base_id)")
@@ -126,6 +128,31 @@ SELECT upload_id, k AS sent, CASE WHEN kind = 6 THEN CASE WHEN k = 1 THEN 'confi
 def put_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as parts of ten bytes of their orders; some are sent again, changed, cut short, or to an upload whose
     time is over."""
+    return renewals(uploads.put_parts(*sent_parts(spark, sf_dir), AS_OF))
+
+
+@query(ORACLES["put_parts"])
+def stream_put_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts as a stream, in files of no order: uploads are opened, what was confirmed before is sent, then all."""
+    sessions, receipts, parts = sent_parts(spark, sf_dir)
+    now = F.lit(AS_OF).cast("timestamp")
+    opened = sessions.select("upload_id", F.lit(-2).cast("long").alias("sent"), F.lit("open").alias("kind"), "total_bytes", F.col("part_bytes").cast("long").alias("part_bytes"), "expires_at")
+    before = receipts.select("upload_id", F.lit(-1).cast("long").alias("sent"), F.lit("part").alias("kind"), "offset_bytes", "length_bytes", "sha256", F.col("length_bytes").alias("content_bytes"), F.col("sha256").alias("content_sha256"))
+    ended = sessions.select("upload_id", F.lit(1 << 30).cast("long").alias("sent"), F.lit("complete").alias("kind"))
+    rows = opened.unionByName(before, True).unionByName(ended, True).unionByName(parts.withColumn("kind", F.lit("part")), True).withColumn("ts", now)
+    typed = rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in PART_TYPES.items()))
+    path = new_path(spark, "part-files")
+    typed.repartition(5, "offset_bytes", "sent").write.parquet(path)
+    with processors.state_on_disk(spark):
+        found = events.run_available(processors.put_parts_stream(spark.readStream.schema(typed.schema).parquet(path)), "put-parts")
+    return renewals(found.filter(f"sent BETWEEN 1 AND {(1 << 30) - 1}"))
+
+
+PART_TYPES = {"upload_id": "long", "ts": "timestamp", "sent": "long", "kind": "string", "total_bytes": "long", "part_bytes": "long", "expires_at": "timestamp", "offset_bytes": "long", "length_bytes": "long", "sha256": "string", "content_bytes": "long", "content_sha256": "string"}
+
+
+def sent_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, receipts and parts of put_parts()."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("k"))
     kind = F.col("upload_id") % 8
     at = F.least((F.col("k") - 1) * 10, F.col("total_bytes"))
@@ -140,7 +167,10 @@ def put_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = digest(F.col("upload_id"), F.col("offset_bytes"))
     stated = F.when(bad, "no digest").when(other, digest(F.lit("other"))).otherwise(own)
     parts = rows.select("upload_id", F.col("k").alias("sent"), "offset_bytes", length.alias("length_bytes"), stated.alias("sha256"), length.alias("content_bytes"), F.when(broken, digest(F.lit("broken"))).otherwise(own).alias("content_sha256"))
-    found = uploads.put_parts(sessions, receipts, parts, AS_OF)
+    return sessions, receipts, parts
+
+
+def renewals(found: DataFrame) -> DataFrame:
     renewed = F.col("expires_at") == F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(secs=F.lit(DEFAULTS.upload_session_ttl_seconds))
     return found.select("upload_id", "sent", "outcome", "next_offset", renewed.alias("renewed"))
 
