@@ -17,6 +17,7 @@ from lodestone.operators.chunking import chunk_guard, chunk_sections
 from lodestone.plans.catalog import ORACLES, query, table
 from lodestone.plans.retrieval_queries import CHUNKS_SQL, WHITE
 from lodestone.session import new_path
+from lodestone.sources import sink
 from lodestone.sources.formats import WORD_SPACE, extract_documents
 
 BATCH = DEFAULTS.embedding_batch_size
@@ -156,3 +157,21 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedding.read_responses(responses(spark, sf_dir), SIZED)[1]
     at = lambda k: F.round(F.element_at("embedding", k).cast("float").cast("double"), 5)
     return rows.select("request_id", "position", at(1).alias("first"), at(64).alias("last"))
+
+
+STORED_BYTES = 4_000
+
+
+@query(f"""WITH d AS (SELECT doc_id AS file_id, strlen(coalesce(text, '')) AS size, text, ['text/plain', 'text/markdown', 'text/markdown', NULL][doc_id % 4 + 1] AS media_type FROM documents),
+e AS (SELECT *, CASE WHEN media_type IS NULL THEN 'suffix' WHEN size > {STORED_BYTES} THEN 'too large' WHEN size = 0 THEN 'empty' WHEN contains(text, chr(0)) THEN 'binary data' END AS error FROM d)
+SELECT file_id, 'doc' || file_id || ['.txt', '.md', '.MARKDOWN', '.html'][file_id % 4 + 1] AS original_name, media_type, CASE WHEN error IS NULL THEN size END AS size_bytes, CASE WHEN error IS NULL THEN sha256(text) END AS sha256, error, error IS NULL AS intact FROM e""")
+def one_shot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as files and read back; those that are too long, empty or of a wrong kind leave nothing."""
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".MARKDOWN", ".html"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    uploads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("C:\\files\\doc"), F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").cast("binary").alias("content"))
+    path = new_path(spark, "stored-files")
+    kept = sink.store_files(uploads, path, STORED_BYTES)
+    back = sink.stored_content(spark, path).select("storage_key", F.sha2("content", 256).alias("_sha256"), F.octet_length("content").alias("_size"))
+    rows = kept.join(back, "storage_key", "left")
+    intact = F.coalesce((F.col("_sha256") == F.col("sha256")) & (F.col("_size") == F.col("size_bytes")), F.lit(False))
+    return rows.select("file_id", "original_name", "media_type", "size_bytes", "sha256", "error", intact.alias("intact"))
