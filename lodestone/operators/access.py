@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Places that the product of administrators and knowledge bases is dealt out to.
@@ -58,11 +58,15 @@ def update_knowledge_bases(knowledge_bases: DataFrame, changes: DataFrame, as_of
     description; null: as it is), with outcome: changed, same, or name taken, in which case nothing changes. Of several
     that want one name, the least id gets it, and only if nobody has it now."""
     new = changes.select("knowledge_base_id", F.trim("name").alias("_name"), F.col("description").alias("_description"))
-    held = knowledge_bases.select(F.col("name").alias("_name"), F.col("knowledge_base_id").alias("_holder"))
-    rows = knowledge_bases.join(new, "knowledge_base_id", "left").join(held, "_name", "left")
     renamed = F.col("_name").isNotNull() & (F.col("_name") != F.col("name"))
-    turn = F.row_number().over(Window.partitionBy("_name").orderBy(F.when(renamed, 0).otherwise(1), "knowledge_base_id"))
-    taken = renamed & (F.col("_holder").isNotNull() | (F.when(F.col("_name").isNotNull(), turn) > 1))
+    # Names are judged among the rows that change theirs alone; all others would meet under no name.
+    asked = new.join(knowledge_bases.select("knowledge_base_id", "name"), "knowledge_base_id").filter(renamed).select("knowledge_base_id", "_name")
+    held = knowledge_bases.select(F.col("name").alias("_name")).distinct().withColumn("_held", F.lit(True))
+    first = asked.groupBy("_name").agg(F.min("knowledge_base_id").alias("_first"))
+    judged = asked.join(first, "_name").join(held, "_name", "left")
+    lost = judged.filter(F.col("_held").isNotNull() | (F.col("_first") != F.col("knowledge_base_id"))).select("knowledge_base_id", F.lit(True).alias("_lost"))
+    rows = knowledge_bases.join(new, "knowledge_base_id", "left").join(lost, "knowledge_base_id", "left")
+    taken = F.col("_lost").isNotNull()
     differs = renamed | (F.col("_description").isNotNull() & ~F.col("_description").eqNullSafe(F.col("description")))
     outcome = F.when(taken, "name taken").when(differs, "changed").otherwise("same")
     pick = lambda new, old: F.when(F.col("outcome") == "changed", F.coalesce(new, old)).otherwise(F.col(old)).alias(old)

@@ -104,6 +104,13 @@ def answer_prompt(question: Column, history: Column, evidence: Column) -> Column
     return F.to_json(F.struct(F.lit(ANSWER_TASK).alias("instruction"), question.alias("question"), history.alias("history"), evidence.alias("evidence")))
 
 
+def request_body(messages: Column, model: Column, stream: bool, max_tokens: int) -> Column:
+    """What is sent to a provider of chat completions, as JSON: messages (an array of role and content) in order, for an
+    answer of JSON, always the likeliest, without reasoning."""
+    fixed = [F.lit(stream).alias("stream"), F.lit(0.0).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), F.lit("none").alias("reasoning_effort"), F.struct(F.lit("json_object").alias("type")).alias("response_format")]
+    return F.to_json(F.struct(model.alias("model"), messages.alias("messages"), *fixed))
+
+
 def rewrite_prompt(question: Column, history: Column) -> Column:
     """The request to put a follow-up into words of its own."""
     return F.to_json(F.struct(F.lit(REWRITE_TASK).alias("instruction"), question.alias("question"), history.alias("history")))

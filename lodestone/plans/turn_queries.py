@@ -103,3 +103,19 @@ def prompt_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.select("conversation_id", "sequence", grounding.answer_prompt(F.col("content"), F.col("history"), sources).alias("a"), grounding.rewrite_prompt(F.col("content"), F.col("history")).alias("b"), grounding.repair_prompt(F.col("content"), sources, F.lit("own marker")).alias("c"))
     get = F.get_json_object
     return made.select("conversation_id", "sequence", get("a", "$.question").alias("question"), F.json_array_length(get("b", "$.history")).alias("n_history"), get("a", "$.evidence[0].evidence_id").alias("evidence_id"), get("c", "$.rejected").alias("rejected"))
+
+
+@query(f"""WITH {MESSAGES} SELECT u.conversation_id, u.sequence, 'a-model' AS model, count(h.id)::INTEGER + 2 AS n_messages, 'system' AS first_role, u.content AS last_content, true AS stream, 0.0::DOUBLE AS temperature, 1200 AS max_tokens, 'none' AS reasoning, 'json_object' AS format
+FROM messages u LEFT JOIN LATERAL (SELECT * FROM messages m WHERE m.conversation_id = u.conversation_id AND m.sequence < u.sequence AND m.status = 'complete' ORDER BY m.sequence DESC LIMIT 8) h ON true WHERE u.role = 'user' GROUP BY 1, 2, 3, 6""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of each question's request, with the turns before it, read back."""
+    rows = conversations.with_history(messages(spark, sf_dir))
+    said = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    turns_before = F.transform("history", lambda h: said(h["role"], h["content"]))
+    all_ = F.concat(F.array(said(F.lit("system"), F.lit(grounding.ANSWER_TASK))), turns_before, F.array(said(F.lit("user"), F.col("content"))))
+    body = rows.select("conversation_id", "sequence", grounding.request_body(all_, F.lit("a-model"), True, 1_200).alias("body"))
+    read = body.select("conversation_id", "sequence", F.from_json("body", "model string, messages array<struct<role: string, content: string>>, stream boolean, temperature double, max_tokens int, reasoning_effort string, response_format struct<type: string>").alias("b"))
+    return read.select(
+        "conversation_id", "sequence", "b.model", F.size("b.messages").alias("n_messages"), F.element_at("b.messages", 1)["role"].alias("first_role"), F.element_at("b.messages", -1)["content"].alias("last_content"),
+        "b.stream", "b.temperature", "b.max_tokens", F.col("b.reasoning_effort").alias("reasoning"), F.col("b.response_format.type").alias("format"),
+    )
