@@ -30,6 +30,8 @@ PLACES = 6
 SLICE_CHUNKS = 8_192
 #: Chunks that a slice of a small table has at least, when it is cut so that all tasks have one.
 LEAST_SLICE = 256
+#: Groups of chunks (such as knowledge bases) whose sizes are broadcast.
+BROADCAST_GROUPS = 100_000
 #: Slices of each search that are read before any is left out.
 FIRST_SLICES = 4
 #: Searches that meet the blocks of a slice in one task, about.
@@ -187,20 +189,28 @@ def store_postings(texts: DataFrame, path: str, buckets: int = 64, within: Seque
     """Stores the postings of chunks (chunk_id, text, and the columns `within` that searches are held to) in blocks, and
     returns them: bucket (the folder), within, slice, term, n (chunks that have the term), most (that one has of it), chunks,
     sizes (how many each has), and places (from 1, chunk after chunk). Texts are shuffled once, by slice; blocks once more, to
-    their folders, where a file has the blocks of some slices by term. Chunks without a term have no postings."""
+    their folders, where a file has the blocks of some slices by term. Each group of chunks that searches are held to has as
+    many slices as its size asks for. Chunks without a term have no postings."""
     spark = texts.sparkSession
-    n, tasks = texts.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, -(-n // slice_chunks), min(2 * tasks, n // LEAST_SLICE))
-    sliced = texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), *within, "text", F.pmod(F.xxhash64(F.col("chunk_id").cast("long")), F.lit(slices)).cast("int").alias("slice"))
-    at = sliced.repartition("slice").select("chunk_id", *within, "slice", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    sizes = _stored(texts.groupBy(*within).agg(F.count("*").alias("n")), "sizes")
+    groups, n = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_chunks), F.least(F.lit(2 * tasks), F.floor(F.col("n") / LEAST_SLICE)))
+    sizes = sizes.select(*(F.col(c).alias(f"of_{c}") for c in within), many.cast("long").alias("slices"))
+    same = reduce(Column.__and__, (texts[c].eqNullSafe(sizes[f"of_{c}"]) for c in within), F.lit(True))
+    chunk = F.col("chunk_id").cast("long")
+    counted = texts.select("chunk_id", *within, "text").join(F.broadcast(sizes) if groups <= BROADCAST_GROUPS else sizes, same)
+    sliced = counted.select(chunk.alias("chunk_id"), *within, "text", F.pmod(F.xxhash64(chunk), F.col("slices")).cast("int").alias("slice"))
+    at = sliced.repartition(*within, "slice").select("chunk_id", *within, "slice", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     each = at.groupBy("slice", *within, "term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("places"))
     rows = each.groupBy("slice", *within, "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "places"))).alias("rows"))
     blocks = rows.select(
         _bucket(F.col("term"), buckets).alias("bucket"), *within, "slice", "term", F.size("rows").alias("n"), F.array_max(F.transform("rows", lambda r: F.size(r["places"]))).alias("most"),
         F.transform("rows", lambda r: r["chunk_id"]).alias("chunks"), F.transform("rows", lambda r: F.size(r["places"])).alias("sizes"), F.flatten(F.transform("rows", lambda r: r["places"])).alias("places"),
     )
-    dealt = blocks.repartition("bucket", F.pmod("slice", F.lit(max(1, slices // 64))))
-    dealt.sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
+    deals = max(1, n // (64 * slice_chunks))
+    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64(*within, "slice"), F.lit(deals)))
+    dealt.sortWithinPartitions("bucket", "term", *within, "slice").write.partitionBy("bucket").parquet(path)
     return spark.read.schema(blocks.schema).parquet(path)
 
 
