@@ -28,7 +28,7 @@ from lodestone.sources.formats import media_type, sniff
 
 STEP = 1 << 20
 INDEX = "file_id long, storage_key string, size_bytes long, sha256 string, error string"
-_INDEX = pa.schema([("file_id", pa.int64()), ("storage_key", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string()), ("error", pa.string())])
+INDEX_FIELDS = pa.schema([("file_id", pa.int64()), ("storage_key", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string()), ("error", pa.string())])
 
 
 @dataclass
@@ -65,7 +65,7 @@ class FilesWriter(DataSourceArrowWriter):
                 rows.append((file_id, *self.put(files, folder, memoryview(content.as_buffer() or b""))))
         if not rows:
             return Written()
-        table = pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX)
+        table = pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), INDEX_FIELDS, strict=True)], schema=INDEX_FIELDS)
         pq.write_table(table, f"{folder}/index.parquet", filesystem=files)
         return Written(PurePosixPath(folder).name)
 
