@@ -41,32 +41,36 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
 
 
-def docx_error(file: BinaryIO) -> str | None:
+def docx_error(file: BinaryIO, max_expanded: int = MAX_DOCX_BYTES) -> str | None:
     """What is wrong with a file as a DOCX, from its table of members alone."""
     try:
         with zipfile.ZipFile(file) as archive:
-            if sum(x.file_size for x in archive.infolist()) > MAX_DOCX_BYTES:
+            if sum(x.file_size for x in archive.infolist()) > max_expanded:
                 return "expands too far"
             return None if {"[Content_Types].xml", "word/document.xml"} <= set(archive.namelist()) else "not a DOCX"
     except (zipfile.BadZipFile, ValueError, NotImplementedError):  # what a file too short to seek in raises goes by its system
         return "not a DOCX"
 
 
-@F.pandas_udf(StringType())
-def _docx_error(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: docx_error(io.BytesIO(c)) if c is not None else None)
+def _docx_errors(content: Column, max_expanded: int) -> Column:
+    @F.pandas_udf(StringType())
+    def check(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: docx_error(io.BytesIO(c), max_expanded) if c is not None else None)
+
+    return check(content)
 
 
 def text_error(content: Column) -> Column:
     return F.when(F.contains(content, F.lit(b"\x00")), "binary data").when(~F.is_valid_utf8(content.cast("string")), "not UTF-8")
 
 
-def sniff(files: DataFrame) -> DataFrame:
-    """files (content, suffix) with media_type and format_error; the type is null where there is an error."""
+def sniff(files: DataFrame, max_expanded: int = MAX_DOCX_BYTES) -> DataFrame:
+    """files (content, suffix) with media_type and format_error; the type is null where there is an error. A DOCX whose
+    members are of more than max_expanded bytes together is one."""
     kinds = files.withColumn("_kind", media_type(F.col("suffix")))
     pdf = F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
     zipped = F.when(F.col("suffix") == ".docx", F.col("content"))
-    error = F.when(F.col("_kind").isNull(), "suffix").when(F.col("suffix") == ".pdf", pdf).when(F.col("suffix") == ".docx", _docx_error(zipped)).otherwise(text_error(F.col("content")))
+    error = F.when(F.col("_kind").isNull(), "suffix").when(F.col("suffix") == ".pdf", pdf).when(F.col("suffix") == ".docx", _docx_errors(zipped, max_expanded)).otherwise(text_error(F.col("content")))
     rows = kinds.withColumn("format_error", error)
     return rows.withColumn("media_type", F.when(F.col("format_error").isNull(), F.col("_kind"))).drop("_kind")
 
@@ -182,7 +186,7 @@ def docx_sections(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages
     return files.select("document_id", extract("content").alias("_x")).select("document_id", "_x.*")
 
 
-def extract_documents(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages) -> tuple[DataFrame, DataFrame]:
+def extract_documents(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages, max_expanded: int = MAX_DOCX_BYTES) -> tuple[DataFrame, DataFrame]:
     """What files (document_id, suffix, content) hold: (document_id, media_type, page_count, error) of each, and the
     sections (document_id, section_no, text, section, line_start, line_end) of those that can be read.
 
@@ -190,7 +194,7 @@ def extract_documents(files: DataFrame, max_pages: int = DEFAULTS.max_document_p
     those are reported as not supported. A text without anything to read is an error, as is a format that isn't what
     its name says.
     """
-    kinds = sniff(files)
+    kinds = sniff(files, max_expanded)
     of = lambda suffix: kinds.filter(F.col("media_type") == MEDIA_TYPES[suffix])
     columns = ["document_id", "section_no", "text", "section", "line_start", "line_end"]
     plain = text_sections(of(".txt").select("document_id", decoded(F.col("content")).alias("text"))).select(columns)
