@@ -153,6 +153,19 @@ def hybrid_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).select("query_id", "chunk_id", "document_id", "similarity", "lexical_score", "fused_score", "retrieval_rank", "evidence_id")
 
 
+# The same with two embedding models: chunks go by whether their number is odd, queries by that of their hundreds.
+MODELS_SQL = RANKED_SQL.replace("d.source AS kb, d.text", "d.source || '/' || (d.doc_id % 2) AS kb, d.text").replace("doc_id AS query_id, source AS kb, term", "doc_id AS query_id, source || '/' || (doc_id // 100 % 2) AS kb, term").replace("d.source AS kb, e.embedding", "d.source || '/' || (d.doc_id // 100 % 2) AS kb, e.embedding")
+
+
+@query(MODELS_SQL + " SELECT query_id, chunk_id, document_id, similarity, lexical_score, fused_score, retrieval_rank FROM evidence")
+def hybrid_evidence_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from the chunks alone that have vectors of the query's own embedding model."""
+    model = lambda number: F.concat(F.lit("model-"), F.pmod(number, F.lit(2)).cast("string"))
+    chunks = hybrid_chunks(spark, sf_dir).withColumn("embedding_model", model(F.col("chunk_id")))
+    asked = hybrid_queries(spark, sf_dir).withColumn("embedding_model", model(F.floor(F.col("query_id") / 100)))
+    return retrieval.retrieve(chunks, asked).select("query_id", "chunk_id", "document_id", "similarity", "lexical_score", "fused_score", "retrieval_rank")
+
+
 @query(RANKED_SQL + """ SELECT query_id, coalesce(bool_or(similarity >= 0.28 OR lexical_score >= 0.01), false) AS sufficient, count(*) AS n_evidence FROM evidence GROUP BY 1""")
 def evidence_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sufficiency(evidence(spark, sf_dir))
