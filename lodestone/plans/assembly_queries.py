@@ -12,7 +12,7 @@ from lodestone.operators.completion import complete_uploads
 from lodestone.plans.catalog import query, table
 from lodestone.plans.relational_queries import AS_OF
 from lodestone.session import new_path
-from lodestone.sources import assembly, sink
+from lodestone.sources import assembly
 
 STEP = 700
 
@@ -58,7 +58,7 @@ def assembled_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What completing uploads from their parts comes to, with the documents made; their files are read back."""
     path = new_path(spark, "assembled")
     states, made = completed(spark, sf_dir, path)
-    back = sink.stored_content(spark, path).select("storage_key", F.sha2("content", 256).alias("read"))
+    back = assembly.hash_files(made, path).select("storage_key", F.col("sha256").alias("read"))
     docs = made.join(back, "storage_key", "left").select("document_id", F.col("status").alias("document_status"), "media_type", "size_bytes", "sha256", (F.col("read") == F.col("sha256")).alias("intact"))
     rows = states.join(docs, "document_id", "left").withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
     return rows.select("upload_id", "outcome", "status", "expires_at", "document_status", "media_type", "size_bytes", "sha256", F.coalesce("intact", F.lit(False)).alias("intact"))

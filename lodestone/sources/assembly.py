@@ -155,6 +155,32 @@ def assemble(files: DataFrame, parts: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(*indexes) if indexes else spark.createDataFrame([], INDEX)
 
 
+def hash_files(keys: DataFrame, path: str) -> DataFrame:
+    """(storage_key, size_bytes, sha256) of the files under a path that have the keys (storage_key), each once, read by tasks
+    a megabyte at a time; both are null where there is no such file. Nothing of the files passes the driver, not their
+    names either."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(f"{path}/files")
+        for batch in batches:
+            found = []
+            for key in batch["storage_key"].to_pylist():
+                digest, size = hashlib.sha256(), 0
+                try:
+                    with files.open_input_stream(f"{root}/{key}") as file:
+                        while piece := file.read(STEP):
+                            digest.update(piece)
+                            size += len(piece)
+                except FileNotFoundError:
+                    found.append((key, None, None))
+                else:
+                    found.append((key, size, digest.hexdigest()))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["storage_key", "size_bytes", "sha256"])
+
+    return keys.select("storage_key").filter("storage_key IS NOT NULL").distinct().mapInArrow(read, "storage_key string, size_bytes long, sha256 string")
+
+
 def files_there(spark: SparkSession, path: str) -> DataFrame:
     """(storage_key, size_bytes, modified_at) of the files that are there, whether or not an index has them. The driver names
     the folders of committed tasks; what lies in them is listed by tasks."""

@@ -51,6 +51,9 @@ def test_parts_in_any_order_make_the_whole(spark):
     read = {r.storage_key: bytes(r.content) for r in sink.stored_content(spark, path).collect()}
     assert all(read[found[k].storage_key] == c for k, (_, c) in contents.items())
     assert {r.storage_key for r in assembly.files_there(spark, path).collect()} == set(read)
+    keys = spark.createDataFrame([(k,) for k in [*read, *read, "gone/aa/aa", None]], "storage_key string")
+    hashed = {r.storage_key: (r.size_bytes, r.sha256) for r in assembly.hash_files(keys, path).collect()}
+    assert hashed == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in read.items()} | {"gone/aa/aa": (None, None)}
 
 
 def test_what_is_wrong_leaves_nothing(spark):
