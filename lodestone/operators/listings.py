@@ -42,8 +42,8 @@ def placed(rows: DataFrame, order: list[Column], within: list[str] | None = None
     for found in sorted(sizes, key=lambda r: r.task):
         before[found.task], total = total, total + found.n
     starts = spark.createDataFrame(list(before.items()), "task long, before long")
-    numbered = stored.withColumn("place", row + 1).withColumn("task", task).join(F.broadcast(starts), "task").withColumn("place", F.col("place") + F.col("before"))
-    numbered = numbered.drop("task", "before")
+    numbered = stored.withColumns({"task": task, "place": row + 1}).join(F.broadcast(starts), "task")
+    numbered = numbered.withColumn("place", F.col("place") + F.col("before")).drop("task", "before")
     if not keys:
         return numbered
     firsts = numbered.groupBy(*(F.col(k).alias(f"group_{i}") for i, k in enumerate(keys))).agg((F.min("place") - 1).alias("group_before"))

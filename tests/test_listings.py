@@ -36,6 +36,17 @@ def test_no_task_of_a_listing_has_a_whole_group(spark):
     assert found.agg(F.min("place"), F.max("place"), F.countDistinct("place")).first()[:] == (1, 4_000, 4_000)
 
 
+def test_places_go_on_from_task_to_task(spark):
+    rows = spark.range(4_000).select("id", (F.col("id") % 3).alias("kind")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables are sorted in one task else
+    try:
+        over_all = listings.placed(rows, [F.col("id")])
+        wrong = over_all.filter("place <> id + 1").count() + listings.placed(rows, [F.col("id")], ["kind"]).filter("place <> id DIV 3 + 1").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (over_all.count(), wrong) == (4_000, 0)
+
+
 def test_only_public_columns(spark):
     rows = spark.createDataFrame([(1, "a", False, True, "x", "secret")], "user_id int, username string, is_administrator boolean, is_enabled boolean, created_at string, password_hash string")
     assert listings.list_users(rows).columns == ["place", "user_id", "username", "is_administrator", "is_enabled", "created_at"]
