@@ -163,7 +163,8 @@ def put_parts(sessions: DataFrame, receipts: DataFrame, parts: DataFrame, as_of:
             kinds = (batch.schema.field("upload_id").type, pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["upload_id", "sent", "outcome", "next_offset", "until"])
 
-    ordered = rows.select(*names).repartition("upload_id").sortWithinPartitions("upload_id", "is_part", "sent")
+    # Dealt by a hash of the id: by the id itself, as its two sides are dealt already, a union isn't dealt again, and then adaptive execution coalesces each side by itself.
+    ordered = rows.select(*names).repartition(F.xxhash64("upload_id")).sortWithinPartitions("upload_id", "is_part", "sent")
     found = ordered.mapInArrow(fold, f"upload_id {kind}, sent long, outcome string, next_offset long, until long")
     return found.select("upload_id", "sent", "outcome", "next_offset", F.timestamp_micros("until").alias("expires_at"))
 

@@ -85,6 +85,25 @@ def test_parts_in_turn(spark):
     assert [r.next_offset for r in got[:8]] == [10, 10, 10, 10, 20, 20, 20, 25]
 
 
+def test_receipts_and_parts_that_are_dealt_by_upload_already(spark):
+    digest = F.lit("a" * 64)
+    ids = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("upload_id"))
+    until = F.lit("2030-01-01").cast("timestamp")
+    sessions = ids.select("upload_id", F.lit(10).alias("total_bytes"), F.lit(10).alias("part_bytes"), F.lit(10).alias("received_bytes"), F.lit("open").alias("status"), until.alias("expires_at"))
+    receipts = ids.groupBy("upload_id").agg(F.lit(0).alias("offset_bytes"), F.lit(10).alias("length_bytes"), digest.alias("sha256"))
+    lines = ids.select("upload_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("sent")).groupBy("upload_id", "sent").count().repartition("upload_id")
+    parts = lines.select("upload_id", "sent", F.lit(0).alias("offset_bytes"), F.lit(10).alias("length_bytes"), digest.alias("sha256"), F.lit(10).alias("content_bytes"), digest.alias("content_sha256"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        said = uploads.put_parts(sessions, receipts, parts, "2024-01-01").groupBy("outcome").count().collect()
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.coalescePartitions.parallelismFirst", "adaptive.advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert [tuple(r) for r in said] == [("confirmed again", 600_000)]
+
+
 def test_the_first_administrator(spark):
     users = spark.createDataFrame([(1, "Ann", False), (2, "bob", False)], "user_id int, username string, is_administrator boolean")
     wanted = spark.createDataFrame([(5, "cy"), (4, "ANN")], "user_id int, username string")
