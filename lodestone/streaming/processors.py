@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from lodestone.config import DEFAULTS, Settings
@@ -114,63 +115,76 @@ def throttle_runs(attempts: DataFrame, settings: Settings = DEFAULTS, late: str
     return keyed.transformWithStateInPandas(Throttle(settings), RUN_SCHEMA, "Append", "EventTime")
 
 
-class PutParts(_Timed):
-    """Parts of one upload: see put_parts_stream()."""
+class PutParts(StatefulProcessor):
+    """Parts of one upload: see put_parts_stream(). Rows are plain, times microseconds, and state is read and written once a
+    key and micro-batch, since each call goes to Spark and back; an upload that ends in the micro-batch it began in leaves
+    nothing to write."""
 
     def __init__(self, settings: Settings) -> None:
         self.ttl = settings.upload_session_ttl_seconds * 1_000_000
 
     def init(self, handle) -> None:
-        super().init(handle)
-        self.upload = handle.getValueState("upload", "total long, part long, next long, expires long")
-        self.receipts = handle.getMapState("receipts", "offset long", "length long, sha256 string")
-
-    def forget(self) -> None:
-        self.upload.clear()
-        self.receipts.clear()
+        self.handle = handle
+        self.upload = handle.getValueState("upload", "total long, part long, next long, expires long, timer long")
+        self.receipts = handle.getListState("receipts", "offset long, length long, sha256 string")
 
-    def judged(self, now: int, upload: tuple | None, part) -> str:
-        offset, stated = int(part.offset_bytes), (part.sha256 or "").lower()  # pandas has numbers with gaps as floats
-        seen = tuple(self.receipts.getValue((offset,))) if upload and self.receipts.containsKey((offset,)) else None
-        return part_outcome((offset, part.length_bytes, stated, part.content_bytes, part.content_sha256), (*upload, "open") if upload else None, seen, now)
+    def close(self) -> None:
+        pass
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "sent"])
-        upload, out = self.upload.get() if self.upload.exists() else None, []
-        for now, part in zip(_micros(frame["ts"]), frame.itertuples(index=False), strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.upload.get()
+        upload, timer = (tuple(before[:4]), before[4]) if before else (None, None)
+        seen = {offset: (length, digest) for offset, length, digest in self.receipts.get()} if before else {}
+        kept, out = len(seen), []  # how many of seen are stored already
+        for part in sorted(rows, key=lambda r: (r.now, r.sent is None, r.sent or 0)):
             if part.kind == "open":
-                if upload is None:
-                    upload = (int(part.total_bytes), int(part.part_bytes), 0, _micros(pd.Series([part.expires_at]))[0])
+                upload = upload or (part.total_bytes, part.part_bytes, 0, part.until)
                 continue
             if part.kind in ("cancel", "complete"):
                 whole = part.kind == "cancel" or upload is not None and upload[2] == upload[0]
                 said = "unknown upload" if upload is None else "incomplete" if not whole else {"cancel": "cancelled"}.get(part.kind, "complete")
-                out.append((key[0], int(part.sent), said, upload[2] if upload else 0, None))
+                out.append(PART_ROW(key[0], part.sent, said, upload[2] if upload else 0, None))
                 if upload is not None and whole:
-                    self.forget()
-                    upload = None
+                    upload, seen, kept = None, {}, None  # nothing of what is stored stays
                 continue
-            said = self.judged(now, upload, part)
+            stated = (part.sha256 or "").lower()
+            came = (part.offset_bytes, part.length_bytes, stated, part.content_bytes, part.content_sha256)
+            said = part_outcome(came, (*upload, "open") if upload else None, seen.get(part.offset_bytes) if upload else None, part.now)
             if said in ("stored", "confirmed again"):
                 total, size, at, _ = upload
                 if said == "stored":
-                    self.receipts.updateValue((int(part.offset_bytes),), (int(part.length_bytes), part.sha256.lower()))
-                    at += int(part.length_bytes)
-                upload = (total, size, at, now + self.ttl)
-            out.append((key[0], int(part.sent), said, upload[2] if upload else 0, _time(upload[3]) if upload else None))
-        if upload:
-            self.upload.update(upload)
-        self.wake_at(upload[3] if upload else None, timerValues)
-        yield pd.DataFrame(out, columns=PART_NAMES)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                    seen[part.offset_bytes] = (part.length_bytes, stated)
+                    at += part.length_bytes
+                upload = (total, size, at, part.now + self.ttl)
+            out.append(PART_ROW(key[0], part.sent, said, upload[2] if upload else 0, upload[3] if upload else None))
+        self.store(before, upload, timer, seen, kept, timerValues)
+        yield from out
+
+    def store(self, before: tuple | None, upload: tuple | None, timer: int | None, seen: dict, kept: int | None, timers) -> None:
+        wake = None if upload is None else max(-(-upload[3] // 1000), timers.getCurrentWatermarkInMs() + 1)
+        if timer is not None and timer != wake:
+            self.handle.deleteTimer(timer)
+        if wake is not None and timer != wake:
+            self.handle.registerTimer(wake)
+        fresh = [(offset, *receipt) for offset, receipt in list(seen.items())[kept or 0 :]]
+        if before and kept is None:
+            self.receipts.clear()
+        if fresh:
+            self.receipts.appendList(fresh)
+        if upload is not None:
+            self.upload.update((*upload, wake))
+        elif before:
+            self.upload.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upload = self.upload.get()
-        self.forget()
-        yield pd.DataFrame([(key[0], None, "over", upload[2], _time(upload[3]))], columns=PART_NAMES)
+        self.upload.clear()
+        self.receipts.clear()
+        yield PART_ROW(key[0], None, "over", upload[2], upload[3])
 
 
-PART_NAMES = ["upload_id", "sent", "outcome", "next_offset", "expires_at"]
-PART_SCHEMA = "upload_id long, sent long, outcome string, next_offset long, expires_at timestamp"
+PART_ROW = Row("upload_id", "sent", "outcome", "next_offset", "until")
+PART_SCHEMA = "upload_id long, sent long, outcome string, next_offset long, until long"
 
 
 def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes") -> DataFrame:
@@ -182,5 +196,6 @@ def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str
     when the watermark passes the time of an upload that no part has renewed. After complete, cancelled and over nothing is
     kept of an upload, and its parts are of an unknown one; until then, its receipts.
     """
-    keyed = parts.withWatermark("ts", late).groupBy("upload_id")
-    return keyed.transformWithStateInPandas(PutParts(settings), PART_SCHEMA, "Append", "EventTime")
+    plain = parts.withWatermark("ts", late).withColumns({"now": F.unix_micros("ts"), "until": F.unix_micros("expires_at")}).drop("expires_at")
+    told = plain.groupBy("upload_id").transformWithState(PutParts(settings), PART_SCHEMA, "Append", "EventTime")
+    return told.select("upload_id", "sent", "outcome", "next_offset", F.timestamp_micros("until").alias("expires_at"))

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -113,3 +114,28 @@ def test_other_streams_keep_their_store(spark):
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == processors.ROCKS
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+class Counted:
+    """A handle, its states and its timers, that counts what is asked of them."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getListState", "getMapState"):
+            return lambda *_: self
+        return lambda *_: self.calls.append(name)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_state_is_asked_once_for_an_upload_that_begins_and_ends_in_a_batch():
+    made, handle = processors.PutParts(Settings()), Counted()
+    made.init(handle)
+    names = [*PART_TYPES, "now", "until"]
+    rows = [part(1, 0, kind="open", total_bytes=1000, part_bytes=10)] + [part(1, n + 1, 10 * n, 10) for n in range(100)] + [part(1, 101, kind="complete")]
+    rows = [Row(*names)(*r, 5, 10) for r in rows]
+    said = [r.outcome for r in made.handleInputRows((1,), iter(rows), handle)]
+    assert said == ["stored"] * 100 + ["complete"] and handle.calls == ["get"]
