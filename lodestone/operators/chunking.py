@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
+from lodestone.functions.batches import in_steps
 
 
 def pieces(text: str, target: int, overlap: int) -> list[str]:
@@ -34,13 +37,18 @@ def chunk_sections(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     ordinal (from 0 in each document) and text. Chunks never cross sections; null and blank sections have none."""
     target, overlap = settings.chunk_target_characters, settings.chunk_overlap_characters
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pieces(t, target, overlap) if t is not None else [])
+    kinds = [f"{c} {sections.schema[c].dataType.simpleString()}" for c in ("document_id", "section_no")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_steps(batches, "text"):
+            found = [(row, part, piece) for row, t in enumerate(some["text"].to_pylist()) if t is not None for part, piece in enumerate(pieces(t, target, overlap), 1)]
+            rows = pa.array([row for row, _, _ in found], pa.int64())
+            columns = [some["document_id"].take(rows), some["section_no"].take(rows), pa.array([part for _, part, _ in found], pa.int32()), pa.array([piece for _, _, piece in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["document_id", "section_no", "part", "text"])
 
-    parts = sections.select("document_id", "section_no", F.posexplode(cut("text")).alias("part", "text"))
+    parts = sections.select("document_id", "section_no", "text").mapInArrow(cut, f"{', '.join(kinds)}, part int, text string")
     order = Window.partitionBy("document_id").orderBy("section_no", "part")
-    return parts.select("document_id", "section_no", (F.col("part") + 1).alias("part"), (F.row_number().over(order) - 1).alias("ordinal"), "text")
+    return parts.select("document_id", "section_no", "part", (F.row_number().over(order) - 1).alias("ordinal"), "text")
 
 
 def chunk_guard(documents: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodestone.config import DEFAULTS
+from lodestone.functions.batches import in_steps
 
 # The media type of each suffix that may be uploaded.
 MEDIA_TYPES = {
@@ -80,19 +82,20 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content.cast("string"), "^﻿", ""), "\r\n?", "\n")
 
 
-SECTION = "array<struct<text: string, section: string, line_start: int, line_end: int>>"
-
-
 def _in_sections(docs: DataFrame, cut: Callable[[str], list[tuple[str, str, int, int]]]) -> DataFrame:
     """Sections of each text by itself, without a shuffle: document_id, section_no and what `cut` gives."""
 
-    @F.pandas_udf(SECTION)
-    def sections(texts: pd.Series) -> pd.Series:
-        names = ("text", "section", "line_start", "line_end")
-        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in cut(t)] if t is not None else [])
+    kind = docs.schema["document_id"].dataType.simpleString()
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_steps(batches, "text"):
+            found = [(row, number, *block) for row, t in enumerate(some["text"].to_pylist()) if t is not None for number, block in enumerate(cut(t), 1)]
+            rows, *columns = zip(*found, strict=True) if found else [()] * 6
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            taken = some["document_id"].take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names=["document_id", "section_no", "text", "section", "line_start", "line_end"])
 
-    found = docs.select("document_id", F.posexplode(sections("text")).alias("_n", "_s"))
-    return found.select("document_id", (F.col("_n") + 1).alias("section_no"), "_s.text", "_s.section", "_s.line_start", "_s.line_end")
+    return docs.select("document_id", "text").mapInArrow(sections, f"document_id {kind}, section_no int, text string, section string, line_start int, line_end int")
 
 
 def text_blocks(text: str) -> list[tuple[str, str, int, int]]:
@@ -168,22 +171,25 @@ def _listed(blocks: list[str], key: str) -> list[dict]:
 def docx_sections(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages) -> DataFrame:
     """(document_id, page_count, error, sections) of DOCX files (document_id, content)."""
 
-    @F.pandas_udf(f"struct<page_count: int, error: string, sections: {SECTIONS}>")
-    def extract(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for content in contents:
-            try:
-                pages = docx_pages(content)
-                blocks = docx_blocks(content)
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
-                rows.append((None, "unreadable", []))
-                continue
-            error = "too many pages" if pages is not None and pages > max_pages else None if blocks else "no text"
-            rows.append((pages, error, [] if error else _listed(blocks, "section")))
-        frame = pd.DataFrame(rows, columns=["page_count", "error", "sections"])
-        return frame.astype({"page_count": "Int32"})
-
-    return files.select("document_id", extract("content").alias("_x")).select("document_id", "_x.*")
+    kind = files.schema["document_id"].dataType.simpleString()
+    section = pa.struct([("section_no", pa.int32()), ("text", pa.string()), ("page", pa.int32()), ("section", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
+
+    def extract(content: bytes | None) -> tuple[int | None, str | None, list[dict]]:
+        try:
+            pages = docx_pages(content)
+            blocks = docx_blocks(content)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
+            return None, "unreadable", []
+        error = "too many pages" if pages is not None and pages > max_pages else None if blocks else "no text"
+        return pages, error, [] if error else _listed(blocks, "section")
+
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_steps(batches, "content"):
+            pages, errors, sections = zip(*map(extract, some["content"].to_pylist()), strict=True)
+            columns = [some["document_id"], pa.array(pages, pa.int32()), pa.array(errors, pa.string()), pa.array(sections, pa.list_(section))]
+            yield pa.RecordBatch.from_arrays(columns, names=["document_id", "page_count", "error", "sections"])
+
+    return files.select("document_id", "content").mapInArrow(extracted, f"document_id {kind}, page_count int, error string, sections {SECTIONS}")
 
 
 def extract_documents(files: DataFrame, max_pages: int = DEFAULTS.max_document_pages, max_expanded: int = MAX_DOCX_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from hypothesis import given
 from hypothesis import strategies as st
 
+from lodestone.functions.batches import in_steps
 from lodestone.config import Settings
 from lodestone.operators.chunking import chunk_guard, chunk_sections, pieces
 
@@ -41,3 +44,10 @@ def test_sections_don_t_mix(spark):
     docs = spark.createDataFrame([("d",), ("e",), ("f",)], "document_id string")
     chunks = chunk_sections(spark.createDataFrame(rows, "document_id string, section_no int, text string"), settings)
     assert {r.document_id: r.status for r in chunk_guard(docs, chunks).collect()} == {"d": "ready", "e": "failed", "f": "failed"}
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["a" * 600, None, "b" * 500, "", "c" * 5_000, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [b["text"].to_pylist() for b in in_steps(iter([batch, batch.slice(0, 0)]), "text", 1_000)]
+    assert got == [["a" * 600, None], ["b" * 500, ""], ["c" * 5_000], ["d"]]
