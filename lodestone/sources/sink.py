@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.config import DEFAULTS
 from lodestone.functions.text import safe_name, suffix
+from lodestone.operators.snapshots import Folder
 from lodestone.sources.formats import media_type, sniff
 
 STEP = 1 << 20
@@ -124,12 +125,33 @@ def store_files(uploads: DataFrame, path: str, max_bytes: int = DEFAULTS.max_upl
 
 
 def stored_files(spark: SparkSession, path: str) -> DataFrame:
-    """The index of all committed writes."""
-    indexes = spark.read.schema(INDEX).option("recursiveFileLookup", "true").option("pathGlobFilter", "index.parquet")
-    return indexes.parquet(f"{path}/files")
+    """The index of all committed writes. The driver names the folders of committed tasks, not their files."""
+    indexes = [f"{path}/files/{name}/index.parquet" for name in Folder(spark, path).names("files")]
+    return spark.read.schema(INDEX).parquet(*indexes) if indexes else spark.createDataFrame([], INDEX)
 
 
 def stored_content(spark: SparkSession, path: str) -> DataFrame:
-    """(storage_key, content) of all files that are there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9a-f]" * 64).load(f"{path}/files")
-    return files.select(F.regexp_extract("path", "/files/(.*)$", 1).alias("storage_key"), "content")
+    """(storage_key, content) of all files that are there, read by tasks, which go by the index: nothing of the files passes
+    the driver, not their names either."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(f"{path}/files")
+        for batch in batches:
+            found: list[tuple[str, bytes]] = []
+            for key in batch["storage_key"].to_pylist():
+                try:
+                    with files.open_input_stream(f"{root}/{key}") as file:
+                        found.append((key, file.read()))
+                except FileNotFoundError:
+                    continue
+                if len(found) == 256 or sum(len(content) for _, content in found) > STEP:
+                    yield contents(found)
+                    found = []
+            yield contents(found)
+
+    def contents(found: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())], names=["storage_key", "content"])
+
+    keys = stored_files(spark, path).select("storage_key").filter("storage_key IS NOT NULL")
+    dealt = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "storage_key").distinct()
+    return dealt.mapInArrow(read, "storage_key string, content binary")

@@ -56,3 +56,11 @@ def test_an_empty_table(spark):
     assert sink.store_files(spark.createDataFrame([], SCHEMA), path).count() == 0 and there(path) == []
     refused = sink.store_files(spark.createDataFrame([(1, "a.html", b"x")], SCHEMA), path)
     assert refused.first().error == "suffix" and sink.stored_content(spark, path).count() == 0
+
+
+def test_the_driver_lists_no_stored_file(spark):
+    path = new_path(spark, "stored")
+    sink.store_files(spark.createDataFrame([(n, f"{n}.txt", b"%d" % n) for n in range(50)], SCHEMA).coalesce(2), path)
+    back = sink.stored_content(spark, path)
+    assert {bytes(r.content) for r in back.collect()} == {b"%d" % n for n in range(50)}
+    assert all(f.endswith("/index.parquet") for f in back.inputFiles())
