@@ -54,7 +54,7 @@ def semantic_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POSTINGS} SELECT chunk_id, term, count(*) AS tf, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos FROM posts GROUP BY ALL""")
 def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all terms: how often, and from where to where, each chunk has them."""
-    posts = retrieval.postings(texts(spark, sf_dir))
+    posts = retrieval.postings(texts(spark, sf_dir).repartition("chunk_id"))  # texts are shuffled, which are smaller than their postings
     return posts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 

@@ -141,3 +141,10 @@ def test_places_go_on_from_block_to_block(spark):
     assert {r.chunk_id: r.place for r in found.collect()} == want
     windows = [w for w in str(found._jdf.queryExecution().optimizedPlan()).splitlines() if "row_number()" in w and "Window" in w]
     assert windows and all("_block" in w.split("windowspecdefinition(")[1].split(" ASC")[0] for w in windows)
+
+
+def test_the_index_shuffles_texts_and_not_their_postings(spark, data):
+    from lodestone.plans import QUERIES
+
+    plan = QUERIES["postings_index"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # what runs first stands last
