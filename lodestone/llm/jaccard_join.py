@@ -8,7 +8,7 @@ token is below 1 / (similarity * number of tokens), so that two sets that are as
 samples on average. Buckets above BRUTE_FORCE classes split again by further tokens, up to LEVELS times; those that are
 still large are tied together unseen. In small buckets all pairs are compared by their sketches, with five standard
 deviations of leave. What may be similar so falls into clusters, and within a cluster every pair is compared exactly by
-the whole sets, large clusters block against block.
+the whole sets, large clusters block against block: each block is stored once, and tasks read the two that they compare.
 
 The runs are repeated until the target recall: a pair at the threshold shares a path of one token with probability
 1 - exp(-1), one of two with 1 - exp(-(1 - exp(-1))), and so on, and runs_for() takes as many runs as bring the pairs that
@@ -23,12 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import HOT, components, hot_join, hot_keys
 from lodestone.llm.rolling import Words, mixed
 from lodestone.llm.shared import partitions, steps, written
+from lodestone.session import new_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,8 +48,11 @@ BROADCAST_PATHS = 500_000
 #: Blocks of a cluster: at most about this many classes and shingles each.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
+#: Blocks that a task compares with one that it holds, about.
+BLOCKS_AT_ONCE = 8
 #: Columns of a block's incidence matrix that are multiplied at once.
 COLUMNS = 4096
+LINKED = "set long, root long, links long"
 U = np.uint64
 
 
@@ -238,34 +244,75 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def links_among(sets: np.ndarray, block: np.ndarray, shingles: list[np.ndarray], apart: bool, similarity: float) -> tuple | None:
+    """Exact links among some sets, or between those of different blocks alone: the sets that have some, an edge of each
+    that spans its part, and how many."""
+    ids, rows = np.unique(sets, return_index=True)  # repeated rows have the same set
+    if len(ids) < 2:
+        return None
+    shared = intersections([shingles[r] for r in rows])
+    size = np.array([len(shingles[r]) for r in rows])
+    links = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+    np.fill_diagonal(links, False)
+    if apart:
+        links &= block[rows][:, None] != block[rows][None, :]
+    label = spanning(links)
+    count = links.sum(1)
+    some = np.flatnonzero(count)
+    return ids[some], ids[label[some]], count[some]
+
+
+def linked_batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["set", "root", "links"])
+
+
 def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Exact links within each pair of blocks of a cluster: for each class how many it has there, and an edge that
-    spans its part."""
-    keys = ["cluster", "i", "j"]
+    """Exact links within each small cluster."""
+    for table in groups(batches, ["cluster"]):
+        cuts = bounds(table, ["cluster"])
+        sets, data = table["set"].to_numpy(), table["shingles"].to_pylist()
+        found = (links_among(sets[a:b], sets[a:b], [np.frombuffer(x, U) for x in data[a:b]], False, similarity) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        if out := [x for x in found if x is not None]:
+            yield linked_batch(out)
+
+
+def store_blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Writes each block of a large cluster as a file of its own, and names it. A retried task writes the same files."""
+    files, folder = fs.FileSystem.from_uri(path)
+    files.create_dir(folder, recursive=True)
+    keys = ["cluster", "block"]
     for table in groups(batches, keys):
         cuts = bounds(table, keys)
-        sets, block = table["set"].to_numpy(), table["block"].to_numpy()
-        i, j = table["i"].to_numpy(), table["j"].to_numpy()
-        data = table["shingles"].to_pylist()
-        out: list[tuple] = []
         for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ids, rows = np.unique(sets[first:end], return_index=True)  # repeated rows have the same set
-            if len(ids) < 2:
-                continue
-            rows = rows + first
-            shared = intersections([np.frombuffer(data[r], U) for r in rows])
-            size = np.array([len(data[r]) // 8 for r in rows])
-            links = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
-            np.fill_diagonal(links, False)
-            if i[first] != j[first]:
-                links &= block[rows][:, None] != block[rows][None, :]
-            label = spanning(links)
-            count = links.sum(1)
-            some = np.flatnonzero(count)
-            out.append((ids[some], ids[label[some]], count[some]))
-        if out:
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["set", "root", "links"])
+            rows = table.slice(first, end - first)
+            name = f"{folder}/{rows['cluster'][0]}-{rows['block'][0]}"
+            ours = f"{name}.{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(ours) as sink, pa.ipc.new_file(sink, rows.schema) as writer:
+                writer.write_table(rows)
+            files.move(ours, name)
+            yield pa.RecordBatch.from_pydict({"cluster": rows["cluster"][:1].to_pylist(), "block": rows["block"][:1].to_pylist()}, pa.schema([("cluster", pa.int64()), ("block", pa.int32())]))
+
+
+def stored_block(path: str, cluster: int, block: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    files, folder = fs.FileSystem.from_uri(path)
+    with files.open_input_file(f"{folder}/{cluster}-{block}") as source:
+        rows = pa.ipc.open_file(source).read_all()
+    return rows["set"].to_numpy(), [np.frombuffer(x, U) for x in rows["shingles"].to_pylist()]
+
+
+def verify_blocks(batches: Iterator[pa.RecordBatch], path: str, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Exact links within a block (i = j) or between two blocks of a large cluster, which hold no more than two blocks."""
+    held, ours = None, (np.zeros(0, np.int64), [])
+    for batch in batches:
+        for cluster, i, j in zip(*(batch[k].to_pylist() for k in ("cluster", "i", "j")), strict=True):
+            if held != (cluster, i):
+                held, ours = (cluster, i), stored_block(path, cluster, i)
+            sets, data = ours
+            other, more = (sets[:0], []) if i == j else stored_block(path, cluster, j)
+            found = links_among(np.concatenate([sets, other]), np.repeat([i, j], [len(sets), len(other)]), data + more, i != j, similarity)
+            if found is not None:
+                yield linked_batch([found])
 
 
 def buckets(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -291,6 +338,14 @@ def buckets(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return leaves, large.filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def fewer(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same: each a is tied to its least b, and its other b to that. The many that a large
+    group has from all its buckets so become about one for each of its members."""
+    least = edges.withColumn("least", F.min("b").over(Window.partitionBy("a")))  # an a has a few rows for each run
+    own = least.select("a", F.col("least").alias("b"))
+    return own.unionByName(least.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
+
+
 def link_classes(rows: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(set, links, root) of the classes that have links. rows: as described; docs: _key and text of all rows."""
     spark = rows.sparkSession
@@ -300,17 +355,22 @@ def link_classes(rows: DataFrame, docs: DataFrame, similarity: float) -> DataFra
     paired = leaves.join(classes.select("set", "sketch"), "set").select("path", "set", "sketch")
     paired = paired.repartition(partitions(spark), "path").sortWithinPartitions("path")
     edges = written(paired.mapInArrow(lambda batches: candidate_edges(batches, similarity), "a long, b long").union(tied), "join-candidates")
-    clusters = components(edges).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
+    clusters = components(fewer(edges)).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
     members = classes.select("set", "_key", "n").join(clusters, "set")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     wanted = written(members.join(sizes, "cluster").select("_key", "set", "cluster", blocks.alias("blocks")), "join-members")
-    sets = docs.join(wanted.hint("merge"), "_key").select("text", "set", "cluster", "blocks").mapInArrow(full_sets, "cluster long, set long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = spread.select("cluster", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "set", "shingles")
-    tasks = tasks.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = written(tasks.mapInArrow(lambda batches: verify(batches, similarity), "set long, root long, links long"), "join-links")
+    sets = docs.join(wanted.hint("merge"), "_key").select("text", "set", "cluster", "blocks").mapInArrow(full_sets, "cluster long, set long, blocks int, shingles binary")
+    sets = written(sets.select("cluster", block.alias("block"), "set", "blocks", "shingles"), "join-sets")
+    small = sets.filter("blocks = 1").select("cluster", "set", "shingles").repartition(partitions(spark), "cluster").sortWithinPartitions("cluster")
+    found = small.mapInArrow(lambda batches: verify(batches, similarity), LINKED)
+    large, path = sets.filter("blocks > 1"), new_path(spark, "join-blocks")
+    large = large.select("cluster", "block", "set", "shingles").repartition(partitions(spark), "cluster", "block").sortWithinPartitions("cluster", "block")
+    named = written(large.mapInArrow(lambda batches: store_blocks(batches, path), "cluster long, block int"), "join-block-names")
+    pairs = named.select("cluster", F.col("block").alias("i")).join(named.select("cluster", F.col("block").alias("j")), "cluster").filter("i <= j")
+    pairs = pairs.repartition(partitions(spark), "cluster", "i", F.floor(F.col("j") / BLOCKS_AT_ONCE)).sortWithinPartitions("cluster", "i", "j")
+    found = written(found.unionByName(pairs.mapInArrow(lambda batches: verify_blocks(batches, path, similarity), LINKED)), "join-links")
     roots = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     return written(links.join(roots.withColumnRenamed("node", "set"), "set"), "join-linked")

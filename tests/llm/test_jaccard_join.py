@@ -162,3 +162,29 @@ def test_recall_on_a_larger_table(spark):
 def test_query(spark, data):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert sorted(map(tuple, op2_jaccard_join(spark, data).collect())) == sorted(brute(docs))
+
+
+def test_edges_of_many_buckets_become_few(spark):
+    """A group that all buckets tie together has about an edge a member, not one for each bucket, and stays connected."""
+    random.seed(13)
+    pairs = {(a, b) for _ in range(20) for a in range(300) for b in [random.randrange(5)] if a > b} | {(500, 400), (500, 401)}
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    few = jaccard_join.fewer(edges)
+    roots = lambda e: {r.node: r.root for r in components(e).collect()}
+    assert roots(few) == roots(edges) and len(pairs) > 1000 and few.count() < 320
+
+
+def test_blocks_are_stored_once(spark, monkeypatch):
+    """Of a cluster in many blocks every set is stored once, not once for each block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 8)
+    stored = {}
+    own = jaccard_join.written
+
+    def kept(df, name):
+        stored[name] = own(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    check(spark, near_copies(100))
+    sets = stored["join-sets"].filter("blocks > 1")
+    assert stored["join-block-names"].count() > 4 and sets.count() == sets.select("set").distinct().count()
