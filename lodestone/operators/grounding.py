@@ -70,7 +70,9 @@ def ground(answers: DataFrame) -> DataFrame:
     have = answers.columns
     get = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
     rows = answers.select("turn_id", "evidence_ids", parsed(F.col("text")).alias("first"), parsed(get("repair_text", "string")).alias("second"), get("usage", "map<string,int>").alias("usage"), get("repair_usage", "map<string,int>").alias("repair_usage"))
+    rows = rows.select(F.explode(F.array(F.struct("*"))).alias("_")).select("_.*")  # texts are parsed once, not for each use of them
     rows = rows.withColumn("why", rejection(F.col("first"), F.col("evidence_ids"))).withColumn("again", rejection(F.col("second"), F.col("evidence_ids")))
+    rows = rows.select(F.explode(F.array(F.struct("*"))).alias("_")).select("_.*")
     rows = rows.withColumn("mended", F.col("why").isNotNull() & F.col("again").isNull() & F.col("second").isNotNull())
     rows = rows.withColumn("payload", F.when(F.col("why").isNull(), F.col("first")).when(F.col("mended"), F.col("second")))
     payload = F.col("payload")

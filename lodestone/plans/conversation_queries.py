@@ -198,9 +198,14 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("stream_id", "event").agg(F.count("*").alias("n_events"), F.sum(F.char_length("data")).alias("n_chars"))
 
 
+#: As much of a text as has its first six words, whatever else stands between: a line break at the start makes an empty one.
+BEGINNING = r"^[^\p{L}]*+(?:\p{L}[^ \n]*+[ \n]*+[^\p{L}]*+){0,7}"
+
+
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's answer to each document: its first words as claims, in ways that are right or wrong by turns."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(7)).alias("kind"), F.slice(F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\n ]", "")), r"\s+"), 1, 6).alias("w"))
+    first_words = F.slice(F.split(F.trim(F.regexp_replace(F.regexp_extract("text", BEGINNING, 0), r"[^\p{L}\n ]", "")), r"\s+"), 1, 6)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(7)).alias("kind"), F.explode(F.array(first_words)).alias("w"))  # words are found once, not for each use of them
     words = lambda a, b: F.trim(F.array_join(F.slice("w", a, b), " "))
     text = lambda a, b: F.when(words(a, b) == "", "none").otherwise(words(a, b))
     ids = lambda *x: F.array(*map(F.lit, x))
@@ -211,7 +216,7 @@ def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("kind") == 1, "insufficient").when(F.col("kind").isin(2, 5), "conflicting").when(F.col("kind") == 6, "maybe").otherwise("answer")
     payload = F.to_json(F.struct(status.alias("status"), claims.alias("claims")))
     said = F.concat(F.lit("<think>{not this}</think> Here: "), payload, F.lit(" Done."))
-    return docs.select("doc_id", "kind", said.alias("text"), text(1, 3).alias("a"), text(4, 3).alias("b"))
+    return docs.select("doc_id", "kind", F.explode(F.array(said)).alias("text"), "w").select("doc_id", "kind", "text", text(1, 3).alias("a"), text(4, 3).alias("b"))
 
 
 SAID = r"""w AS (SELECT doc_id, doc_id % 7 AS kind, regexp_split_to_array(trim(regexp_replace(text, '[^\p{L}\n ]', '', 'g')), '\s+')[1:6] AS w FROM documents),

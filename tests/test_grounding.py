@@ -74,3 +74,27 @@ def test_a_completion_that_is_too_long_is_refused(spark, monkeypatch):
     rows = [(1, 0, part("ab")), (1, 1, part("c")), (2, 0, part("abcd"))]
     got = {r.stream_id: (r.text, r.usage) for r in delivery.completion_text(spark.createDataFrame(rows, "stream_id int, n int, data string")).collect()}
     assert got == {1: ("abc", {"prompt_tokens": 1}), 2: (None, {"prompt_tokens": 4})}
+
+
+def test_the_first_words_are_those_of_the_whole_text(spark):
+    """Words are taken from as much of a text as has them, with the same result as from all of it."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.plans.conversation_queries import BEGINNING
+
+    random.seed(4)
+    texts = ["", "\n", "12 34", "\n a b c d e f g h", " \n\n1 a\tb 2c\n\n3 d é f.g h i j k", "a" * 9000 + " b", *("".join(random.choices("ab1. \n\té中 ", k=random.randint(1, 60))) for _ in range(400))]
+    cut = lambda c: F.slice(F.split(F.trim(F.regexp_replace(c, r"[^\p{L}\n ]", "")), r"\s+"), 1, 6)
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    part = F.regexp_extract("text", BEGINNING, 0)
+    assert rows.filter(~cut(F.col("text")).eqNullSafe(cut(part))).count() == 0
+    assert spark.createDataFrame([("word " * 100_000,)], "text string").select(F.char_length(part)).first()[0] < 100
+
+
+def test_words_and_answers_are_evaluated_once(spark, data):
+    from lodestone.plans.conversation_queries import marker_split
+
+    plan = marker_split(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<think>{not this}") == 1 and plan.count("from_json(") + plan.count("jsontostructs(") <= 2
