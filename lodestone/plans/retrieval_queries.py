@@ -17,6 +17,8 @@ from lodestone.plans.catalog import query, table
 QUERY_STEP = 100
 #: Copies from which on a text isn't joined by a shuffle.
 COMMON = 10_000
+#: Neighbours by number of each query.
+NEAREST = 20
 TARGET, OVERLAP = DEFAULTS.chunk_target_characters, DEFAULTS.chunk_overlap_characters
 
 COSINE = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[]) / nullif(sqrt(list_inner_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_inner_product({b}::DOUBLE[], {b}::DOUBLE[])), 0)"
@@ -182,9 +184,13 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = embedded(spark, sf_dir)
     asked = chunks.filter(F.col("chunk_id") % QUERY_STEP == 0)
     near = retrieval.semantic_topk_batch(chunks, asked.select(F.col("chunk_id").alias("query_id"), "embedding"))
-    same = chunks.select("chunk_id", "document_id").join(asked.select(F.col("chunk_id").alias("query_id"), "document_id"), "document_id")
+    placed = numbered(chunks.filter("document_id IS NOT NULL").select("chunk_id", F.col("document_id").alias("source")))
+    asked = placed.filter(F.col("chunk_id") % QUERY_STEP == 0)
+    beside = F.explode(F.sequence(F.col("place") - NEAREST, F.col("place") + NEAREST))  # the nearest by number are among so many on either side
+    wanted = asked.select(F.col("chunk_id").alias("query_id"), "source", beside.alias("place"))
+    same = placed.join(wanted, ["source", "place"])
     apart = same.select("query_id", "chunk_id", (1.0 / (1 + F.abs(F.col("chunk_id") - F.col("query_id")))).alias("lexical_score"))
-    fused = retrieval.fuse(near, retrieval.ranked(apart, "lexical_score", 20))
+    fused = retrieval.fuse(near, retrieval.ranked(apart, "lexical_score", NEAREST))
     rank = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return fused.select("query_id", "chunk_id", "similarity", F.round("lexical_score", 6).alias("lexical_score"), rank("semantic_rank"), rank("lexical_rank"), "fused_score")
 

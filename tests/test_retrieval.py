@@ -148,3 +148,17 @@ def test_the_index_shuffles_texts_and_not_their_postings(spark, data):
 
     plan = QUERIES["postings_index"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # what runs first stands last
+
+
+def test_neighbours_by_number_are_found_without_all_pairs(spark, tmp_path):
+    """rrf_fusion with one label and with several, against all pairs of a label."""
+    from lodestone.plans.retrieval_queries import rrf_fusion
+
+    rows = [(i * (1 + i % 3), 1 if i % 5 else 2, [float(i % 7 + 1), float(i % 11)]) for i in range(0, 1500)]
+    rows = list({r[0]: r for r in rows}.values()) + [(100_000, None, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = rrf_fusion(spark, str(tmp_path))
+    label = {r[0]: r[1] for r in rows}
+    wanted = {(q, c): k for q in label if q % 100 == 0 and label[q] is not None for k, c in enumerate(sorted((c for c in label if label[c] == label[q]), key=lambda c: (abs(c - q), c))[:20], 1)}
+    assert {(r.query_id, r.chunk_id): r.lexical_rank for r in got.collect() if r.lexical_rank} == wanted
+    assert "Join Inner, (document_id" not in got._jdf.queryExecution().optimizedPlan().toString()
