@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ BROADCAST_GROUPS = 100_000
 #: Slices of each search that are read before any is left out.
 FIRST_SLICES = 4
 #: Searches that meet the blocks of a slice in one task, about.
-SEARCHES_AT_ONCE = 4_096
+SEARCHES_AT_ONCE = 65_536
+#: Terms whose blocks leave a task at once.
+TERMS_AT_ONCE = 4_096
 _FAR = np.int64(1) << 62
 WAYS = "array<struct<terms: array<string>, phrases: array<array<string>>, excluded: array<string>>>"
 
@@ -185,6 +188,62 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def slice_postings(batches: Iterator[pa.RecordBatch], within: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each slice, out of rows (chunk_id, within, slice, terms) that are sorted by slice; one slice is held."""
+    keys, held, key = [*within, "slice"], [], None
+    for batch in batches:
+        rows = [tuple(x) for x in zip(*(batch[k].to_pylist() for k in keys), strict=True)]
+        cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            if first == end:
+                continue
+            if held and rows[first] != key:
+                yield from _blocks(pa.Table.from_batches(held), keys)
+                held = []
+            key = rows[first]
+            part = batch.slice(first, end - first)
+            coded = part["terms"].flatten().dictionary_encode()  # a batch's terms are kept once each, as a batch of its own
+            lists = pa.array(part["terms"].value_lengths().to_numpy(zero_copy_only=False), pa.int32())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lists.to_numpy())]), pa.int32())
+            coded = pa.ListArray.from_arrays(offsets, coded)
+            held.append(pa.RecordBatch.from_arrays([part["chunk_id"], *(part[k] for k in keys), coded], names=["chunk_id", *keys, "terms"]))
+    if held:
+        yield from _blocks(pa.Table.from_batches(held), keys)
+
+
+def _blocks(rows: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one slice, some thousand terms at a time."""
+    counts = pc.list_value_length(rows["terms"]).to_numpy()
+    chunk = np.repeat(rows["chunk_id"].to_numpy(), counts)
+    place = (np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts) + 1).astype(np.int32)
+    terms = pc.list_flatten(rows["terms"]).unify_dictionaries().combine_chunks()
+    if isinstance(terms, pa.ChunkedArray):
+        terms = terms.chunk(0)
+    term = terms.indices.to_numpy(zero_copy_only=False)
+    if not len(term):
+        return
+    order = np.lexsort((place, chunk, term))
+    term, chunk, place = term[order], chunk[order], place[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])
+    pair = np.flatnonzero(new)  # where each chunk of each term begins
+    sizes = np.diff(np.append(pair, len(term))).astype(np.int32)
+    begin = np.flatnonzero(np.append(True, term[pair][1:] != term[pair][:-1]))  # where each term begins, in pairs
+    most, n = np.maximum.reduceat(sizes, begin), np.diff(np.append(begin, len(pair)))
+    pairs_at, places_at = np.append(begin, len(pair)), np.append(pair[begin], len(term))
+    names = terms.dictionary.take(pa.array(term[pair[begin]]))
+    for a in range(0, len(begin), TERMS_AT_ONCE):
+        b = min(a + TERMS_AT_ONCE, len(begin))
+        p, q, x, y = pairs_at[a], pairs_at[b], places_at[a], places_at[b]
+        inner = pa.array(pairs_at[a : b + 1] - p, pa.int32())
+        columns = [
+            *(pa.array(rows[k][:1].to_pylist() * (b - a), rows.schema.field(k).type) for k in keys), names[a:b], pa.array(n[a:b], pa.int32()), pa.array(most[a:b], pa.int32()),
+            pa.ListArray.from_arrays(inner, pa.array(chunk[pair[p:q]], pa.int64())), pa.ListArray.from_arrays(inner, pa.array(sizes[p:q], pa.int32())),
+            pa.ListArray.from_arrays(pa.array(places_at[a : b + 1] - x, pa.int32()), pa.array(place[x:y], pa.int32())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "term", "n", "most", "chunks", "sizes", "places"])
+
+
 def store_postings(texts: DataFrame, path: str, buckets: int = 64, within: Sequence[str] = (), slice_chunks: int = SLICE_CHUNKS) -> DataFrame:
     """Stores the postings of chunks (chunk_id, text, and the columns `within` that searches are held to) in blocks, and
     returns them: bucket (the folder), within, slice, term, n (chunks that have the term), most (that one has of it), chunks,
@@ -201,13 +260,13 @@ def store_postings(texts: DataFrame, path: str, buckets: int = 64, within: Seque
     chunk = F.col("chunk_id").cast("long")
     counted = texts.select("chunk_id", *within, "text").join(F.broadcast(sizes) if groups <= BROADCAST_GROUPS else sizes, same)
     sliced = counted.select(chunk.alias("chunk_id"), *within, "text", F.pmod(F.xxhash64(chunk), F.col("slices")).cast("int").alias("slice"))
-    at = sliced.repartition(*within, "slice").select("chunk_id", *within, "slice", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    each = at.groupBy("slice", *within, "term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("places"))
-    rows = each.groupBy("slice", *within, "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "places"))).alias("rows"))
-    blocks = rows.select(
-        _bucket(F.col("term"), buckets).alias("bucket"), *within, "slice", "term", F.size("rows").alias("n"), F.array_max(F.transform("rows", lambda r: F.size(r["places"]))).alias("most"),
-        F.transform("rows", lambda r: r["chunk_id"]).alias("chunks"), F.transform("rows", lambda r: F.size(r["places"])).alias("sizes"), F.flatten(F.transform("rows", lambda r: r["places"])).alias("places"),
-    )
+    sorted_slices = sliced.repartition(*within, "slice").sortWithinPartitions(*within, "slice")
+    terms = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms")  # texts are shuffled, not their terms
+    sorted_slices = sorted_slices.select("chunk_id", *within, "slice", terms)
+    kinds = {f.name: f.dataType.simpleString() for f in sliced.schema if f.name in within}
+    of = "".join(f"`{c}` {kinds[c]}, " for c in within)
+    built = sorted_slices.mapInArrow(lambda batches: slice_postings(batches, within), f"{of}slice int, term string, n int, most int, chunks array<long>, sizes array<int>, places array<int>")
+    blocks = built.select(_bucket(F.col("term"), buckets).alias("bucket"), *within, "slice", "term", "n", "most", "chunks", "sizes", "places")
     deals = max(1, n // (64 * slice_chunks))
     dealt = blocks.repartition("bucket", F.pmod(F.xxhash64(*within, "slice"), F.lit(deals)))
     dealt.sortWithinPartitions("bucket", "term", *within, "slice").write.partitionBy("bucket").parquet(path)

@@ -104,3 +104,33 @@ def test_an_empty_table_has_empty_postings(spark, corpus):
     _, frame, stored = corpus
     assert search.lexical_topk_stored(search.store_postings(frame.filter("false"), new_path(spark, "postings"), 8), "a", 3, 8).count() == 0
     assert search.search_stored(stored, search.parsed(spark.createDataFrame([], "query_id long, search string")), 3, buckets=8).count() == 0
+
+
+def test_blocks_of_slices_that_come_in_many_batches(spark, tmp_path):
+    """Stored blocks against those counted by hand: null, empty and repeated texts, slices over several batches, a null group;
+    nothing is gathered by aggregation, which spills where a slice is large."""
+    import random
+    from collections import defaultdict
+
+    random.seed(21)
+    rows = [(i, random.choice(["a", "b", None]), random.choice([None, "", "...", " ".join(random.choices("x y z w é".split(), k=random.randint(1, 9)))])) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stored = search.store_postings(spark.createDataFrame(rows, "chunk_id long, kb string, text string"), str(tmp_path / "p"), 4, ["kb"], 20)
+        got = stored.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = defaultdict(list)
+    for i, kb, text in rows:
+        for at, term in enumerate((text or "").replace(".", "").split(), 1):
+            wanted[kb, term, i].append(at)
+    found = {}
+    for r in got:
+        assert r.n == len(r.chunks) == len(r.sizes) and r.most == max(r.sizes) and r.chunks == sorted(r.chunks) and sum(r.sizes) == len(r.places)
+        at = 0
+        for c, n in zip(r.chunks, r.sizes, strict=True):
+            assert (r.kb, r.term, c) not in found
+            found[r.kb, r.term, c] = r.places[at : at + n]
+            at += n
+    assert {k: v for k, v in found.items() if k[0]} == {k: v for k, v in wanted.items() if k[0]}
+    assert len({(r.kb, r.slice, r.term) for r in got}) == len(got) and len({r.slice for r in got}) > 2
