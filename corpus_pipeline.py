@@ -28,15 +28,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in one of the learned languages; those without a letter and those nearer to no profile than its language's
     training rows are go. So null, empty and blank texts go, and repeated rows go or stay together. Where no row has a
     language to learn, all go; an empty table stays empty."""
-    train = is_training_row(F.col("doc_id"))
-    found = written(identify(docs, learn(docs, train)), "judged")
+    train, text = is_training_row(F.col("doc_id")), F.xxhash64("text").alias("text_hash")
+    short = F.char_length(F.regexp_replace("text", r"\P{L}", "")) < SHORT_LETTERS
+    judged = identify(docs, learn(docs, train)).select("doc_id", text, "lang", "lang_pred", "score", short.alias("short"))
+    found = written(judged, "judged")  # without the texts: stored tables stay, and would be a whole input more on disk
     limits, other = nearness_limits(found.filter(train), MIN_NEARNESS)
     limit = F.lit(other)
     if limits:
         limit = F.coalesce(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang_pred")], limit)
-    short = F.char_length(F.regexp_replace("text", r"\P{L}", "")) < SHORT_LETTERS
-    near = (F.col("score") >= limit) | ((F.col("score") >= MIN_NEARNESS) & short)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & near).select(*docs.columns)
+    near = (F.col("score") >= limit) | ((F.col("score") >= MIN_NEARNESS) & F.col("short"))
+    stays = F.coalesce((F.col("lang_pred") != UNDETERMINED) & near, F.lit(False))
+    # A table of its own, so that Spark knows its size: the texts are not shuffled where few go.
+    gone = written(found.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "rejected")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

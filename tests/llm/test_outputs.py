@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from lodestone.llm.op10_query import op10_mix_sources
 from lodestone.llm.op9_query import END_ID, op9_token_files
 from lodestone.llm.shared import is_training_row, new_path
 from lodestone.llm.token_files import read_token_files, write_token_files
+from lodestone.session import shared_folder
 
 from .conftest import SCHEMA, odd_rows, passage, with_extras, words
 
@@ -201,6 +203,33 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     assert {r.doc_id for r in kept} == {r.doc_id for r in docs.select("doc_id").collect()} | {-100}
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_language_stage_tells_texts_with_one_id_apart(spark, broadcast):
+    """Null ids and repeated rows too, whether the rejected rows are broadcast or shuffled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    good = docs.orderBy("doc_id").first()
+    junk = " ".join(random.Random(2).choices("bcdfghjklmnpqrstvwxz", k=400))
+    texts = [(7, junk), (7, good.text), (None, junk), (None, good.text), (7, good.text), (None, good.text), (7, None), (None, None), (None, "12 34")]
+    more = spark.createDataFrame([(i, t, None, "more", 1) for i, t in texts], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        kept = corpus_pipeline.language_stage(spark, docs.unionByName(more), "")
+        assert [(r.doc_id, r.text) for r in kept.filter("source = 'more'").orderBy("doc_id").collect()] == [(None, good.text)] * 2 + [(7, good.text)] * 2
+        assert kept.count() == docs.count() + 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_language_stage_leaves_no_texts_on_disk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    tables = lambda: set(Path(shared_folder(spark).removeprefix("file://")).glob("*/*.parquet"))
+    before = tables()
+    assert corpus_pipeline.language_stage(spark, docs, "").count() == docs.count()
+    stored = sum(p.stat().st_size for p in tables() - before)
+    assert 0 < stored < 0.1 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_pipeline_of_nothing(spark, empty, data):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
