@@ -212,7 +212,7 @@ def admitted(spark: SparkSession, sf_dir: str, sessions: DataFrame, as_of: str |
     sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
     page = F.col("page_id")
     name = F.when(page % 6 == 0, "a.html").when(page % 6 == 1, "b.PDF").otherwise("c.txt")
-    asked = table(spark, sf_dir, "pages").select(page.alias("request_id"), F.concat(F.lit("src"), (page % 20).cast("string")).alias("knowledge_base_id"), sha(page % 700).alias("sha256"), (F.char_length("html") * 20000).alias("size_bytes"), name.alias("original_name"))
+    asked = table(spark, sf_dir, "pages").select(page.alias("request_id"), F.concat(F.lit("src"), (page % 20).cast("string")).alias("knowledge_base_id"), sha(page % 700).alias("sha256"), (F.char_length("html").cast("long") * 20000).alias("size_bytes"), name.alias("original_name"))
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("knowledge_base_id"), sha(F.col("doc_id") % 300).alias("sha256"))
     return uploads.admit(asked, docs, sessions, as_of) if as_of else uploads.create_sessions(asked, docs, sessions)
 

@@ -78,3 +78,21 @@ def test_admission_is_judged_against_all_uploads(spark):
     tally = lambda name: {r.outcome: r["count"] for r in QUERIES[name](spark, "/root/testdata/sf0.1").groupBy("outcome").count().collect()}
     few, full = tally("upload_admission"), tally("upload_admission_full")
     assert full["other file"] > 4 * few["other file"] and full["capacity"] < few["capacity"] / 4
+
+
+@pytest.mark.parametrize("name", ["upload_admission", "upload_admission_full", "upload_admission_at"])
+def test_admission_of_a_size_above_an_integer(spark, data, tmp_path, name):
+    import duckdb
+
+    from lodestone.plans import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    for table in ("orders", "documents", "pages"):
+        long = " UNION ALL SELECT max(page_id) + 2, 'http://long', repeat('x', 200000) FROM pages" if table == "pages" else ""
+        db.sql(f"CREATE TABLE {table} AS FROM '{data}/{table}.parquet'")
+        db.sql(f"COPY (FROM {table}{long}) TO '{tmp_path}/{table}.parquet'")
+        db.sql(f"CREATE OR REPLACE TABLE {table} AS FROM '{tmp_path}/{table}.parquet'")
+    wanted = db.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*wanted.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted.fetchall()))
+    assert "too large" in {r.outcome for r in got}
