@@ -7,8 +7,10 @@ time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -116,78 +118,113 @@ def throttle_runs(attempts: DataFrame, settings: Settings = DEFAULTS, late: str
 
 
 class PutParts(StatefulProcessor):
-    """Parts of one upload: see put_parts_stream(). Rows are plain, times microseconds, and state is read and written once a
-    key and micro-batch, since each call goes to Spark and back; an upload that ends in the micro-batch it began in leaves
-    nothing to write."""
+    """Parts of the uploads of one bucket: see put_parts_stream(). Rows are plain, times microseconds. Each call for state
+    goes to Spark and back, so a bucket's open uploads, with their receipts, are one value, which is read and written once a
+    micro-batch that has rows of it; one timer is of the upload whose time is over first."""
 
     def __init__(self, settings: Settings) -> None:
         self.ttl = settings.upload_session_ttl_seconds * 1_000_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.upload = handle.getValueState("upload", "total long, part long, next long, expires long, timer long")
-        self.receipts = handle.getListState("receipts", "offset long, length long, sha256 string")
+        self.uploads = handle.getValueState("uploads", "open array<struct<id: long, total: long, part: long, next: long, expires: long, receipts: array<struct<offset: long, length: long, sha256: string>>>>, timer long")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.upload.get()
-        upload, timer = (tuple(before[:4]), before[4]) if before else (None, None)
-        seen = {offset: (length, digest) for offset, length, digest in self.receipts.get()} if before else {}
-        kept, out = len(seen), []  # how many of seen are stored already
+        yield from (PART_ROW(*told) for told in self.judged(rows, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from (PART_ROW(*told) for told in self.over(timerValues))
+
+    def judged(self, rows: Iterable, timers) -> list[tuple]:
+        uploads, timer = self.known()
+        before, changed, out = bool(uploads), False, []
         for part in sorted(rows, key=lambda r: (r.now, r.sent is None, r.sent or 0)):
+            upload = uploads.get(part.upload_id)
             if part.kind == "open":
-                upload = upload or (part.total_bytes, part.part_bytes, 0, part.until)
+                if upload is None:
+                    uploads[part.upload_id], changed = ((part.total_bytes, part.part_bytes, 0, part.until), {}), True
                 continue
+            (total, size, at, until), seen = upload or ((None, None, 0, None), {})
             if part.kind in ("cancel", "complete"):
-                whole = part.kind == "cancel" or upload is not None and upload[2] == upload[0]
+                whole = part.kind == "cancel" or upload is not None and at == total
                 said = "unknown upload" if upload is None else "incomplete" if not whole else {"cancel": "cancelled"}.get(part.kind, "complete")
-                out.append(PART_ROW(key[0], part.sent, said, upload[2] if upload else 0, None))
+                out.append((part.upload_id, part.sent, said, at, None))
                 if upload is not None and whole:
-                    upload, seen, kept = None, {}, None  # nothing of what is stored stays
+                    del uploads[part.upload_id]  # with its receipts
+                    changed = True
                 continue
             stated = (part.sha256 or "").lower()
             came = (part.offset_bytes, part.length_bytes, stated, part.content_bytes, part.content_sha256)
-            said = part_outcome(came, (*upload, "open") if upload else None, seen.get(part.offset_bytes) if upload else None, part.now)
+            said = part_outcome(came, upload and (total, size, at, until, "open"), seen.get(part.offset_bytes), part.now)
             if said in ("stored", "confirmed again"):
-                total, size, at, _ = upload
                 if said == "stored":
                     seen[part.offset_bytes] = (part.length_bytes, stated)
                     at += part.length_bytes
-                upload = (total, size, at, part.now + self.ttl)
-            out.append(PART_ROW(key[0], part.sent, said, upload[2] if upload else 0, upload[3] if upload else None))
-        self.store(before, upload, timer, seen, kept, timerValues)
-        yield from out
-
-    def store(self, before: tuple | None, upload: tuple | None, timer: int | None, seen: dict, kept: int | None, timers) -> None:
-        wake = None if upload is None else max(-(-upload[3] // 1000), timers.getCurrentWatermarkInMs() + 1)
+                until = part.now + self.ttl
+                uploads[part.upload_id], changed = ((total, size, at, until), seen), True
+            out.append((part.upload_id, part.sent, said, at, until))
+        if changed:
+            self.store(uploads, before, timer, timers)
+        return out
+
+    def over(self, timers) -> list[tuple]:
+        uploads, _ = self.known()
+        mark = timers.getCurrentWatermarkInMs()
+        over = {id_: u for id_, (u, _) in uploads.items() if _millis(u[3]) <= mark}
+        self.store({id_: u for id_, u in uploads.items() if id_ not in over}, True, None, timers)  # Spark deletes the timer that led here
+        return [(id_, None, "over", u[2], u[3]) for id_, u in over.items()]
+
+    def known(self) -> tuple[dict, int | None]:
+        """The open uploads, as (total bytes, bytes of a part, next offset, end), and receipts by offset; and the timer."""
+        rows, timer = self.uploads.get() or ((), None)
+        return {u[0]: (tuple(u[1:5]), {offset: (length, digest) for offset, length, digest in u[5]}) for u in rows}, timer
+
+    def store(self, uploads: dict, before: bool, timer: int | None, timers) -> None:
+        """A timer that is due in this micro-batch stays: rows of other uploads don't put off what it tells."""
+        wake, mark = min((_millis(u[3]) for u, _ in uploads.values()), default=None), timers.getCurrentWatermarkInMs()
+        if wake is not None:
+            wake = timer if timer is not None and max(wake, timer) <= mark else max(wake, mark + 1)
         if timer is not None and timer != wake:
             self.handle.deleteTimer(timer)
         if wake is not None and timer != wake:
             self.handle.registerTimer(wake)
-        fresh = [(offset, *receipt) for offset, receipt in list(seen.items())[kept or 0 :]]
-        if before and kept is None:
-            self.receipts.clear()
-        if fresh:
-            self.receipts.appendList(fresh)
-        if upload is not None:
-            self.upload.update((*upload, wake))
+        if uploads:
+            self.uploads.update(([(id_, *u, [(offset, *receipt) for offset, receipt in seen.items()]) for id_, (u, seen) in uploads.items()], wake))
         elif before:
-            self.upload.clear()
+            self.uploads.clear()
+
+
+def _millis(micros: int) -> int:
+    return -(-micros // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        upload = self.upload.get()
-        self.upload.clear()
-        self.receipts.clear()
-        yield PART_ROW(key[0], None, "over", upload[2], upload[3])
 
+class PutPartsInFrames(PutParts):
+    """The same on frames, whose rows come as JSON: a column costs more to carry over than to write and read there, and
+    numbers beside nulls would lose digits. In what goes back NO_NUMBER stands for null."""
 
-PART_ROW = Row("upload_id", "sent", "outcome", "next_offset", "until")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        plain = (row for frame in rows for row in json.loads(f"[{','.join(frame['row'])}]", object_hook=lambda r: SimpleNamespace(**r)))
+        yield from self.frames(self.judged(plain, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.frames(self.over(timerValues))
+
+    def frames(self, told: list[tuple]) -> Iterator[pd.DataFrame]:
+        if told:
+            yield pd.DataFrame({name: [NO_NUMBER if v is None else v for v in values] for name, values in zip(PART_NAMES, zip(*told, strict=True), strict=True)})
+
+
+NO_NUMBER = -(1 << 63)
+PART_NAMES = ["upload_id", "sent", "outcome", "next_offset", "until"]
+PART_ROW = Row(*PART_NAMES)
 PART_SCHEMA = "upload_id long, sent long, outcome string, next_offset long, until long"
+SENT = ("upload_id", "sent", "kind", "total_bytes", "part_bytes", "until", "offset_bytes", "length_bytes", "sha256", "content_bytes", "content_sha256", "now")
 
 
-def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes") -> DataFrame:
+def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
     """put_parts() as parts come: upload_id, sent, outcome, next_offset, expires_at.
 
     parts: upload_id, ts, sent (their order), kind, and by kind: open (total_bytes, part_bytes, expires_at), part
@@ -195,7 +232,13 @@ def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str
     are those of put_parts(), and besides: complete (or incomplete, while bytes are missing); cancelled; and over, by a timer,
     when the watermark passes the time of an upload that no part has renewed. After complete, cancelled and over nothing is
     kept of an upload, and its parts are of an unknown one; until then, its receipts.
+
+    Uploads are dealt to buckets by a hash of their ids, and a bucket's rows are judged in one call: a worker has the rows
+    that a micro-batch has of one bucket, and its open uploads. The number of buckets stays for the life of a checkpoint.
     """
-    plain = parts.withWatermark("ts", late).withColumns({"now": F.unix_micros("ts"), "until": F.unix_micros("expires_at")}).drop("expires_at")
-    told = plain.groupBy("upload_id").transformWithState(PutParts(settings), PART_SCHEMA, "Append", "EventTime")
-    return told.select("upload_id", "sent", "outcome", "next_offset", F.timestamp_micros("until").alias("expires_at"))
+    plain = parts.withWatermark("ts", late).withColumns({"now": F.unix_micros("ts"), "until": F.unix_micros("expires_at")})
+    row = F.to_json(F.struct(*SENT), {"ignoreNullFields": "false"})
+    dealt = plain.select("ts", F.pmod(F.xxhash64("upload_id"), F.lit(buckets)).alias("bucket"), row.alias("row"))
+    told = dealt.groupBy("bucket").transformWithStateInPandas(PutPartsInFrames(settings), PART_SCHEMA, "Append", "EventTime")
+    whole = {c: F.nullif(F.col(c), F.lit(NO_NUMBER)) for c in ("upload_id", "sent", "until")}
+    return told.select(whole["upload_id"].alias("upload_id"), whole["sent"].alias("sent"), "outcome", "next_offset", F.timestamp_micros(whole["until"]).alias("expires_at"))

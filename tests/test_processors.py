@@ -139,3 +139,54 @@ def test_state_is_asked_once_for_an_upload_that_begins_and_ends_in_a_batch():
     rows = [Row(*names)(*r, 5, 10) for r in rows]
     said = [r.outcome for r in made.handleInputRows((1,), iter(rows), handle)]
     assert said == ["stored"] * 100 + ["complete"] and handle.calls == ["get"]
+
+
+def rows_of(*parts):
+    return [Row(*PART_TYPES, "now", "until")(*p, p[1].timestamp() * 1e6, p[6] and p[6].timestamp() * 1e6) for p in parts]
+
+
+def test_state_is_asked_once_for_all_uploads_of_a_bucket():
+    made, handle = processors.PutParts(Settings()), Counted()
+    made.init(handle)
+    rows = [p for n in range(50) for p in (opened(n, 20, 100), part(n, 1, 0, 10), part(n, 2, 10, 9))]
+    told = [tuple(r)[:4] for r in made.handleInputRows((7,), iter(rows_of(*rows)), handle)]
+    assert sorted(told) == [x for n in range(50) for x in ((n, 1, "stored", 10), (n, 2, "wrong length", 10))]
+    assert handle.calls == ["get", "registerTimer", "update"]
+
+
+class Held(Counted):
+    """The same with one value that it keeps, at a watermark."""
+
+    value, mark = None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_rows_of_an_upload_dont_put_off_the_end_of_another():
+    made, handle = processors.PutParts(Settings()), Held()
+    made.init(handle)
+    assert not list(made.handleInputRows((7,), iter(rows_of(opened(1, 20, 100), opened(2, 20, 5000))), handle))
+    handle.mark = int((START + timedelta(seconds=200)).timestamp() * 1000)
+    assert [r.outcome for r in made.handleInputRows((7,), iter(rows_of(part(2, 1, 0, 10, 300))), handle)] == ["stored"]
+    assert handle.calls == ["registerTimer"]
+    assert [tuple(r)[:3] for r in made.handleExpiredTimer((7,), handle, None)] == [(1, None, "over")]
+    assert [u[0] for u in handle.value[0]] == [2] and handle.calls == ["registerTimer", "registerTimer"]
+
+
+def test_uploads_of_one_bucket_are_told_apart(spark):
+    one, two, schema = (1 << 60) + 1, (1 << 60) + 2, ", ".join(f"{c} {k}" for c, k in PART_TYPES.items())
+    first = [opened(one, 20, 100), opened(two, 20, 5000), part(two, 1, 0, 10, 1, sha="B", content="b"), part(one, None, 5, 10, 1), part(None, 1, 0, 10, 1)]
+    second = [part(two, 2, 0, 10, 200, sha="b"), part(two, 3, 10, 10, 200), part(two, 4, kind="complete", at=201)]
+    frames = [spark.createDataFrame(x, schema) for x in (first, second)]
+    got, left = run_in_batches(spark, lambda s: processors.put_parts_stream(s, Settings(upload_session_ttl_seconds=3600), "1 second", buckets=1), frames)
+    told = [{x[:4] for x in rows} for rows in got]
+    assert told[0] == {(two, 1, "stored", 10), (one, None, "wrong offset", 0), (None, 1, "unknown upload", 0)}
+    assert told[1] - told[0] == {(two, 2, "confirmed again", 10), (two, 3, "stored", 20), (two, 4, "complete", 20), (one, None, "over", 0)}
+    assert left == 0
