@@ -142,7 +142,7 @@ def stream_put_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = opened.unionByName(before, True).unionByName(ended, True).unionByName(parts.withColumn("kind", F.lit("part")), True).withColumn("ts", now)
     typed = rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in PART_TYPES.items()))
     path = new_path(spark, "part-files")
-    typed.repartition(F.xxhash64("upload_id", "sent")).write.parquet(path)
+    typed.write.option("compression", "zstd").parquet(path)  # most of it are digests, which snappy leaves at their length
     with processors.state_on_disk(spark):
         found = events.run_available(processors.put_parts_stream(spark.readStream.schema(typed.schema).parquet(path)), "put-parts")
     return renewals(found.filter(f"sent BETWEEN 1 AND {(1 << 30) - 1}"))

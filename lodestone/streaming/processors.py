@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from types import SimpleNamespace
+from operator import attrgetter, itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -127,45 +127,50 @@ class PutParts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.uploads = handle.getValueState("uploads", "open array<struct<id: long, total: long, part: long, next: long, expires: long, receipts: array<struct<offset: long, length: long, sha256: string>>>>, timer long")
+        self.uploads = handle.getValueState("uploads", "open array<struct<id: long, total: long, part: long, next: long, expires: long, digests: array<string>>>, timer long")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        yield from (PART_ROW(*told) for told in self.judged(rows, timerValues))
+        yield from (PART_ROW(*told) for told in self.judged(map(attrgetter(*SENT), rows), timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from (PART_ROW(*told) for told in self.over(timerValues))
 
-    def judged(self, rows: Iterable, timers) -> list[tuple]:
+    def judged(self, rows: Iterable[tuple], timers) -> list[tuple]:
+        """rows: SENT."""
         uploads, timer = self.known()
-        before, changed, out = bool(uploads), False, []
-        for part in sorted(rows, key=lambda r: (r.now, r.sent is None, r.sent or 0)):
-            upload = uploads.get(part.upload_id)
-            if part.kind == "open":
+        before, receipts, changed, out = bool(uploads), {}, False, []
+        for now, sent, id_, kind, total_bytes, part_bytes, end, offset, length, sha256, content_bytes, content_sha256 in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
+            upload = uploads.get(id_)
+            if kind == "open":
                 if upload is None:
-                    uploads[part.upload_id], changed = ((part.total_bytes, part.part_bytes, 0, part.until), {}), True
+                    uploads[id_], changed = (total_bytes, part_bytes, 0, end, []), True
                 continue
-            (total, size, at, until), seen = upload or ((None, None, 0, None), {})
-            if part.kind in ("cancel", "complete"):
-                whole = part.kind == "cancel" or upload is not None and at == total
-                said = "unknown upload" if upload is None else "incomplete" if not whole else {"cancel": "cancelled"}.get(part.kind, "complete")
-                out.append((part.upload_id, part.sent, said, at, None))
+            total, size, at, until, digests = upload or (None, None, 0, None, [])
+            if kind in ("cancel", "complete"):
+                whole = kind == "cancel" or upload is not None and at == total
+                said = "unknown upload" if upload is None else "incomplete" if not whole else {"cancel": "cancelled"}.get(kind, "complete")
+                out.append((id_, sent, said, at, None))
                 if upload is not None and whole:
-                    del uploads[part.upload_id]  # with its receipts
+                    del uploads[id_]  # with its receipts
+                    receipts.pop(id_, None)
                     changed = True
                 continue
-            stated = (part.sha256 or "").lower()
-            came = (part.offset_bytes, part.length_bytes, stated, part.content_bytes, part.content_sha256)
-            said = part_outcome(came, upload and (total, size, at, until, "open"), seen.get(part.offset_bytes), part.now)
+            seen = receipts.get(id_)
+            if seen is None:
+                seen = receipts[id_] = confirmed(total, size, digests)
+            stated = (sha256 or "").lower()
+            said = part_outcome((offset, length, stated, content_bytes, content_sha256), upload and (total, size, at, until, "open"), seen.get(offset), now)
             if said in ("stored", "confirmed again"):
                 if said == "stored":
-                    seen[part.offset_bytes] = (part.length_bytes, stated)
-                    at += part.length_bytes
-                until = part.now + self.ttl
-                uploads[part.upload_id], changed = ((total, size, at, until), seen), True
-            out.append((part.upload_id, part.sent, said, at, until))
+                    seen[offset] = (length, stated)
+                    digests.append(stated)
+                    at += length
+                until = now + self.ttl
+                uploads[id_], changed = (total, size, at, until, digests), True
+            out.append((id_, sent, said, at, until))
         if changed:
             self.store(uploads, before, timer, timers)
         return out
@@ -173,18 +178,18 @@ class PutParts(StatefulProcessor):
     def over(self, timers) -> list[tuple]:
         uploads, _ = self.known()
         mark = timers.getCurrentWatermarkInMs()
-        over = {id_: u for id_, (u, _) in uploads.items() if _millis(u[3]) <= mark}
+        over = {id_: u for id_, u in uploads.items() if _millis(u[3]) <= mark}
         self.store({id_: u for id_, u in uploads.items() if id_ not in over}, True, None, timers)  # Spark deletes the timer that led here
         return [(id_, None, "over", u[2], u[3]) for id_, u in over.items()]
 
     def known(self) -> tuple[dict, int | None]:
-        """The open uploads, as (total bytes, bytes of a part, next offset, end), and receipts by offset; and the timer."""
+        """The open uploads, as total bytes, bytes of a part, next offset, end, and digests of the parts stored; and the timer."""
         rows, timer = self.uploads.get() or ((), None)
-        return {u[0]: (tuple(u[1:5]), {offset: (length, digest) for offset, length, digest in u[5]}) for u in rows}, timer
+        return {u[0]: tuple(u[1:]) for u in rows}, timer
 
     def store(self, uploads: dict, before: bool, timer: int | None, timers) -> None:
         """A timer that is due in this micro-batch stays: rows of other uploads don't put off what it tells."""
-        wake, mark = min((_millis(u[3]) for u, _ in uploads.values()), default=None), timers.getCurrentWatermarkInMs()
+        wake, mark = min((_millis(u[3]) for u in uploads.values()), default=None), timers.getCurrentWatermarkInMs()
         if wake is not None:
             wake = timer if timer is not None and max(wake, timer) <= mark else max(wake, mark + 1)
         if timer is not None and timer != wake:
@@ -192,11 +197,16 @@ class PutParts(StatefulProcessor):
         if wake is not None and timer != wake:
             self.handle.registerTimer(wake)
         if uploads:
-            self.uploads.update(([(id_, *u, [(offset, *receipt) for offset, receipt in seen.items()]) for id_, (u, seen) in uploads.items()], wake))
+            self.uploads.update(([(id_, *u) for id_, u in uploads.items()], wake))
         elif before:
             self.uploads.clear()
 
 
+def confirmed(total: int, size: int, digests: list[str]) -> dict:
+    """Receipts by offset. Parts are stored in order, each of all the bytes that a part has but the last."""
+    return {i * size: (min(size, total - i * size), digest) for i, digest in enumerate(digests)}
+
+
 def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
@@ -206,7 +216,7 @@ class PutPartsInFrames(PutParts):
     numbers beside nulls would lose digits. In what goes back NO_NUMBER stands for null."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        plain = (row for frame in rows for row in json.loads(f"[{','.join(frame['row'])}]", object_hook=lambda r: SimpleNamespace(**r)))
+        plain = (row for frame in rows for row in json.loads(f"[{','.join(frame['row'])}]", object_hook=itemgetter(*SENT)))
         yield from self.frames(self.judged(plain, timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -221,7 +231,7 @@ NO_NUMBER = -(1 << 63)
 PART_NAMES = ["upload_id", "sent", "outcome", "next_offset", "until"]
 PART_ROW = Row(*PART_NAMES)
 PART_SCHEMA = "upload_id long, sent long, outcome string, next_offset long, until long"
-SENT = ("upload_id", "sent", "kind", "total_bytes", "part_bytes", "until", "offset_bytes", "length_bytes", "sha256", "content_bytes", "content_sha256", "now")
+SENT = ("now", "sent", "upload_id", "kind", "total_bytes", "part_bytes", "until", "offset_bytes", "length_bytes", "sha256", "content_bytes", "content_sha256")
 
 
 def put_parts_stream(parts: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
